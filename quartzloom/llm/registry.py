@@ -1,11 +1,15 @@
 """The queries of this subpackage, and their SQL."""
 
-from quartzloom.llm import linededup, quality, simhash, tokencount
+from quartzloom.llm import decontam, linededup, packing, quality, secrets, sharding, simhash, tokencount
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_decontam": decontam.op5_decontam,
     "op6_linededup": linededup.op6_linededup,
+    "op7_packing": packing.op7_packing,
     "op8_tokencount": tokencount.op8_tokencount,
+    "op10_sharding": sharding.op10_sharding,
 }
-ORACLES = {"op2_quality": quality.OP2_SQL, "op6_linededup": linededup.OP6_SQL}
+ORACLES = {"op2_quality": quality.OP2_SQL, "op4_secrets": secrets.OP4_SQL, "op5_decontam": decontam.OP5_SQL, "op6_linededup": linededup.OP6_SQL}
