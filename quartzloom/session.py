@@ -20,3 +20,16 @@ def session(cores: int = 8, shuffle_partitions: int | None = None, memory: str =
     )
     out.sparkContext.setLogLevel("ERROR")
     return out
+
+
+def cut(df):
+    """The rows, checkpointed in the folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path:
+            import tempfile
+
+            path = tempfile.mkdtemp(prefix="quartzloom-")
+        sc.setCheckpointDir(path)
+    return df.checkpoint(eager=True)
