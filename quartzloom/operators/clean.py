@@ -115,5 +115,5 @@ def fill_mean(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def decimals(c: Column, n: int = 1) -> Column:
-    """Text with n decimals; halves go to the even digit."""
-    return F.format_string(f"%.{n}f", F.bround(c, n))
+    """Text with n decimals; halves of the shortest decimal form go up."""
+    return F.format_string(f"%.{n}f", c)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzloom.functions import vectors as V
-from quartzloom.operators import clean as C
 from quartzloom.operators import curves, joins, splits
 from quartzloom.plans.registry import query, table
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quartzloom.functions import sequences as X
@@ -137,9 +136,9 @@ def fill_missing(spark, d):
     return C.fill_mean(df.withColumn("zeroed", F.coalesce("filled", F.lit(0.0))), ["filled"]).select("c_custkey", "zeroed", F.round("filled", 4).alias("filled"))
 
 
-@query("select p_partkey, printf('%.1f', p_retailprice / 4) as one, printf('%.2f', p_size / 8.0::double) as two from part")
+@query("select p_partkey, printf('%.1f', p_retailprice / 7) as one, printf('%.2f', p_size / 7.0::double) as two from part")
 def format_numbers(spark, d):
-    return table(spark, d, "part").select("p_partkey", C.decimals(F.col("p_retailprice") / 4 + 0, 1).alias("one"), C.decimals(F.col("p_size") / F.lit(8.0), 2).alias("two"))
+    return table(spark, d, "part").select("p_partkey", C.decimals(F.col("p_retailprice") / 7, 1).alias("one"), C.decimals(F.col("p_size") / F.lit(7.0), 2).alias("two"))
 
 
 @query("select p_partkey as p_part_id, p_brand as p_maker, 'x' as source from part")
@@ -520,7 +519,7 @@ def mutation_fields(spark, d):
 
 @query("select p_partkey, case p_partkey % 3 when 0 then 1 when 1 then 0 end as at, case p_partkey % 3 when 0 then 'A' when 1 then 'AAA' end as ref, case p_partkey % 3 when 0 then 'C' when 1 then 'TGG' end as alt from part")
 def codon_change(spark, d):
-    c = X.codon_change(F.lit("AAA"), F.expr("case p_partkey % 3 when 0 then 'T' when 1 then 'W' else 'K' end").alias("x")) if False else X.codon_change(F.expr("if(p_partkey % 3 = 0, 'AAT', 'AAA')"), F.expr("case p_partkey % 3 when 0 then 'T' when 1 then 'W' else 'K' end"))
+    c = X.codon_change(F.expr("if(p_partkey % 3 = 0, 'AAT', 'AAA')"), F.expr("case p_partkey % 3 when 0 then 'T' when 1 then 'W' else 'K' end"))
     return table(spark, d, "part").select("p_partkey", c["at"].alias("at"), c["ref"].alias("ref"), c["alt"].alias("alt"))
 
 
