@@ -69,7 +69,8 @@ def prints(w: Column, lengths: tuple[int, ...]) -> Column:
 
         grams = F.transform(upto(n - (GRAM - 1)), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(GRAM))))
         found = F.when(n >= SPAN, let(grams, of_grams))
-        short = [F.transform(upto(n - (m - 1)), lambda i, m=m: element(i, F.xxhash64(*(F.get(h, i + k) for k in range(m))))) for m in lengths]
+        whole = lambda m: F.transform(upto(n - (m - 1)), lambda i: element(i, F.xxhash64(*(F.get(h, i + k) for k in range(m)))))
+        short = [whole(m) for m in lengths]
         none = F.array().cast("array<struct<at:int,print:bigint,near:array<string>>>")
         return F.concat(F.coalesce(found, none), *short)
 

@@ -55,6 +55,11 @@ def winnow(words: list[str]) -> dict[int, tuple[str, ...]]:
     return {i: grams[i] for i in sorted(kept)}
 
 
+def band_of(template: list[str]) -> int:
+    """Narrower for short templates, so that finds in a row stay apart."""
+    return min(BAND, max(1, len(template) // 4))
+
+
 class Index:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.words = {name: tokens(t) for name, t in templates.items()}
@@ -73,7 +78,7 @@ class Index:
         out = []
         for at, gram in enumerate(zip(words, words[1:], words[2:], strict=False)):
             for name, i in self.places.get(gram, ()):
-                if name not in last or at - i - last[name] > BAND:
+                if name not in last or abs(at - i - last[name]) > band_of(self.words[name]):
                     out.append((name, at - i))
                     last[name] = at - i
         return out
@@ -105,7 +110,7 @@ def scan_text(text: str | None, index: Index, coverage: float = COVERAGE) -> lis
     words = tokens(text or "")
     found = []
     for name, start in index.candidates(words):
-        n, first, end = align(index.words[name], words, start)
+        n, first, end = align(index.words[name], words, start, band_of(index.words[name]))
         if n and (share := n / len(index.words[name])) >= coverage:
             found.append((name, first, end, share))
     if not found:

@@ -61,8 +61,8 @@ def letters(kind: str) -> str:
     return "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
-#: Texts of these characters only need no Unicode composition, lower-case one by one, and split alike in Python and in the tokenizer.
-PLAIN = re.compile("[\t-\r\x20-\x7e\xa0-įı-ȹȻ-Ƚȿ-ɏ]*")
+#: Texts of these characters only need no Unicode composition, become lower-case one by one within the range, and split alike in Python and in the tokenizer.
+PLAIN = re.compile("[\t-\r\x20-\x7e" + "".join(chr(c) for c in range(0xA0, 0x250) if len(low := chr(c).lower()) == 1 and ord(low) < 0x250) + "]*")
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters('L')}]+|[{letters('N')}]|[^\\s{letters('L')}{letters('N')}]+")
 
 
