@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import by_rows, record
+from quartzloom.llm.common import by_rows, map_arrow, record
 
 FILE = "byte_bpe_50k.json"
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]")
@@ -119,7 +119,7 @@ def format_turns(conversations: DataFrame, file: str = FILE) -> DataFrame:
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), text("role"), text("text"), "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(run, TURN_DDL)
+    return map_arrow(rows.select("conv_id", "role", "text"), run, TURN_DDL)
 
 
 DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -157,7 +157,7 @@ def digests(turns: DataFrame, file: str = FILE) -> DataFrame:
         if done:
             yield record(DIGEST, *zip(*done, strict=True))
 
-    return turns.select("conv_id", "formatted", "ids", "mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(turns.select("conv_id", "formatted", "ids", "mask"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op1_chat(spark, sf_dir: str) -> DataFrame:

@@ -54,6 +54,19 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 
 
+#: Bytes of an Arrow batch: with long texts, Spark's own bound would let a worker and its executor hold hundreds of MB.
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow over small batches."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, None)
+    if now is not None and not now.startswith(str(BATCH_BYTES)):
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def by_rows(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
     """Slices of few rows, so that Python objects exist for few texts at once."""
     for batch in batches:

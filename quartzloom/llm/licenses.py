@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import LOWER, by_rows, record
+from quartzloom.llm.common import LOWER, by_rows, map_arrow, record
 
 WORD = re.compile(r"[^\W_]+")
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 8, 0.8
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
                 rows.append((len(found), ",".join(f"{n}:{a}:{b}:{round(100 * s)}" for n, a, b, s in found), best[0], best[3]))
             yield record(OUT, part.column(0), *(zip(*rows, strict=True) if rows else [[]] * 4))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_licenses long, licenses string, best string, best_coverage double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_licenses long, licenses string, best string, best_coverage double")
 
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:

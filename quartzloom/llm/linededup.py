@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import by_rows, new_path, record, remove, store, text_key
+from quartzloom.llm.common import by_rows, map_arrow, new_path, record, remove, store, text_key
 
 STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
 MIN_CHARS, MIN_DOCS = 1, 10
@@ -60,7 +60,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             yield record(DOC_KEYS, part.column(0).take(at), part.column(1).take(at), both[:, 0], both[:, 1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tk long, h1 long, h2 long")
+    return map_arrow(rows, run, "doc_id long, tk long, h1 long, h2 long")
 
 
 class LineRuns:
@@ -133,7 +133,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             yield record(out, part.column(0), [x[0] for x in done], [x[1] for x in done], pa.array([x[2] for x in done], pa.binary()).cast(pa.string()))
 
     rows = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), min_chars, min_docs, batches)
-    return rows.select("doc_id", F.col("text").cast("binary").alias("text"), "_ql_drop").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string")
+    return map_arrow(rows.select("doc_id", F.col("text").cast("binary").alias("text"), "_ql_drop"), run, "doc_id long, n_lines long, n_dropped long, text string")
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -146,7 +146,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
             new = [without(t.encode(), d, min_chars)[2].decode() if d else t for t, d in zip(texts, drops, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, part.schema.field(i).type) if i == at else part.column(i) for i in range(len(kept))], schema=pa.schema([part.schema.field(i) for i in range(len(kept))]))
 
-    out = marked(docs, min_chars, min_docs).mapInArrow(run, docs.schema)
+    out = map_arrow(marked(docs, min_chars, min_docs), run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in kept else out
 
 

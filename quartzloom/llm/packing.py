@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import by_rows, new_path, record, store
+from quartzloom.llm.common import by_rows, map_arrow, new_path, record, store
 
 FILE, END, CAPACITY = "word_bpe_49k.json", 1, 4096
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("rank", pa.int64())])
@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, file: str = FILE, capacity: int = CAPACITY) -> DataF
                     seen[n] += 1
             yield record(PIECES, *(zip(*rows, strict=True) if rows else [[]] * len(PIECES)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES_DDL)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PIECES_DDL)
 
 
 def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, file: str = FILE, capacity: int = CAPACITY) -> DataFra
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)))
     numbered = rows.join(before.select("task", "length", F.coalesce("before", F.lit(0)).alias("before")), ["task", "length"])
     numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return numbered.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(numbered, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import SPACE, by_rows, record
+from quartzloom.llm.common import SPACE, by_rows, map_arrow, record
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 SYMBOLS = "#*$%&|<>"
@@ -98,7 +98,7 @@ def evaluate(docs: DataFrame) -> DataFrame:
             rows = [m | {"fail_bits": fail_bits(m)} for m in map(measure, part.column(1).to_pylist())]
             yield record(LEDGER, part.column(0), *([r[f.name] for r in rows] for f in list(LEDGER)[1:]))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LEDGER_DDL)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, LEDGER_DDL)
 
 
 def apply_policy(ledger: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
@@ -133,7 +133,7 @@ def keep_good(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
         for part in by_rows(batches):
             yield part.filter(pa.array([not fail_bits(measure(t)) & mask for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import cut, record
+from quartzloom.llm.common import cut, map_arrow, record
 
 SHARDS, VNODES = 24, 64
 OUT = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("text_crc32", pa.int64()), ("law", pa.string()), ("shard", pa.int32()), ("slot", pa.int64()), ("grown_shard", pa.int32()), ("home_shard", pa.int32())])
@@ -82,7 +82,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataF
             kinds, many = np.unique(arc, return_counts=True)
             yield record(schema, [part.column(1)[0].as_py()] * len(kinds) if part.num_rows else [], kinds.astype(np.int32), many)
 
-    counted = rows.select("h", "task").mapInArrow(arcs, "task int, arc int, n long").groupBy("task", "arc").agg(F.sum("n").alias("n"))
+    counted = map_arrow(rows.select("h", "task"), arcs, "task int, arc int, n long").groupBy("task", "arc").agg(F.sum("n").alias("n"))
     counted = cut(counted)
     by_task = dict(counted.groupBy("task").agg(F.sum("n")).collect())  # a row for each task
     counts = np.zeros(len(points), np.int64)
@@ -118,7 +118,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataF
             size = part.num_rows
             yield record(OUT, part.column(0), part.column(1), part.column(2), ["rows"] * size, shard[i].astype(np.int32), slot[i] + place - lo[i], pa.nulls(size, pa.int32()), owner[arc].astype(np.int32))
 
-    return rows.select("doc_id", "size", "text_crc32", "h", "task").mapInArrow(run, OUT_DDL)
+    return map_arrow(rows.select("doc_id", "size", "text_crc32", "h", "task"), run, OUT_DDL)
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import LOWER, by_rows, cut, record, text_key
+from quartzloom.llm.common import LOWER, by_rows, cut, map_arrow, record, text_key
 from quartzloom.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for part in by_rows(batches):
             yield record(PRINTS, part.column(0), part.column(1), [fingerprint(t) for t in part.column(2).to_pylist()])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tk long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), F.col("text").cast("string").alias("text")), run, "doc_id long, tk long, fp long")
 
 
 def linked(x: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     many = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)
     rows = dealt.select("fp", "key", F.explode(F.when(F.col("blocks").isNull(), one).otherwise(many)).alias("p"))
     rows = rows.select(F.when((F.col("p.i") == 0) & (F.col("p.j") == 0), F.col("key")).otherwise(F.xxhash64("key", "p.i", "p.j")).alias("k"), "fp", "p.side")
-    return rows.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(run, "a long, b long")
+    return map_arrow(rows.repartition("k").sortWithinPartitions("k", "fp"), run, "a long, b long")
 
 
 def classes(rows: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import by_rows, cut, record
+from quartzloom.llm.common import by_rows, cut, map_arrow, record
 
 FILE, LIMIT = "byte_bpe_50k.json", 512
 CACHE = "digest binary, version string, n_tokens long"
@@ -67,7 +67,7 @@ def encode_misses(docs: DataFrame, file: str = FILE, cache: DataFrame | None = N
     texts = texts.groupBy("digest").agg(F.first("text").alias("text"))  # reduced before the shuffle: a hot text crosses it once a task
     if cache is not None:
         texts = texts.join(cache.filter(F.col("version") == version), "digest", "left_anti")
-    return texts.mapInArrow(run, "digest binary, n_tokens long").select("digest", F.lit(version).alias("version"), "n_tokens")
+    return map_arrow(texts, run, "digest binary, n_tokens long").select("digest", F.lit(version).alias("version"), "n_tokens")
 
 
 def count_tokens(docs: DataFrame, file: str = FILE, cache: DataFrame | None = None, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
