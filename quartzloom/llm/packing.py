@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,16 +44,29 @@ PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, t
 WORDS_KEPT = 250_000
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTES = byte_letters()
+
+
 class Words(dict):
-    """Ids of words, as little-endian bytes. Pre-tokens are encoded independently, so a text's ids are those of its words in a row."""
+    """Ids of words, as little-endian bytes. Pre-tokens are encoded independently, so a text's ids are those of its words in a row; the merges are the library's."""
 
     def __init__(self, model):
-        self.model = model
+        self.merge = model.model.tokenize
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        ids = np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(BYTES))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        ids = ids.tobytes()
         if len(word) < 64:
             self[word] = ids
         return ids
