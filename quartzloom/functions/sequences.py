@@ -113,9 +113,9 @@ def key_value(line: Column) -> Column:
     """struct(key, text, number) of a 'key: value' line; null without a colon."""
     from quartzloom.operators.clean import to_number
 
-    parts = F.split(line, ":", 2)
-    value = F.trim(F.get(parts, F.lit(1)))
-    return F.when(F.size(parts) == 2, F.struct(F.trim(parts[0]).alias("key"), value.alias("text"), to_number(value).alias("number")))
+    parts, blank = F.split(line, ":", 2), F.lit(" \t\r\n\f\x0b")
+    value = F.btrim(F.get(parts, F.lit(1)), blank)
+    return F.when(F.size(parts) == 2, F.struct(F.btrim(parts[0], blank).alias("key"), value.alias("text"), to_number(value).alias("number")))
 
 
 def spaced(c: Column) -> Column:

@@ -104,10 +104,11 @@ class Solver:
         yield from map(int, self.rng.permutation(n))
 
     def opposite(self, i: int, ki: np.ndarray):
-        """One random point of the other class."""
+        """A random point of the other class; where that changes nothing, all others."""
         others = np.flatnonzero(self.y != self.y[i])
         if len(others):
             yield int(self.rng.choice(others))
+        yield from self.partners(i, ki)
 
     def solve(self, partners, least_passes: int = 2) -> int:
         for it in range(self.o.max_iter):

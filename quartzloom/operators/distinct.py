@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,6 @@ def injected(provider: Callable, returns: str) -> Callable[[Column], Column]:
 
     Domain libraries are not bundled: a provider is handed in, and its absence is an error.
     """
-    import pandas as pd
-
     if provider is None:
         raise ValueError("a provider is required")
 
