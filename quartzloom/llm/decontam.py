@@ -31,6 +31,8 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST = (1 << 31) - 1
 MAX_INDEX = 64 << 20
+#: A bitmap of the index's fingerprints, 2^18 bits whatever the index: what it lacks is in no window.
+FILTER_WORDS = 1 << 12
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,34 +49,44 @@ def upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def around(padded: Column, at: Column) -> Column:
-    """The words from WINDOW-1 before a fingerprint to SPAN-1 after its start."""
-    return F.slice(padded, at + 1, SPAN + WINDOW - 1)
+def around(w: Column, at: Column) -> Column:
+    """The words from WINDOW-1 before a fingerprint to SPAN-1 after its start, null beyond the ends."""
+    return F.array(*(F.get(w, at + (k - WINDOW + 1)) for k in range(SPAN + WINDOW - 1)))
 
 
-def prints(w: Column, lengths: tuple[int, ...]) -> Column:
-    """array<struct<at, print, near>>: the winnowed fingerprints of a word array, and every gram of the given lengths below SPAN."""
-    blank = F.array(*[F.lit("")] * (WINDOW - 1))
+def bit(print_: Column) -> tuple[Column, Column]:
+    """Where the filter has a fingerprint: the number of a 64-bit word, and the bit."""
+    return F.shiftrightunsigned(print_, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), print_.bitwiseAND(F.lit(63)).cast("int"))
 
-    def of_hashes(padded: Column, h: Column) -> Column:
+
+def prints(w: Column, lengths: tuple[int, ...], seen: Column | None = None) -> Column:
+    """array<struct<at, print, near>>: the winnowed fingerprints of a word array, and every gram of the given lengths below SPAN.
+
+    seen: the filter's words; fingerprints whose bit is not set there are left out before their words are gathered.
+    """
+
+    def elements(pairs: Column) -> Column:
+        if seen is not None:
+            pairs = F.filter(pairs, lambda p: F.get(seen, bit(p["print"])[0]).bitwiseAND(bit(p["print"])[1]) != 0)
+        return F.transform(pairs, lambda p: F.struct(p["at"].alias("at"), p["print"].alias("print"), around(w, p["at"]).alias("near")))
+
+    def of_hashes(h: Column) -> Column:
         n = F.size(h)
-        element = lambda at, print_: F.struct(at.alias("at"), print_.alias("print"), around(padded, at).alias("near"))
+        pair = lambda at, print_: F.struct(at.alias("at"), print_.alias("print"))
+        gram = lambda i, m: F.xxhash64(*(F.get(h, i + k) for k in range(m)))
 
         def of_grams(g: Column) -> Column:
             # the order of grams: high bits of the hash, then the later place
             ranks = F.transform(g, lambda x, i: x.bitwiseAND(F.lit(~LAST)).bitwiseOR((F.lit(LAST) - i).cast("long")))
             least = lambda v: F.transform(upto(n - (SPAN - 1)), lambda i: F.least(*(F.get(v, i + k) for k in range(WINDOW))))
             place = lambda v: (F.lit(LAST) - v.bitwiseAND(F.lit(LAST))).cast("int")
-            return F.transform(F.array_distinct(let(ranks, least)), lambda v: element(place(v), F.get(g, place(v))))
+            return F.transform(F.array_distinct(let(ranks, least)), lambda v: pair(place(v), F.get(g, place(v))))
 
-        grams = F.transform(upto(n - (GRAM - 1)), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(GRAM))))
-        found = F.when(n >= SPAN, let(grams, of_grams))
-        whole = lambda m: F.transform(upto(n - (m - 1)), lambda i: element(i, F.xxhash64(*(F.get(h, i + k) for k in range(m)))))
-        short = [whole(m) for m in lengths]
-        none = F.array().cast("array<struct<at:int,print:bigint,near:array<string>>>")
-        return F.concat(F.coalesce(found, none), *short)
+        found = F.when(n >= SPAN, let(F.transform(upto(n - (GRAM - 1)), lambda i: gram(i, GRAM)), of_grams))
+        whole = lambda m: F.transform(upto(n - (m - 1)), lambda i: pair(i, gram(i, m)))
+        return F.concat(F.coalesce(found, F.array().cast("array<struct<at:int,print:bigint>>")), *map(whole, lengths))
 
-    return let(F.concat(blank, w, blank), lambda padded: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: of_hashes(padded, h)))
+    return elements(let(F.transform(w, lambda x: F.xxhash64(x)), of_hashes))
 
 
 def index(benchmark: DataFrame) -> tuple[DataFrame, tuple[int, ...], int]:
@@ -93,10 +105,13 @@ def index(benchmark: DataFrame) -> tuple[DataFrame, tuple[int, ...], int]:
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, tk, n_words, n_hit, items): a row for each row; items are the ids of items with a window in it, as sorted strings."""
     table, lengths, size = index(benchmark)
+    at, mask = bit(F.col("print"))
+    filled = dict(table.groupBy(at.alias("i")).agg(F.bit_or(mask)).collect())  # FILTER_WORDS rows at most
+    seen = F.from_json(F.lit(str([filled.get(i, 0) for i in range(FILTER_WORDS)])), "array<long>")  # folded to one literal
     if size <= MAX_INDEX:
         table = F.broadcast(table)
     mark = lambda n: F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("print"), F.array().cast("array<string>").alias("near"), n.alias("n")))
-    found = lambda w: F.transform(prints(w, lengths), lambda p: F.struct(p["at"].alias("at"), p["print"].alias("print"), p["near"].alias("near"), F.lit(0).alias("n")))
+    found = lambda w: F.transform(prints(w, lengths, seen), lambda p: F.struct(p["at"].alias("at"), p["print"].alias("print"), p["near"].alias("near"), F.lit(0).alias("n")))
     rows = docs.select("doc_id", text_key().alias("tk"), F.explode(let(words(), lambda w: F.concat(mark(F.size(w)), found(w)))).alias("p")).select("doc_id", "tk", "p.*")
     rows = rows.join(table, "print", "left")
     same = F.slice("near", WINDOW - F.col("shift"), F.size("window")) == F.col("window")
