@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quartzloom.llm import decontam, linededup, packing, quality, simhash
-from quartzloom.llm.common import new_path, store
+from quartzloom.llm.common import new_path, remove, store
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), new_path(spark, name))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = new_path(spark, name)
+        docs = store(stage(spark, docs, sf_dir), path)
+        if last:
+            remove(spark, last)
+        last = path
+    out = STAGES[-1][1](spark, docs, sf_dir)  # packing has written its pieces by now and reads the documents no more
+    remove(spark, last)
+    return out
