@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What counts as a number. Spark's own cast also takes '1d' and surrounding blanks.
@@ -56,15 +56,24 @@ def p_scale(nanomolar: Column) -> Column:
     return F.when(nanomolar > 0, F.lit(9.0) - F.log10(nanomolar))
 
 
+def with_quantile(df: DataFrame, key: str, value: str, p: float, name: str) -> DataFrame:
+    """df with its key's exact quantile.
+
+    Quantiles are aggregated by distinct value before the shuffle and joined back: rows themselves move only where the
+    table of keys is too large to broadcast, and a hot key can then be split. A window would sort each key in one task.
+    """
+    q = df.groupBy(F.col(key).alias("_qk")).agg(F.percentile(value, F.lit(p)).alias(name))
+    return df.join(q, F.col(key).eqNullSafe(F.col("_qk")), "left").drop("_qk")
+
+
 def label_by_median(df: DataFrame, key: str, value: str) -> DataFrame:
     """threshold: the key's median; is_active: value >= threshold."""
-    out = df.withColumn("threshold", F.percentile(value, F.lit(0.5)).over(Window.partitionBy(key)))
-    return out.withColumn("is_active", F.col(value) >= F.col("threshold"))
+    return with_quantile(df, key, value, 0.5, "threshold").withColumn("is_active", F.col(value) >= F.col("threshold"))
 
 
 def label_by_quantile(df: DataFrame, key: str, value: str, p: float = 0.5) -> DataFrame:
     """active: 1 where value < the key's quantile, else 0."""
-    return df.withColumn("active", (F.col(value) < F.percentile(value, F.lit(p)).over(Window.partitionBy(key))).cast("int"))
+    return with_quantile(df, key, value, p, "_q").withColumn("active", (F.col(value) < F.col("_q")).cast("int")).drop("_q")
 
 
 def fold_change(wild: Column, mutant: Column) -> Column:

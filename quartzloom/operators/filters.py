@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -32,8 +32,8 @@ def non_empty(df: DataFrame, *cols: str) -> tuple[DataFrame, Observation]:
 
 
 def at_least(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Rows of keys with n rows or more."""
-    return df.withColumn("_n", F.count("*").over(Window.partitionBy(key))).filter(F.col("_n") >= n).drop("_n")
+    """Rows of keys with n rows or more; rows without a key go."""
+    return in_keys(df, df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= n), key)
 
 
 def varying(df: DataFrame, cols: list[str], least: float = 1e-9) -> list[str]:
