@@ -3,9 +3,9 @@
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the driver. A
 configuration is a multiset of lengths that fit one sequence. The program - cover all demands
 with the fewest configurations - is solved by multiplicative weights: each step prices the
-lengths, finds the most valuable configuration by knapsack dynamic programming, takes an amount of
-it, and lowers the weights of what it covered. The amounts are rounded down, and what is then
-left of the histogram is packed best-fit by length, largest first.
+lengths, finds the most valuable configurations by knapsack dynamic programming, takes amounts
+of them, and lowers the weights of what they cover. The amounts are rounded down, and what is then
+left of the histogram is packed best-fit by length, largest first, into the gaps and new sequences.
 
 Pieces get their places without a window over all pieces of a length: each task numbers its own
 pieces by length, and counts by (task, length) give the offsets. The numbered pieces are written
@@ -42,6 +42,8 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 #: Words kept with their ids in a worker, about 60 MB.
 WORDS_KEPT = 250_000
+#: Of equally full configurations, those of larger pieces are worth more: prices grow as length to this power more.
+LARGER = 0.05
 
 
 def byte_letters() -> dict[int, str]:
@@ -118,8 +120,8 @@ def pieces(docs: DataFrame, file: str = FILE, capacity: int = CAPACITY) -> DataF
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PIECES_DDL)
 
 
-def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of sizes (ascending) that fits: {index: copies}."""
+def price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack dynamic programming over sizes (ascending): the best value of each capacity, and the size that it took last (-1: none)."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
@@ -129,6 +131,11 @@ def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, i
             j = int(gain.argmax())
             if gain[j] > best[c]:
                 best[c], took[c] = gain[j], j
+    return best, took
+
+
+def trace(took: np.ndarray, sizes: np.ndarray, capacity: int) -> Counter:
+    """The multiset of a capacity's best value: {index: copies}."""
     out: Counter = Counter()
     c = capacity
     while c > 0:
@@ -137,27 +144,40 @@ def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, i
         else:
             out[int(took[c])] += 1
             c -= int(sizes[took[c]])
-    return dict(out)
+    return out
+
 
+def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int = 300, rate: float = 1.0, near: float = 0.97, batch: int = 32) -> list[tuple[dict[int, int], float]]:
+    """Amounts of configurations, by multiplicative weights.
 
-def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int = 300, rate: float = 0.5) -> list[tuple[dict[int, int], float]]:
-    """Amounts of configurations, by multiplicative weights, until their volume is that of the demand or the steps are used."""
-    weight, out, volume = np.ones(len(sizes)), [], 0.0
-    target = float((sizes * demand).sum())
+    Each step prices the lengths that are not yet covered, and takes configurations whose value is within ``near`` of the
+    best, each the best one with a given length in it, up to ``batch``. Amounts stay within what is not yet covered; a
+    length's weight falls with its covered share. Ends when a step finds no configuration, or the steps are used.
+    """
+    covered, out = np.zeros(len(sizes)), []
     for _ in range(steps):
-        if volume >= target:
+        value = np.where(demand - covered >= 1, sizes * (sizes / capacity) ** LARGER * np.exp(-rate * covered / demand), 0.0)
+        best, took = price(value, sizes, capacity)
+        total = np.where(value > 0, value + best[capacity - sizes], 0)
+        found = len(out)
+        for i in np.argsort(-total, kind="stable")[: 4 * batch].tolist():
+            if total[i] <= 0 or total[i] < near * best[capacity] or len(out) - found >= batch:
+                break
+            config = trace(took, sizes, capacity - int(sizes[i]))
+            config[i] += 1
+            amount = min((demand[j] - covered[j]) / k for j, k in config.items())
+            if amount >= 1:
+                amount = max(1.0, amount / 2)
+                for j, k in config.items():
+                    covered[j] += amount * k
+                out.append((dict(config), amount))
+        if len(out) == found:
             break
-        config = knapsack(sizes * weight, sizes, capacity)
-        amount = max(min(demand[i] / k for i, k in config.items()) * rate, 1.0)
-        for i, k in config.items():
-            weight[i] *= np.exp(-rate * min(1.0, amount * k / demand[i]))
-        volume += amount * sum(k * int(sizes[i]) for i, k in config.items())
-        out.append((config, amount))
     return out
 
 
-def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing over counts: bins with equal content are kept as one group."""
+def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int, begun: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing over counts, into begun bins first: bins with equal content are kept as one group."""
     groups: dict[int, list[list]] = {}  # by free space: [content, number of bins]
     open_ = np.zeros(capacity + 1, bool)
 
@@ -165,6 +185,8 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[d
         groups.setdefault(free, []).append([content, n])
         open_[free] = True
 
+    for config, n in begun:
+        add(capacity - sum(int(sizes[i]) * k for i, k in config.items()), tuple(i for i, k in config.items() for _ in range(k)), n)
     for i in range(len(sizes) - 1, -1, -1):
         size, n = int(sizes[i]), int(left[i])
         while n:
@@ -188,18 +210,24 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[d
     return [(dict(Counter(content)), n) for same in groups.values() for content, n in same]
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 300) -> list[tuple[dict[int, int], int]]:
-    """Configurations {length: copies} with how many sequences use each; together they hold exactly the histogram."""
-    sizes = np.array(sorted(histogram), np.int64)
-    left = np.array([histogram[int(s)] for s in sizes], np.int64)
+def round_down(sizes: np.ndarray, left: np.ndarray, amounts: list[tuple[dict[int, int], float]]) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of configurations within what is left, which is lowered."""
     plan = []
-    for config, amount in sorted(fractional(sizes, left.astype(float), capacity, steps) if len(sizes) else [], key=lambda x: -x[1]):
+    for config, amount in amounts:
         n = min(int(amount), *(int(left[i]) // k for i, k in config.items()))
         if n > 0:
             plan.append((config, n))
             for i, k in config.items():
                 left[i] -= n * k
-    return [({int(sizes[i]): k for i, k in config.items()}, n) for config, n in plan + best_fit(sizes, left, capacity)]
+    return plan
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 300) -> list[tuple[dict[int, int], int]]:
+    """Configurations {length: copies} with how many sequences use each; together they hold exactly the histogram."""
+    sizes = np.array(sorted(histogram), np.int64)
+    left = np.array([histogram[int(s)] for s in sizes], np.int64)
+    plan = round_down(sizes, left, fractional(sizes, left.astype(float), capacity, steps)) if len(sizes) else []
+    return [({int(sizes[i]): k for i, k in config.items()}, n) for config, n in best_fit(sizes, left, capacity, plan)]
 
 
 def places(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:

@@ -411,7 +411,17 @@ def test_packing_is_close_to_the_bound(seed):
             used[s] += n * k
     assert used == histogram
     bound = -(-sum(s * n for s, n in histogram.items()) // 4096)
-    assert sum(n for _, n in plan) <= bound * 1.004 + 1
+    assert sum(n for _, n in plan) <= bound * 1.001 + 1
+
+
+def test_the_program_packs_better_than_best_fit():
+    """Lengths of which two or three fit: full sequences need the right three."""
+    r = random.Random(1)
+    histogram = Counter(r.randint(1200, 2100) for _ in range(100_000))
+    sizes = np.array(sorted(histogram))
+    left = np.array([histogram[int(s)] for s in sizes])
+    plain = sum(n for _, n in packing.best_fit(sizes, left, 4096))
+    assert sum(n for _, n in packing.solve(histogram)) < 0.985 * plain
 
 
 def test_knapsack_is_exact():
@@ -423,7 +433,9 @@ def test_knapsack_is_exact():
         best = [0.0] * (cap + 1)
         for c in range(1, cap + 1):
             best[c] = max([best[c - 1], *(best[c - s] + v for s, v in zip(sizes.tolist(), value, strict=True) if s <= c)])
-        config = packing.knapsack(value, sizes, cap)
+        prices, took = packing.price(value, sizes, cap)
+        assert np.allclose(prices, best)
+        config = packing.trace(took, sizes, cap)
         assert sum(k * sizes[i] for i, k in config.items()) <= cap
         assert abs(sum(k * value[i] for i, k in config.items()) - best[cap]) < 1e-9
 
