@@ -101,7 +101,7 @@ class LineRuns:
 def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 3) -> DataFrame:
     """The documents with tk and drop: the hashes of the lines that each one loses, or null."""
     spark = docs.sparkSession
-    runs = LineRuns(spark, new_path(spark, "runs"), min_docs=min_docs)
+    runs = LineRuns(spark, new_path(spark, "runs"), fanout=2, min_docs=min_docs)  # the second batch makes a merge due
     for b in range(batches):
         runs.add(line_keys(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b), min_chars))
     path = new_path(spark, "frequent")
