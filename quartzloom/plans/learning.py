@@ -298,6 +298,25 @@ def kernel_gamma(spark, d):
     return spark.createDataFrame([(V.gamma_of(v, "v", "scale"), V.gamma_of(v, "v", "auto"))], "scale double, auto double").withColumn("scale", F.round("scale", 6))
 
 
+@query()
+def alignment_scores(spark, d):
+    """Part names against the name of the next part: score and offset of the best glocal alignment."""
+    from quartzloom.functions.sequences import align_udf
+
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return p.join(other, "p_partkey").select("p_partkey", align_udf(F.col("p_name"), F.col("other")).alias("a")).select("p_partkey", "a.score", "a.offset")
+
+
+@query("select p_partkey, 'A' || (p_size % 3 + 1) || 'W' as mutation, case when p_size % 3 = 0 then 100 + p_partkey when p_size % 3 = 1 then 100000000 else 100000003 end::bigint as position, 'GCT' as reference_bases, 'TGG' as alternate_bases from part")
+def genomic_variants(spark, d):
+    """A three-letter protein on two exons; each part changes one letter."""
+    from quartzloom.plans.pipelines import genomic_variants as variants
+
+    rows = table(spark, d, "part").selectExpr("p_partkey", "concat('A', p_size % 3 + 1, 'W') as mutation", "'AAA' as query", "'GCTGCTGCT' as cds", "0 as offset", "1 as strand", "array(named_struct('start', 100000000L, 'end', 100000005L), named_struct('start', 100L + p_partkey, 'end', 102L + p_partkey)) as exons")
+    return variants(rows).select("p_partkey", "mutation", "variant.*")
+
+
 # models
 
 

@@ -118,3 +118,50 @@ def training_table(rows: DataFrame, vectors: DataFrame, ligands: DataFrame) -> D
     """Rows with both vectors, joined late by key; rows without one of them go."""
     keyed = rows.withColumn("target_id", C.composite_key(F.col("uniprot_id"), F.col("mutation")))
     return joins.lookup_all(keyed, (vectors.withColumnRenamed("vec", "protein_vec"), "target_id"), (ligands.withColumnRenamed("vec", "ligand_vec"), "smiles"))
+
+
+def genomic_variants(df: DataFrame) -> DataFrame:
+    """df with variant (position, reference_bases, alternate_bases) of a point mutation, or reason why there is none.
+
+    df has mutation (X<n>Y), query (the protein that it is numbered by), cds, offset (of the alignment of query and
+    translated cds), strand (1 or -1) and exons (array of struct(start, end)).
+    """
+    protein = X.strip_unknown(X.translate_codons(F.col("cds")))
+    df = df.withColumns({"_p": X.parse_mutation(F.col("mutation")), "_t": protein})
+    df = df.withColumn("_at", X.locate_context(F.col("query"), F.col("_t"), F.col("_p.pos") - 1, F.col("offset")))
+    inside = (F.col("_at") >= 0) & (F.col("_at") < F.length("_t"))
+    df = df.withColumn("_c", F.when(inside, X.codon_change(F.substring("cds", F.col("_at") * 3 + 1, F.lit(3)), F.col("_p.alt"))))
+    place = F.col("_at") * 3 + F.col("_c.at")
+    walked = F.array_sort("exons")
+    walked = F.when(F.col("strand") > 0, walked).otherwise(F.reverse(walked))
+
+    def step(acc: Column, e: Column) -> Column:
+        length = (e["end"] - e["start"] + 1).cast("long")
+        rest = acc["rest"]
+        here = (rest >= 0) & (rest < length) & acc["position"].isNull()
+        position = F.when(here, F.when(F.col("strand") > 0, e["start"] + rest).otherwise(e["end"] - rest)).otherwise(acc["position"])
+        return F.struct((rest - length).alias("rest"), position.cast("long").alias("position"))
+
+    position = F.aggregate(walked, F.struct(place.cast("long").alias("rest"), F.lit(None).cast("long").alias("position")), step, lambda acc: acc["position"])
+    df = df.withColumn("_g", position)
+    reason = (
+        F.when(F.col("_p").isNull(), "not a point mutation")
+        .when(F.col("_at").isNull(), "context not found")
+        .when(~inside, "out of bounds")
+        .when(F.substring("_t", F.col("_at") + 1, F.lit(1)) != F.col("_p.ref"), "reference differs")
+        .when(F.col("_c").isNull(), "synonymous or no codon")
+        .when(F.col("_g").isNull(), "beyond the exons")
+    )
+    variant = F.struct(F.col("_g").alias("position"), F.col("_c.ref").alias("reference_bases"), F.col("_c.alt").alias("alternate_bases"))
+    return df.withColumn("reason", reason).withColumn("variant", F.when(F.col("reason").isNull(), variant)).drop("_p", "_t", "_at", "_c", "_g")
+
+
+def best_transcripts(transcripts: DataFrame, candidates: int = 25, least: float = 0.8) -> DataFrame:
+    """For each gene the transcript whose translation aligns best with the protein, if it reaches a share of the best possible score.
+
+    transcripts (gene, protein, id, start, end, cds): the longest candidates only are aligned.
+    """
+    top = splits.head_per_group(transcripts, ["gene"], candidates, F.desc(F.col("end") - F.col("start")), "id")
+    scored = top.withColumn("translated", X.strip_unknown(X.translate_codons(F.col("cds")))).withColumn("a", X.align_udf(F.col("protein"), F.col("translated")))
+    scored = scored.withColumns({"score": F.col("a.score"), "offset": F.col("a.offset"), "candidate": F.col("id")}).drop("a")
+    return joins.best_match(scored, "gene", "score", F.try_divide(F.col("score"), 5.0 * F.length("protein")), least).drop("candidate")

@@ -75,3 +75,38 @@ def test_pocket(spark):
     d = structures.describe(found).first()
     assert (d["num_residues"], round(d["volume_A3"], 1), d["hbond_donors"], d["net_charge"], d["polarity_score"]) == (2, 340.1, 5, 1.0, 0.5)
     assert structures.hydrophobic_area(found.withColumn("area", F.lit(2.0)), "area").first()["hydrophobic_area"] == 2.0
+
+
+def test_genomic_variants(spark):
+    cds = "ATGAAAACTGCTTATATTGCTAAATAA"  # M K T A Y I A K *
+    exons = "array(named_struct('start', 200L, 'end', 220L), named_struct('start', 100L, 'end', 108L))"
+    rows = [("K2T", 1), ("K2T", -1), ("A4W", 1), ("K2K", 1), ("G2A", 1), ("M99A", 1), ("bad", 1), ("Y5F", 1), ("*9K", 1)]
+    df = spark.createDataFrame(rows, "mutation string, strand int").selectExpr("*", "'MKTAYIAK*' as query", f"'{cds}' as cds", "0 as offset", f"{exons} as exons")
+    got = {(r["mutation"], r["strand"]): (r["reason"], r["variant"] and tuple(r["variant"])) for r in P.genomic_variants(df).collect()}
+    assert got["K2T", 1] == (None, (104, "A", "C")) or got["K2T", 1] == (None, (103, "AAA", "ACT"))
+    assert got["K2T", 1][1][0] - 100 == 220 - got["K2T", -1][1][0]
+    assert got["A4W", 1] == (None, (200, "GCT", "TGG")) and got["Y5F", 1] == (None, (204, "A", "T"))
+    assert got["K2K", 1][0] == "synonymous or no codon" and got["G2A", 1][0] == "reference differs" and got["bad", 1][0] == "not a point mutation"
+    assert got["M99A", 1][1] is None and got["*9K", 1][0] == "not a point mutation"
+
+
+def test_best_transcripts(spark):
+    rows = [("g", "MKT", "t1", 0, 10, "ATGAAAACT"), ("g", "MKT", "t2", 0, 90, "ATGGGGACT"), ("h", "MKT", "t3", 0, 5, "GGGGGGGGG")]
+    out = P.best_transcripts(spark.createDataFrame(rows, "gene string, protein string, id string, start long, end long, cds string")).collect()
+    assert [(r["gene"], r["id"], r["score"]) for r in out] == [("g", "t1", 15.0)]
+
+
+def test_worker_helpers(spark):
+    from quartzloom.operators.distinct import grouped, missing_only, with_model
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "k string, x int")
+    f = with_model(lambda: 10, lambda m, xs: [m * x for x in xs], "long")
+    assert sorted(r[0] for r in df.select(f(F.col("x"))).collect()) == [10, 20, 30, 40]
+    assert missing_only(df, df.filter("x < 3"), "k").count() == 2
+
+    def work(pdf):
+        if pdf["k"].iloc[0] == "b":
+            raise ValueError("no")
+        return {"total": int(pdf["x"].sum())} if pdf["k"].iloc[0] == "a" else None
+
+    assert {tuple(r) for r in grouped(df, ["k"], work, "total long").collect()} == {("a", 3, "success"), ("b", None, "error: no"), ("c", None, "empty")}
