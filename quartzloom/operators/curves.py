@@ -48,7 +48,7 @@ def initial_generalisation(df: DataFrame, val: str = "val", threshold: float = 0
 
 
 def detect(df: DataFrame, overfit: float = 0.9, plateau: float = 0.75, jump: float = 0.05, window: int = 500, min_delay: int = 500, sustain: int = 3, train: str = "train", val: str = "val", run: str = "run", epoch: str = "epoch") -> DataFrame:
-    """(run, mem, grok, delay, detected): memorisation, the event after it, -1 where there is none.
+    """(run, mem, event, delay, detected): memorisation, the event after it, -1 where there is none.
 
     Memorisation: the first full trailing mean of train above ``overfit``. The event: the first row after it, more than
     ``min_delay`` later, where the centred mean of val is below ``plateau``, rises by more than ``jump`` within a window,
@@ -65,8 +65,8 @@ def detect(df: DataFrame, overfit: float = 0.9, plateau: float = 0.75, jump: flo
         "_next": F.lead("_sm", w).over(order), "_post": F.sum("_sm").over(order.rowsBetween(w, sustain * w - 1)) / ((sustain - 1) * w),
     })
     event = (F.col("_i") > F.col("_fi")) & (F.col("_i") < F.col("_n") - sustain * w) & (F.col("_sm") < plateau) & (F.col("_i") - F.col("_fi") > later) & (F.col("_next") - F.col("_sm") > jump) & (F.col("_post") > plateau)
-    out = a.groupBy(run).agg(F.coalesce(F.max("_mem"), F.lit(-1)).alias("mem"), F.coalesce(F.min(F.when(event, F.col(epoch))), F.lit(-1)).alias("grok"))
-    return out.withColumns({"delay": F.when((F.col("mem") != -1) & (F.col("grok") != -1), F.col("grok") - F.col("mem")).otherwise(-1), "detected": F.col("grok") != -1})
+    out = a.groupBy(run).agg(F.coalesce(F.max("_mem"), F.lit(-1)).alias("mem"), F.coalesce(F.min(F.when(event, F.col(epoch))), F.lit(-1)).alias("event"))
+    return out.withColumns({"delay": F.when((F.col("mem") != -1) & (F.col("event") != -1), F.col("event") - F.col("mem")).otherwise(-1), "detected": F.col("event") != -1})
 
 
 def analyse(df: DataFrame, least: int = 100, **options) -> DataFrame:

@@ -50,19 +50,19 @@ DETECT = FILLED + """, a as (select run, epoch, train as tr, val as va, row_numb
  count(train) over (partition by run order by epoch rows between 4 preceding and current row) as tc from f),
 h as (select run, min(case when tc = 5 and tt > 0.5 and n >= 20 then i end) as fi, min(case when tc = 5 and tt > 0.5 and n >= 20 then epoch end) as mem from a group by run),
 b as (select a.*, lead(sm, 5) over (partition by run order by epoch) as s5, sum(sm) over (partition by run order by epoch rows between 5 following and 14 following) / 10 as post from a),
-r as (select h.run, coalesce(max(h.mem), -1)::integer as mem, coalesce(min(case when b.i > h.fi and b.i < b.n - 15 and b.sm < 0.5 and b.i - h.fi > 5 and b.s5 - b.sm > 0.05 and b.post > 0.5 then b.epoch end), -1)::integer as grok from h join b on b.run = h.run group by h.run)"""
+r as (select h.run, coalesce(max(h.mem), -1)::integer as mem, coalesce(min(case when b.i > h.fi and b.i < b.n - 15 and b.sm < 0.5 and b.i - h.fi > 5 and b.s5 - b.sm > 0.05 and b.post > 0.5 then b.epoch end), -1)::integer as event from h join b on b.run = h.run group by h.run)"""
 
 
 def detected(spark, d):
     return curves.detect(curves.forward_fill(series(spark, d), ["val", "train"]), overfit=0.5, plateau=0.5)
 
 
-@query(f"with {DETECT} select run, mem, grok, case when mem <> -1 and grok <> -1 then grok - mem else -1 end as delay, grok <> -1 as detected from r")
+@query(f"with {DETECT} select run, mem, event, case when mem <> -1 and event <> -1 then event - mem else -1 end as delay, event <> -1 as detected from r")
 def delayed_event(spark, d):
     return detected(spark, d)
 
 
-@query(f"""with {DETECT}, e as (select run, run % 10 as target, grok - mem as delay from r where grok <> -1 and mem <> -1), q as (select run % 10 as target, avg((grok <> -1)::integer) as freq from r group by 1),
+@query(f"""with {DETECT}, e as (select run, run % 10 as target, event - mem as delay from r where event <> -1 and mem <> -1), q as (select run % 10 as target, avg((event <> -1)::integer) as freq from r group by 1),
 lo as (select 'Longest Delay' as label, run, target from e order by delay desc, run limit 1), sh as (select 'Shortest Delay' as label, run, target from e order by delay, run limit 1),
 tp as (select target from q order by freq desc, target limit 1),
 hf as (select 'Highest Frequency' as label, run, target from e where target = (select target from tp) and target not in (select target from lo union select target from sh) order by run limit 1),

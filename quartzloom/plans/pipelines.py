@@ -68,15 +68,15 @@ def hierarchical_splits(pool: DataFrame, config, depth: int, seed: int = 42):
 def meta_analysis(runs: DataFrame, descriptors: DataFrame, features: list[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """By target: event frequency, mean delay and first generalisation, feature means and spreads; and their correlations.
 
-    runs (uniprot_id, grokking_detected, grokking_delay, initial_generalization_epoch), descriptors (uniprot_id, features).
+    runs (uniprot_id, event_detected, event_delay, initial_generalization_epoch), descriptors (uniprot_id, features).
     """
     stats = A.mean_std(descriptors.withColumns({f: C.to_number(F.col(f).cast("string")) for f in features}), ["uniprot_id"], features)
-    summary = runs.filter("uniprot_id is not null").groupBy("uniprot_id").agg(A.share_true("grokking_detected").alias("grokking_frequency"), A.without_sentinel("grokking_delay").alias("average_grokking_delay"), A.without_sentinel("initial_generalization_epoch").alias("average_initial_generalization_epoch"))
+    summary = runs.filter("uniprot_id is not null").groupBy("uniprot_id").agg(A.share_true("event_detected").alias("event_frequency"), A.without_sentinel("event_delay").alias("average_event_delay"), A.without_sentinel("initial_generalization_epoch").alias("average_initial_generalization_epoch"))
     table = summary.join(stats, "uniprot_id")
     cols = filters.varying(table, [c for c in table.columns if "_mean" in c or c.endswith("_std")])
     tables = {
-        "grokking_frequency": A.correlations(table, "grokking_frequency", cols),
-        "average_grokking_delay": A.correlations(table.filter("grokking_frequency > 0").dropna(subset=["average_grokking_delay"]), "average_grokking_delay", cols),
+        "event_frequency": A.correlations(table, "event_frequency", cols),
+        "average_event_delay": A.correlations(table.filter("event_frequency > 0").dropna(subset=["average_event_delay"]), "average_event_delay", cols),
         "average_initial_generalization_epoch": A.correlations(table.dropna(subset=["average_initial_generalization_epoch"]), "average_initial_generalization_epoch", cols),
     }
     return table, tables

@@ -36,7 +36,7 @@ def windowed_counts(stream: DataFrame, time: str, late: str, width: str, *keys:
 
 
 def curve_events(stream: DataFrame, overfit: float = 0.9, plateau: float = 0.75, jump: float = 0.05, window: int = 500, min_delay: int = 500, sustain: int = 3):
-    """(run, mem, grok) once an event is certain: rows (run, epoch, train, val) come in epoch order, and a candidate is decided when sustain windows have followed it.
+    """(run, mem, event) once an event is certain: rows (run, epoch, train, val) come in epoch order, and a candidate is decided when sustain windows have followed it.
 
     State of a run is the last rows that a decision can still need, not the whole curve.
     """
@@ -65,6 +65,6 @@ def curve_events(stream: DataFrame, overfit: float = 0.9, plateau: float = 0.75,
             if len(epochs) > keep + w:
                 epochs, train, val = epochs[1:], train[1:], val[1:]
         state.update((first, mem, done, seen, epochs, train, val))
-        yield pd.DataFrame(found, columns=["run", "mem", "grok"])
+        yield pd.DataFrame(found, columns=["run", "mem", "event"])
 
-    return stream.groupBy("run").applyInPandasWithState(run, "run long, mem int, grok int", "first int, mem int, done boolean, seen int, epochs array<int>, train array<double>, val array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("run").applyInPandasWithState(run, "run long, mem int, event int", "first int, mem int, done boolean, seen int, epochs array<int>, train array<double>, val array<double>", "append", GroupStateTimeout.NoTimeout)

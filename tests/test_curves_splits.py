@@ -11,7 +11,7 @@ from quartzloom.operators import curves, splits
 
 def loop(tr, va, w=5, mult=3, delay=5, over=0.9, plateau=0.75, jump=0.05):
     n = len(tr)
-    mem = grok = -1
+    mem = event = -1
     if n >= w * (mult + 1):
         first = next((i for i in range(w - 1, n) if sum(tr[i - w + 1 : i + 1]) / w > over), None)
         if first is not None:
@@ -23,9 +23,9 @@ def loop(tr, va, w=5, mult=3, delay=5, over=0.9, plateau=0.75, jump=0.05):
                 sm.append(sum(part) / len(part))
             for i in range(first + 1, n - mult * w):
                 if sm[i] < plateau and i - first > delay and sm[i + w] - sm[i] > jump and sum(sm[i + w : i + mult * w]) / ((mult - 1) * w) > plateau:
-                    grok = i
+                    event = i
                     break
-    return mem, grok
+    return mem, event
 
 
 def random_curves(seed, n=80):
@@ -43,7 +43,7 @@ def random_curves(seed, n=80):
 def test_detection(spark):
     rows, want = random_curves(0)
     got = {r["run"]: r for r in curves.detect(spark.createDataFrame(rows, "run long, epoch int, train double, val double")).collect()}
-    assert {k: (r["mem"], r["grok"]) for k, r in got.items()} == want
+    assert {k: (r["mem"], r["event"]) for k, r in got.items()} == want
     assert sum(g >= 0 for _, g in want.values()) > 10
     for k, (m, g) in want.items():
         assert got[k]["delay"] == (g - m if g >= 0 else -1) and got[k]["detected"] == (g >= 0)
@@ -61,7 +61,7 @@ def test_streaming_detection_agrees(spark, tmp_path):
     q = curve_events(stream).writeStream.format("memory").queryName("ql_events").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    got = {r["run"]: (r["mem"], r["grok"]) for r in spark.table("ql_events").collect()}
+    got = {r["run"]: (r["mem"], r["event"]) for r in spark.table("ql_events").collect()}
     assert got == {k: v for k, v in want.items() if v[1] >= 0}
 
 

@@ -52,18 +52,18 @@ def test_mutant_pairs_sql(spark):
 
 
 def test_meta_analysis(spark):
-    runs = spark.createDataFrame([("a", True, 100, 5), ("a", False, -1, -1), ("b", True, 300, 6), ("c", False, -1, 7), (None, True, 1, 1)], "uniprot_id string, grokking_detected boolean, grokking_delay int, initial_generalization_epoch int")
+    runs = spark.createDataFrame([("a", True, 100, 5), ("a", False, -1, -1), ("b", True, 300, 6), ("c", False, -1, 7), (None, True, 1, 1)], "uniprot_id string, event_detected boolean, event_delay int, initial_generalization_epoch int")
     desc = spark.createDataFrame([("a", "1.0", "5"), ("a", "3.0", "5"), ("b", "8", "5"), ("c", "x", "5")], "uniprot_id string, f string, flat string")
     table, tables = P.meta_analysis(runs, desc, ["f", "flat"])
     rows = {r["uniprot_id"]: r for r in table.collect()}
-    assert rows["a"]["grokking_frequency"] == 0.5 and rows["a"]["average_grokking_delay"] == 100 and rows["c"]["average_grokking_delay"] is None and rows["a"]["f_mean"] == 2
-    assert {r["feature"] for r in tables["grokking_frequency"].collect()} == {"f_mean", "f_std"}
+    assert rows["a"]["event_frequency"] == 0.5 and rows["a"]["average_event_delay"] == 100 and rows["c"]["average_event_delay"] is None and rows["a"]["f_mean"] == 2
+    assert {r["feature"] for r in tables["event_frequency"].collect()} == {"f_mean", "f_std"}
 
 
 def test_run_summary(spark):
     rows = [("P1-lr0.1", i * 100, 1.0, 0.5) for i in range(120)] + [("P2-lr0.1", i * 100, 1.0, 0.9) for i in range(30)]
     out = {r["uniprot_id"]: r for r in P.run_summary(spark.createDataFrame(rows, "run string, epoch int, train double, val double"), spark.createDataFrame([("P1", 4)], "uniprot_id string, num_scaffolds int")).collect()}
-    assert out["P1"]["status"] == "success" and out["P1"]["mem"] == 400 and out["P1"]["grok"] == -1 and out["P1"]["num_scaffolds"] == 4
+    assert out["P1"]["status"] == "success" and out["P1"]["mem"] == 400 and out["P1"]["event"] == -1 and out["P1"]["num_scaffolds"] == 4
     assert out["P2"]["status"] == "too_short" and out["P2"]["mem"] is None
 
 
