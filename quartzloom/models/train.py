@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quartzloom.models import svgp, svm
 from quartzloom.operators.splits import draw
@@ -102,3 +103,15 @@ def sweep_logs(df: DataFrame, vector: str, label: str, grid: DataFrame, epochs:
 
     rows = training_rows(df, vector, label, cap, seed).join(F.broadcast(grid))
     return rows.groupBy(*names).applyInPandas(run, LOG)
+
+
+def predictor(state: svgp.State):
+    """A column function of scaled vectors: struct(mean, variance, probability, label). The state is a few inducing points."""
+    kind = T.StructType([*(T.StructField(n, T.DoubleType()) for n in ("mean", "variance", "probability")), T.StructField("label", T.IntegerType())])
+
+    @F.pandas_udf(kind)
+    def run(x: pd.Series) -> pd.DataFrame:
+        mean, var, p = svgp.predict(state, np.array(x.tolist(), float))
+        return pd.DataFrame({"mean": mean, "variance": var, "probability": p, "label": (p > 0.5).astype("int32")})
+
+    return run
