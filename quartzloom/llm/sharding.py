@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quartzloom.llm.common import cut, map_arrow, record
 
-SHARDS, VNODES = 24, 64
+SHARDS, VNODES = 24, 256
 OUT = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("text_crc32", pa.int64()), ("law", pa.string()), ("shard", pa.int32()), ("slot", pa.int64()), ("grown_shard", pa.int32()), ("home_shard", pa.int32())])
 OUT_DDL = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, home_shard int"
 

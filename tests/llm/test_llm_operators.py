@@ -519,5 +519,5 @@ def test_sharding_moves_little(spark):
     df = frame(spark, ["x"] * 4000, list(range(4000)))
     a = {r["doc_id"]: r["shard"] for r in sharding.assign(df, 24).collect()}
     b = {r["doc_id"]: r["shard"] for r in sharding.assign(df, 25).collect()}
-    assert sum(a[i] != b[i] for i in a) < 0.4 * len(a)  # all but 1/25 with hashing modulo
-    assert sum(r["shard"] == r["home_shard"] for r in sharding.assign(df, 24).collect()) > 0.8 * len(a)
+    assert sum(a[i] != b[i] for i in a) < 0.1 * len(a)  # 0.04 is the least; hashing modulo moves 0.96
+    assert sum(r["shard"] == r["home_shard"] for r in sharding.assign(df, 24).collect()) > 0.95 * len(a)
