@@ -29,8 +29,12 @@ class Settings:
     optimizer: str = "adam"
     temperature: float = 1e-3
     learn_kernel: bool = True
-    #: A random linear encoder to so many dimensions; 0 for none.
+    #: A linear encoder to so many dimensions, trained with the rest; 0 for none.
     encoder_dim: int = 0
+    learn_encoder: bool = True
+    #: Without it the inducing points stay where they were drawn.
+    learn_inducing: bool = False
+    learn_offset: bool = True
 
 
 @dataclass
@@ -112,6 +116,39 @@ def gradients(s: State, x: np.ndarray, y: np.ndarray, n: int, noise: np.ndarray)
     return out
 
 
+def encoder_gradient(s: State, x: np.ndarray, y: np.ndarray, n: int, noise: np.ndarray) -> np.ndarray:
+    """Of the loss in the encoder, through the kernel between encoded rows and inducing points."""
+    e, gamma = s.encode(x), np.exp(s.log_gamma)
+    mean, var, _ = moments(s, e)
+    sd = np.sqrt(var)
+    slope = y - sigmoid(mean + sd * noise)
+    g_mean, g_var = slope.mean(0), (slope * noise).mean(0) / (2 * sd)
+    ki = inv(kernel(s.z, s.z, s.log_gamma, s.log_amp) + s.settings.jitter * np.eye(len(s.z)))
+    k = kernel(e, s.z, s.log_gamma, s.log_amp)
+    inner = ki - ki @ s.low @ s.low.T @ ki
+    g_k = (g_mean[:, None] * (ki @ s.m)[None, :] - 2 * g_var[:, None] * (k @ inner)) * k
+    g_e = -2 * gamma * (g_k.sum(1)[:, None] * e - g_k @ s.z)
+    return -n / len(x) * x.T @ g_e
+
+
+def inducing_gradient(s: State, e: np.ndarray, y: np.ndarray, n: int, noise: np.ndarray) -> np.ndarray:
+    """Of the loss in the inducing points: through the kernel with the rows, and through that of the points among themselves."""
+    gamma, up, cov = np.exp(s.log_gamma), n / len(e), s.low @ s.low.T
+    mean, var, _ = moments(s, e)
+    sd = np.sqrt(var)
+    slope = y - sigmoid(mean + sd * noise)
+    g_mean, g_var = slope.mean(0), (slope * noise).mean(0) / (2 * sd)
+    plain = kernel(s.z, s.z, s.log_gamma, s.log_amp)
+    ki = inv(plain + s.settings.jitter * np.eye(len(s.z)))
+    k = kernel(e, s.z, s.log_gamma, s.log_amp)
+    cross = -up * (g_mean[:, None] * (ki @ s.m)[None, :] - 2 * g_var[:, None] * (k @ (ki - ki @ cov @ ki))) * k
+    kk = (k * g_var[:, None]).T @ k
+    g_ki = -up * (np.outer(k.T @ g_mean, s.m) - kk + kk @ ki @ cov + cov @ ki @ kk) + 0.5 * (cov + np.outer(s.m, s.m))
+    g_kzz = (-ki @ g_ki @ ki + 0.5 * ki) * plain
+    both = g_kzz + g_kzz.T
+    return -2 * gamma * (cross.sum(0)[:, None] * s.z - cross.T @ e + both.sum(1)[:, None] * s.z - both @ s.z)
+
+
 def fit(x: np.ndarray, y: np.ndarray, settings: Settings | None = None, log: Callable[[int, State, float], None] | None = None) -> State:
     """y in 0/1. log(epoch, state, mean loss of the epoch) is called after each epoch. The remainder of a batch is left out of an epoch, unless all rows are fewer than a batch."""
     c = settings or Settings()
@@ -128,7 +165,14 @@ def fit(x: np.ndarray, y: np.ndarray, settings: Settings | None = None, log: Cal
         for k in range(0, len(e) - size + 1, size):
             at = order[k : k + size]
             noise = rng.standard_normal((c.draws, size))
-            g = gradients(s, e[at], y[at], len(e), noise)
+            batch = s.encode(x[at])
+            g = gradients(s, batch, y[at], len(e), noise)
+            if encoder is not None and c.learn_encoder:
+                g["encoder"] = encoder_gradient(s, x[at], y[at], len(e), noise)
+            if c.learn_inducing:
+                g["z"] = inducing_gradient(s, batch, y[at], len(e), noise)
+            if not c.learn_offset:
+                del g["offset"]
             t += 1
             for name, d in g.items():
                 if c.optimizer == "adam":
@@ -139,7 +183,7 @@ def fit(x: np.ndarray, y: np.ndarray, settings: Settings | None = None, log: Cal
                     move = -c.lr * d + np.sqrt(2 * c.lr * c.temperature) * rng.standard_normal(np.shape(d))
                     move = np.tril(move) if name == "low" else move
                 setattr(s, name, getattr(s, name) + (move if np.ndim(move) else float(move)))
-            total.append(loss(s, e[at], y[at], len(e), noise))
+            total.append(loss(s, s.encode(x[at]), y[at], len(e), noise))
         if log:
             log(epoch, s, float(np.mean(total)))
     return s

@@ -95,6 +95,38 @@ def test_gradients_agree_with_differences():
             assert abs((one(up) - one(down)) / 2e-6 - g[name][at]) < 1e-3 * max(1, abs(g[name][at]))
 
 
+def test_encoder_gradient():
+    r = np.random.default_rng(1)
+    x, y, noise = r.normal(size=(12, 4)), r.integers(0, 2, 12).astype(float), r.standard_normal((20, 12))
+    w = r.normal(size=(4, 2)) * 0.5
+    low = np.tril(r.normal(size=(5, 5))) * 0.2 + np.eye(5)
+    make = lambda w: svgp.State((x @ w0)[:5], m, low, np.array([-0.5, 0.1]), 0.2, 0.1, w)
+    w0, m = w.copy(), r.normal(size=5)
+    g = svgp.encoder_gradient(make(w), x, y, 30, noise)
+    for i, j in ((0, 0), (1, 1), (3, 0)):
+        up, down = w.copy(), w.copy()
+        up[i, j] += 1e-6
+        down[i, j] -= 1e-6
+        one = lambda v: svgp.loss(make(v), x @ v, y, 30, noise)
+        assert abs((one(up) - one(down)) / 2e-6 - g[i, j]) < 1e-3 * max(1, abs(g[i, j]))
+
+
+def test_inducing_gradient():
+    r = np.random.default_rng(2)
+    e, y, noise = r.normal(size=(12, 2)), r.integers(0, 2, 12).astype(float), r.standard_normal((20, 12))
+    z, m, low = e[:5] + 0.1, r.normal(size=5), np.tril(r.normal(size=(5, 5))) * 0.2 + np.eye(5)
+    make = lambda z: svgp.State(z, m, low, np.array([-0.5, 0.1]), 0.2, 0.1)
+    g = svgp.inducing_gradient(make(z), e, y, 30, noise)
+    for i, j in ((0, 0), (2, 1), (4, 0)):
+        up, down = z.copy(), z.copy()
+        up[i, j] += 1e-6
+        down[i, j] -= 1e-6
+        slope = (svgp.loss(make(up), e, y, 30, noise) - svgp.loss(make(down), e, y, 30, noise)) / 2e-6
+        assert abs(slope - g[i, j]) < 1e-3 * max(1, abs(g[i, j]))
+    s = svgp.fit(e, y, svgp.Settings(inducing=5, epochs=3, lr=0.05, learn_inducing=True, learn_offset=False))
+    assert s.offset == 0 and not np.allclose(s.z, svgp.fit(e, y, svgp.Settings(inducing=5, epochs=3, lr=0.05)).z)
+
+
 def brute_ward(x, k):
     groups = [[i] for i in range(len(x))]
     cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
