@@ -142,18 +142,17 @@ def op2_quality(spark, sf_dir: str) -> DataFrame:
 
 #: Every column of the query; 0x20, 0x09-0x0D as in the contract.
 OP2_SQL = r"""
-WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-l AS (
-  SELECT doc_id, t, w, len(w) AS n, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-         [array_to_string(w[i:i+7], ' ') FOR i IN range(1, len(w) - 6)] AS g FROM d),
-c AS (
-  SELECT *, list_filter(range(1, len(g) + 1), lambda i: (map_from_entries(list_transform(map_entries(list_histogram(g)), lambda e: {'k': e.key, 'v': e.value})))[g[i]] > 1) AS hits FROM l),
+WITH l AS (
+  SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM l)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM g),
+h AS (SELECT r, count(DISTINCT p)::BIGINT AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM c WHERE k > 1) GROUP BY r),
 m AS (
-  SELECT doc_id, n::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-         len(list_distinct(flatten([range(h, h + 8) FOR h IN hits])))::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
-         len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x)))::BIGINT AS n_upper_words FROM c),
+         coalesce(h.n, 0) AS n_repeat_words, len(lines)::BIGINT AS n_lines,
+         len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x)))::BIGINT AS n_upper_words FROM l LEFT JOIN h ON l.r = h.r),
 b AS (
   SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
