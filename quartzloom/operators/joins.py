@@ -8,14 +8,6 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side is broadcast by hand only below this many rows, counted first.
-SMALL = 100_000
-
-
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """The table with a broadcast hint if it has few rows; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 def lookup_all(df: DataFrame, *tables: tuple[DataFrame, str]) -> DataFrame:
     """Inner joins with several dictionaries; a row missing in any of them goes."""
