@@ -147,6 +147,21 @@ def fit_kernel(k: np.ndarray, y: np.ndarray, o: Options | None = None) -> Model:
     return Model("fitted", s.alpha, s.b, n, support=np.flatnonzero(s.alpha > o.eps))
 
 
+#: Points up to which a Gram matrix is held (n^2 memory); beyond, its rows are computed as they are needed.
+GRAM = 5_000
+
+
+def fit_rbf(x: np.ndarray, y: np.ndarray, gamma: float, o: Options | None = None) -> Model:
+    """A kernel model of any number of points."""
+    o = o or Options()
+    if len(x) <= GRAM or len(set(y.tolist())) < 2:
+        return fit_kernel(rbf_matrix(x, x, gamma) if len(x) <= GRAM else np.zeros((0, 0)), y, o)
+    square = (x * x).sum(1)
+    s = Solver(lambda i: np.exp(-gamma * np.maximum(square + square[i] - 2 * (x @ x[i]), 0)), np.ones(len(x)), y, o)
+    n = s.solve(lambda i, ki: s.partners(i, ki))
+    return Model("fitted", s.alpha, s.b, n, support=np.flatnonzero(s.alpha > o.eps))
+
+
 def fit_pairs_linear(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, y: np.ndarray, o: Options | None = None) -> Model:
     """A linear model of concatenated vectors that are never stored: row = left[pairs[:, 0]] . . + right[pairs[:, 1]] . ."""
     o = o or Options()

@@ -1,11 +1,14 @@
-"""Many small models at once: a task of a parameter grid is a group, trained by one worker.
+"""Many small models at once: a task of a parameter grid is a group, trained by one worker on all rows
+that are not for testing, unless a cap on them is given. Every row is then scored in partitions with the
+fitted models, and measures are taken over all scores.
 
-A model's rows are capped (1,000 by default, as for a target's ligands) by a draw that does not
-depend on partitioning, so a group always fits a worker.
+A worker needs memory for a task's training rows, and time that grows faster than their number.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,96 +16,153 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quartzloom.models import svgp, svm
+from quartzloom.operators.aggregates import auc
 from quartzloom.operators.splits import draw
+from quartzloom.session import cut
 
 RESULT = "status string, n_train long, n_test long, n_support long, iterations long, train_accuracy double, test_accuracy double, train_auc double, test_auc double"
+#: Entries of a kernel matrix held at a time when scoring.
+BLOCK = 2_000_000
 
 
-def training_rows(df: DataFrame, vector: str, label: str, cap: int, seed: int) -> DataFrame:
-    """(x, y, test) of at most cap rows; a fifth is for testing."""
+def marked_rows(df: DataFrame, vector: str, label: str, seed: int) -> DataFrame:
+    """(x, y, test, draw) of every row; a fifth is for testing, by a draw that does not depend on partitioning."""
     d = draw(seed, F.col(vector).cast("string"))
-    return df.select(F.col(vector).alias("x"), F.col(label).cast("int").alias("y"), d.alias("_d")).orderBy("_d").limit(cap).select("x", "y", (F.conv(F.substring("_d", 1, 4), 16, 10).cast("int") % 5 == 0).alias("test"))
+    return df.select(F.col(vector).alias("x"), F.col(label).cast("int").alias("y"), d.alias("_d")).select("x", "y", (F.conv(F.substring("_d", 1, 4), 16, 10).cast("int") % 5 == 0).alias("test"), "_d")
+
+
+def training_rows(rows: DataFrame, cap: int | None) -> DataFrame:
+    """(x, y) of the rows not for testing, or of cap of them by draw."""
+    train = rows.filter("not test")
+    return (train if cap is None else train.orderBy("_d").limit(cap)).select("x", "y")
+
 
+def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    pdf = pdf.assign(k=[tuple(x) for x in pdf["x"]]).sort_values(["k", "y"])
+    return np.array(pdf["x"].tolist(), float), pdf["y"].to_numpy()
 
-def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    pdf = pdf.assign(k=[tuple(x) for x in pdf["x"]]).sort_values(["test", "k"])
-    return np.array(pdf["x"].tolist(), float), pdf["y"].to_numpy(), pdf["test"].to_numpy(bool)
 
+def numbered(grid: DataFrame) -> DataFrame:
+    """The tasks of a grid, with a number each."""
+    return grid.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(grid.collect())], "_task int, " + ", ".join(f"{n} {t}" for n, t in grid.dtypes))
 
-def evaluate(kind: str, params: dict, x: np.ndarray, y: np.ndarray, test: np.ndarray) -> dict:
-    """Fit on the rows not for testing, and score both parts."""
-    train = ~test
+
+def fit(kind: str, params: dict, x: np.ndarray, y: np.ndarray) -> tuple[dict, dict]:
+    """What is known of the fit, and what scoring needs."""
     sign = np.where(y > 0, 1, -1)
-    support = iterations = 0
-    status = "fitted"
+    z, mean, std = svm.scale(x)
+    model = {"kind": kind, "mean": mean, "std": std}
     if kind == "svgp":
-        z, mean, std = svm.scale(x[train])
         settings = svgp.Settings(**{"inducing": 50} | {k: v for k, v in params.items() if k in svgp.Settings.__dataclass_fields__})
-        s = svgp.fit(z, y[train], settings)
-        score = svgp.predict(s, svm.normalise(x, mean, std))[2] - 0.5
-        support, iterations = len(s.z), settings.epochs
+        s = svgp.fit(z, y, settings)
+        return {"status": "fitted", "n_train": len(x), "n_support": len(s.z), "iterations": settings.epochs}, model | {"state": s}
+    options = svm.Options(**{"max_iter": 100} | {k: v for k, v in params.items() if k in svm.Options.__dataclass_fields__})
+    if kind == "linear":
+        m = svm.fit_linear(z, sign, options)
+        model |= {"w": m.w, "b": m.b}
     else:
-        options = svm.Options(**{"max_iter": 100} | {k: v for k, v in params.items() if k in svm.Options.__dataclass_fields__})
-        z, mean, std = svm.scale(x[train])
-        all_ = svm.normalise(x, mean, std)
-        if kind == "linear":
-            m = svm.fit_linear(z, sign[train], options)
-            score = svm.decide_linear(m, all_)
-        else:
-            gamma = params.get("gamma") or 1.0 / (z.shape[1] * z.var() or 1.0)
-            m = svm.fit_kernel(svm.rbf_matrix(z, z, gamma), sign[train], options)
-            score = svm.decide_kernel(m, svm.rbf_matrix(all_, z, gamma), sign[train])
-        status, support, iterations = m.status, len(m.support), m.iterations
-    guess = score >= 0
-    acc = lambda p: float((guess[p] == (y[p] > 0)).mean()) if p.any() else None
-    area = lambda p: None if np.isnan(a := svm.auc(y[p], score[p])) else a
-    return {"status": status, "n_train": int(train.sum()), "n_test": int(test.sum()), "n_support": support, "iterations": iterations, "train_accuracy": acc(train), "test_accuracy": acc(test), "train_auc": area(train), "test_auc": area(test)}
-
-
-def sweep(df: DataFrame, vector: str, label: str, kind: str, grid: DataFrame, cap: int = 1000, seed: int = 42) -> DataFrame:
-    """The grid's columns with the results of each task. A task that fails has its message as status."""
+        gamma = params.get("gamma") or 1.0 / (z.shape[1] * z.var() or 1.0)
+        m = svm.fit_rbf(z, sign, gamma, options)
+        model |= {"points": z[m.support], "weights": m.alpha[m.support] * sign[m.support], "b": m.b, "gamma": gamma}
+    return {"status": m.status, "n_train": len(x), "n_support": len(m.support), "iterations": m.iterations}, model
+
+
+def decide(model: dict, x: np.ndarray) -> np.ndarray:
+    """Scores of rows: at 0 or above, the label is 1."""
+    z = svm.normalise(x, model["mean"], model["std"])
+    if model["kind"] == "svgp":
+        return svgp.predict(model["state"], z)[2] - 0.5
+    if model["kind"] == "linear":
+        return z @ model["w"] + model["b"]
+    step = max(1, BLOCK // max(1, len(model["points"])))
+    parts = [svm.rbf_matrix(z[k : k + step], model["points"], model["gamma"]) @ model["weights"] for k in range(0, len(z), step)]
+    return np.concatenate(parts) + model["b"]
+
+
+def scored(rows: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
+    """(_task, *keys, test, y, score) of every row by every model (_task, *keys, model). Rows are dealt in parts, and each meets the models of one task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    types = dict(models.dtypes)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("_task", "int32"), *((k, "int32") for k in keys), ("test", bool), ("y", "int32"), ("score", float))})]
+        if len(left) and len(right):
+            x, y, test = np.array(left["x"].tolist(), float), (left["y"].to_numpy() > 0).astype("int32"), left["test"].to_numpy(bool)
+            for _, r in right.iterrows():
+                out.append(pd.DataFrame({"_task": r["_task"], **{k: r[k] for k in keys}, "test": test, "y": y, "score": decide(pickle.loads(r["model"]), x)}))
+        return pd.concat(out[1:] or out)
+
+    part = F.pmod(F.xxhash64("_d"), F.lit(parts)).cast("int").alias("_part")
+    left = rows.select("x", "y", "test", part).join(F.broadcast(models.select(F.col("_task").alias("_of")).distinct()))
+    right = models.select("_task", *keys, "model").join(F.broadcast(rows.sparkSession.range(parts).select(F.col("id").cast("int").alias("_part"))))
+    schema = ", ".join(["_task int", *(f"{k} {types[k]}" for k in keys), "test boolean", "y int", "score double"])
+    return left.groupBy("_of", "_part").cogroup(right.groupBy("_task", "_part")).applyInPandas(run, schema)
+
+
+def sweep(df: DataFrame, vector: str, label: str, kind: str, grid: DataFrame, cap: int | None = None, seed: int = 42) -> DataFrame:
+    """The grid's columns with the results of each task. A task that fails has its message as status.
+
+    All rows are scored; cap, if given, bounds the rows fitted only, and train_* are over all rows not for testing.
+    """
     names = grid.columns
-    types = ", ".join(f"{n} {t}" for n, t in grid.dtypes)
+    facts = ["status", "n_train", "n_support", "iterations"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         params = {n: pdf[n].iloc[0].item() if hasattr(pdf[n].iloc[0], "item") else pdf[n].iloc[0] for n in names}
         try:
-            out = evaluate(kind, params, *arrays(pdf))
+            out, model = fit(kind, params, *arrays(pdf))
+            out["model"] = pickle.dumps(model)
         except Exception as e:
-            out = {"status": f"failed: {e}"} | {f.split()[0]: None for f in RESULT.split(", ")[1:]}
-        return pd.DataFrame([params | out])[[*names, *(f.split()[0] for f in RESULT.split(", "))]]
+            out = {"status": f"failed: {e}", "n_train": None, "n_support": None, "iterations": None, "model": None}
+        return pd.DataFrame([{"_task": pdf["_task"].iloc[0]} | out])[["_task", *facts, "model"]]
 
-    rows = training_rows(df, vector, label, cap, seed).join(F.broadcast(grid))
-    return rows.groupBy(*names).applyInPandas(run, f"{types}, {RESULT}")
+    rows, tasks = marked_rows(df, vector, label, seed), numbered(grid)
+    fits = cut(training_rows(rows, cap).join(F.broadcast(tasks)).groupBy("_task").applyInPandas(run, "_task int, status string, n_train long, n_support long, iterations long, model binary"))
+    scores = cut(scored(rows, fits.filter("model is not null"), []))
+    right = ((F.col("score") >= 0).cast("int") == F.col("y")).cast("int")
+    counts = scores.groupBy("_task").agg(F.count_if("test").alias("n_test"), F.avg(F.when(~F.col("test"), right)).alias("train_accuracy"), F.avg(F.when(F.col("test"), right)).alias("test_accuracy"))
+    areas = auc(scores, "y", "score", ["_task", "test"]).groupBy("_task").agg(F.max(F.when(~F.col("test"), F.col("auc"))).alias("train_auc"), F.max(F.when(F.col("test"), F.col("auc"))).alias("test_auc"))
+    out = tasks.join(fits.select("_task", *facts), "_task").join(counts, "_task", "left").join(areas, "_task", "left")
+    return out.select(*names, *(f.split()[0] for f in RESULT.split(", ")))
 
 
 LOG = "run string, epoch int, loss double, kl double, participation double, train_accuracy double, train_auc double, val_accuracy double, val_auc double"
 
 
-def sweep_logs(df: DataFrame, vector: str, label: str, grid: DataFrame, epochs: int = 300, every: int = 100, cap: int = 1000, seed: int = 42) -> DataFrame:
-    """Training curves of each task (seed, lr, encoder_dim), a row every so many epochs: the input of the curve detector."""
+def sweep_logs(df: DataFrame, vector: str, label: str, grid: DataFrame, epochs: int = 300, every: int = 100, cap: int | None = None, seed: int = 42) -> DataFrame:
+    """Training curves of each task (seed, lr, encoder_dim), a row every so many epochs: the input of the curve detector.
+
+    val_* are over all rows for testing, train_* over a sample of as many of the fitted rows.
+    """
     names = grid.columns
+    rows, tasks = marked_rows(df, vector, label, seed), numbered(grid)
+    n_test = rows.filter("test").count()
+    kept = ["_task", *(f.split()[0] for f in LOG.split(", ")[:-2]), "model"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = {n: pdf[n].iloc[0].item() for n in names}
-        x, y, test = arrays(pdf)
-        z, mean, std = svm.scale(x[~test])
-        all_, rows = svm.normalise(x, mean, std), []
+        x, y = arrays(pdf)
+        z, mean, std = svm.scale(x)
+        logged = []
         name = f"model-lr{p['lr']:g}-edim{p['encoder_dim']}-seed{p['seed']}"
-        rng = np.random.default_rng(p["seed"])
-        part = rng.permutation(np.flatnonzero(~test))[: max(1, test.sum())]  # train metrics on as many rows as there are for testing
+        part = np.random.default_rng(p["seed"]).permutation(len(x))[: max(1, n_test)]
 
         def log(epoch: int, s: svgp.State, mean_loss: float) -> None:
             if epoch % every == 0:
-                score = svgp.predict(s, all_)[2]
-                m = lambda k: (float(((score[k] > 0.5) == (y[k] > 0)).mean()) if len(k) else np.nan, svm.auc(y[k], score[k]))
-                rows.append((name, epoch, mean_loss, svgp.divergence(s), svgp.participation_ratio(s), *m(part), *m(np.flatnonzero(test))))
-
-        svgp.fit(z, y[~test], svgp.Settings(inducing=30, lr=p["lr"], encoder_dim=p["encoder_dim"], seed=p["seed"], epochs=epochs), log)
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in LOG.split(", ")])
-
-    rows = training_rows(df, vector, label, cap, seed).join(F.broadcast(grid))
-    return rows.groupBy(*names).applyInPandas(run, LOG)
+                score = svgp.predict(s, z[part])[2]
+                model = pickle.dumps({"kind": "svgp", "mean": mean, "std": std, "state": s})
+                logged.append((pdf["_task"].iloc[0], name, epoch, mean_loss, svgp.divergence(s), svgp.participation_ratio(s), float(((score > 0.5) == (y[part] > 0)).mean()), svm.auc(y[part], score), model))
+
+        svgp.fit(z, y, svgp.Settings(inducing=30, lr=p["lr"], encoder_dim=p["encoder_dim"], seed=p["seed"], epochs=epochs), log)
+        return pd.DataFrame(logged, columns=kept)
+
+    logs = cut(training_rows(rows, cap).join(F.broadcast(tasks)).groupBy("_task").applyInPandas(run, "_task int, " + ", ".join(LOG.split(", ")[:-2]) + ", model binary"))
+    scores = cut(scored(rows.filter("test"), logs, ["epoch"]))
+    right = ((F.col("score") > 0).cast("int") == F.col("y")).cast("int")
+    counts = scores.groupBy("_task", "epoch").agg(F.avg(right).alias("val_accuracy"))
+    out = logs.drop("model").join(counts, ["_task", "epoch"], "left").join(auc(scores, "y", "score", ["_task", "epoch"]).withColumnRenamed("auc", "val_auc"), ["_task", "epoch"], "left")
+    nan = [F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("val_accuracy", "val_auc")]
+    return out.select(*kept[1:-1], *nan)
 
 
 def predictor(state: svgp.State):

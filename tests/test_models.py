@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzloom.functions import vectors as V
-from quartzloom.models import cluster, svgp, svm
+from quartzloom.models import cluster, svgp, svm, train
 from quartzloom.models.train import sweep, sweep_logs
 from quartzloom.operators.joins import grid
 
@@ -170,6 +170,29 @@ def test_sweep(spark):
     assert sorted(r["epoch"] for r in logs) == [2, 4, 6] and logs[0]["run"] == "model-lr0.05-edim2-seed0"
 
 
+def test_sweep_fits_and_scores_all_rows(spark, monkeypatch):
+    x, y = moons(1300)
+    df = spark.createDataFrame([([float(v) for v in a], int(b > 0)) for a, b in zip(x, y, strict=True)], "v array<double>, y int")
+    n_test = train.marked_rows(df, "v", "y", 42).filter("test").count()
+    g = grid(spark, seed=[0], C=[1.0])
+    r = sweep(df, "v", "y", "linear", g).first()
+    assert (r["n_train"], r["n_test"]) == (1300 - n_test, n_test)
+    rows = train.marked_rows(df, "v", "y", 42).toPandas()
+    whole = [(p["x"].tolist(), p["y"].to_numpy()) for p in (rows[~rows.test], rows[rows.test])]
+    mine = train.fit("linear", {"seed": 0, "C": 1.0}, *train.arrays(rows[~rows.test]))[1]
+    for (a, b), part in zip(whole, ("train", "test"), strict=True):
+        score = train.decide(mine, np.array(a))
+        assert r[f"{part}_accuracy"] == pytest.approx(((score >= 0) == (b > 0)).mean()) and r[f"{part}_auc"] == pytest.approx(svm.auc(b, score))
+    capped = sweep(df, "v", "y", "linear", g, cap=100).first()
+    assert (capped["n_train"], capped["n_test"]) == (100, n_test)
+    log = sweep_logs(df, "v", "y", grid(spark, seed=[0], lr=[0.05], encoder_dim=[2]), epochs=1, every=1).first()
+    assert log["val_accuracy"] * n_test == pytest.approx(round(log["val_accuracy"] * n_test), abs=1e-6) and log["val_auc"] > 0
+    x, y = moons(120)
+    held = svm.fit_rbf(x, y, 2.0)
+    monkeypatch.setattr(svm, "GRAM", 10)
+    assert np.abs(svm.fit_rbf(x, y, 2.0).alpha - held.alpha).max() < 1e-6
+
+
 def test_vector_forms(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, float("nan")], [1.0])], "a array<double>, b array<double>, c array<double>")
     a, b, c = F.col("a"), F.col("b"), F.col("c")
