@@ -1,10 +1,16 @@
-"""License scans: winnowed fingerprints pick candidates, a banded alignment measures them.
+"""License scans: shared grams are chained over a document, and an alignment measures each chain's whole range.
 
-Templates are word sequences. Of every three consecutive 3-word grams of a template the least hash
-is kept, in an inverted index of gram to places. A document's grams are all looked up, so any five
-words that it shares with a template in a row give a candidate; candidates of a template with
-nearby diagonals are one. Each is aligned with the whole template inside a band: matched words are
-counted, and coverage is their share of the template. Reported are spans of at least ``COVERAGE``.
+Templates are word sequences, and an inverted index has their grams of ``GRAM`` words (of fewer, where so
+short a template could lose all of them at ``COVERAGE``; of templates over ``LONG`` words only winnowed ones).
+A template's grams found in a document are chained in order, over inserted text of at most as many words as
+the template has, so that a page header or a dropped line does not split a notice. First such chains are
+taken that lose little to insertions, so that finds in a row stay apart; what they leave is chained once
+more. The range of a chain is aligned with the whole template: matched words are counted, and coverage is
+their share of the template. Reported are spans of at least ``COVERAGE`` in which the template's naming
+words (``NAMING``) match and no word of ``BARRED`` stands. A notice within a longer one is reported as well.
+
+A span is sure to have a chain if its matched words are in no more pieces than one more than the words that
+may be missing: other texts of enough coverage are found if any piece is as long as a gram.
 
 The scan is one pass without a shuffle; a document needs memory for its own words only.
 
@@ -15,7 +21,7 @@ null; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +33,8 @@ from quartzloom.llm.common import LOWER, by_rows, map_arrow, record
 
 WORD = re.compile(r"[^\W_]+")
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 8, 0.8
+#: Words from which a template is winnowed, and costs of an inserted or missing word when chaining.
+LONG, COSTS = 400, (0.5, 0.01)
 
 #: Notices of public licenses.
 TEMPLATES = {
@@ -34,13 +42,53 @@ TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "BSD-line": "Released under the BSD License.",
+    "MPL-2.0-line": "Licensed under the Mozilla Public License, Version 2.0.",
+    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-line": "Licensed under CC BY-ND 4.0.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+}
+
+#: Words of a template that must match, each where it stands first, and words that name another license.
+NAMING = {
+    "Apache-2.0-line": "apache 2",
+    "MIT-line": "mit",
+    "GPL-3.0-line": "general 3",
+    "CC-BY-NC-4.0-line": "by nc 4",
+    "GPL-2.0-line": "general 2",
+    "LGPL-3.0-line": "lesser general 3",
+    "AGPL-3.0-line": "affero general 3",
+    "BSD-line": "bsd",
+    "MPL-2.0-line": "mozilla 2",
+    "CC-BY-4.0-line": "by 4",
+    "CC-BY-SA-4.0-line": "by sa 4",
+    "CC-BY-ND-4.0-line": "by nd 4",
+    "Apache-2.0-notice": "apache 2",
+    "GPL-3.0-notice": "general 3",
+    "MPL-2.0-notice": "mozilla 2",
+    "BSD-3-Clause": "neither",
+    "GPL-2.0-notice": "general 2",
+    "LGPL-3.0-notice": "lesser general 3",
+    "AGPL-3.0-notice": "affero general 3",
+    "BSL-1.0-line": "boost 1",
 }
+BARRED = {n: {"lesser", "library", "affero"} - set(NAMING[n].split()) for n in NAMING if "GPL" in n} | {n: {"nc", "sa", "nd"} - set(NAMING[n].split()) for n in NAMING if n.startswith("CC-BY")}
 
 
 def tokens(text: str) -> list[str]:
@@ -56,37 +104,85 @@ def winnow(words: list[str]) -> dict[int, tuple[str, ...]]:
 
 
 def band_of(template: list[str]) -> int:
-    """Narrower for short templates, so that finds in a row stay apart."""
+    """Words beyond the ends of a chain that are aligned at first: fewer for short templates, so that finds in a row stay apart."""
     return min(BAND, max(1, len(template) // 4))
 
 
+def grams_of(words: list[str], coverage: float) -> dict[int, tuple[str, ...]]:
+    """Place to gram. Grams are so short that one is left when as many words as may be missing break the rest in pieces."""
+    if len(words) > LONG:
+        return winnow(words)
+    missing = int(len(words) * (1 - coverage) + 1e-9)
+    size = max(1, min(GRAM, -(-(len(words) - missing) // (missing + 1))))
+    return {i: tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def chains(anchors: list[tuple[int, int]], size: int, most: int, cost: float) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """First and last anchor (place in the document, place in the template) of each chain, by most words less the cost of shifts. Anchors are sorted."""
+    score, back = [], []
+    for a, (at, i) in enumerate(anchors):
+        top, come = float(size), -1
+        for b in range(a - 1, -1, -1):
+            at2, i2 = anchors[b]
+            if at - at2 > 2 * most:
+                break
+            shift = (at - at2) - (i - i2)
+            if at2 < at and i2 < i and shift <= most:
+                s = score[b] + min(size, at - at2, i - i2) - cost * abs(shift)
+                if s > top:
+                    top, come = s, b
+        score.append(top)
+        back.append(come)
+    used, out = set(), []
+    for last in sorted(range(len(anchors)), key=lambda a: (-score[a], a)):
+        if last in used:
+            continue
+        first = last
+        used.add(first)
+        while (b := back[first]) >= 0 and b not in used:
+            first = b
+            used.add(first)
+        out.append((anchors[first], anchors[last]))
+    return out
+
+
 class Index:
-    def __init__(self, templates: dict[str, str] = TEMPLATES):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE):
         self.words = {name: tokens(t) for name, t in templates.items()}
-        self.places: dict[tuple[str, ...], list[tuple[str, int]]] = defaultdict(list)
+        own = {name for name, t in templates.items() if TEMPLATES.get(name) == t}
+        self.naming = {name: frozenset(NAMING.get(name, "").split()) if name in own else frozenset() for name in templates}
+        self.needed = {name: frozenset(self.words[name].index(w) for w in self.naming[name]) for name in templates}
+        self.barred = {name: BARRED.get(name, set()) if name in own else set() for name in templates}
+        self.size: dict[str, int] = {}
+        self.places: dict[int, dict[tuple[str, ...], list[tuple[str, int]]]] = {}
         for name, words in self.words.items():
-            for i, gram in winnow(words).items():
-                self.places[gram].append((name, i))
-        self.grams = frozenset(self.places)
-
-    def candidates(self, words: list[str]) -> list[tuple[str, int]]:
-        """(template, diagonal): where it would begin in the document."""
-        found = zip(words, words[1:], words[2:], strict=False)
-        if self.grams.isdisjoint(found):
-            return []
-        last: dict[str, int] = {}
-        out = []
-        for at, gram in enumerate(zip(words, words[1:], words[2:], strict=False)):
-            for name, i in self.places.get(gram, ()):
-                if name not in last or abs(at - i - last[name]) > band_of(self.words[name]):
-                    out.append((name, at - i))
-                    last[name] = at - i
+            for i, gram in grams_of(words, coverage).items():
+                self.size[name] = len(gram)
+                self.places.setdefault(len(gram), defaultdict(list))[gram].append((name, i))
+        self.grams = {n: frozenset(p) for n, p in self.places.items()}
+
+    def anchors(self, words: list[str]) -> dict[str, list[tuple[int, int]]]:
+        """By template whose naming words are in the document: places (document, template) of shared grams, sorted."""
+        held = set(words)
+        named = {name for name in self.size if self.naming[name] <= held}
+        out = defaultdict(list)
+        for n, places in self.places.items():
+            if not any(self.size[name] == n for name in named) or self.grams[n].isdisjoint(zip(*(words[k:] for k in range(n)), strict=False)):
+                continue
+            for at, gram in enumerate(zip(*(words[k:] for k in range(n)), strict=False)):
+                for name, i in places.get(gram, ()):
+                    if name in named:
+                        out[name].append((at, i))
         return out
 
 
-def align(template: list[str], words: list[str], start: int, band: int = BAND) -> tuple[int, int, int]:
-    """Most matched words of the template in order within the band round a diagonal, and the first and last (exclusive) word matched."""
-    best: dict[int, tuple[int, int, int]] = {}  # by place in the document: matches, -first, -last, as far as the row has come
+def align(template: list[str], words: list[str], start: int, band: int = BAND, needed: frozenset[int] = frozenset()) -> tuple[int, int, int]:
+    """Most matched words of the template in order within the band round a diagonal, and the first and last (exclusive) word matched.
+
+    A word at a needed place counts len(template) + 1 more, so that these match before others.
+    """
+    more = len(template) + 1
+    best: dict[int, tuple[int, int, int]] = {}  # by place in the document: matches, first, -last, as far as the row has come
     top = (0, 0, 0)
     for i, want in enumerate(template):
         row: dict[int, tuple[int, int, int]] = {}
@@ -95,33 +191,47 @@ def align(template: list[str], words: list[str], start: int, band: int = BAND) -
             cell = max(left, best.get(j, (0, 0, 0)))
             if words[j] == want:
                 n, first, _ = best.get(j - 1, (0, 0, 0))
-                cell = max(cell, (n + 1, first if n else -j, -(j + 1)))
+                cell = max(cell, (n + 1 + more * (i in needed), first if n else j, -(j + 1)))
             row[j] = left = cell
         edge = start + i + band
         if edge + 1 not in row and edge in row:
             row[edge + 1] = row[edge]  # the next row's band reaches one place further
         best = row
         top = max(top, left)
-    return top[0], -top[1], -top[2]
+    return top[0], top[1], -top[2]
+
+
+def spans_of(name: str, anchors: list[tuple[int, int]], words: list[str], index: Index, coverage: float) -> list[tuple[int, int, float]]:
+    """(first word, end, share) of one template, without overlaps."""
+    template, needed, found = index.words[name], index.needed[name], []
+    count, size = Counter(template), len(template)
+    for cost in COSTS:
+        anchors = [a for a in anchors if not any(f <= a[0] < e for f, e, _ in found)]
+        for (at, i), (at2, i2) in chains(anchors, index.size[name], size, cost):
+            if any(f < at2 + index.size[name] and at < e for f, e, _ in found):
+                continue
+            least, most = max((e for _, e, _ in found if e <= at), default=0), min((f for f, _, _ in found if f > at2), default=len(words))
+            for slack in (band_of(template), size):
+                low, high = max(least, at - i - slack), min(most, at2 + size - i2 + slack)
+                part = words[low:high]
+                if sum((count & Counter(part)).values()) < coverage * size - 1e-9:
+                    continue
+                n, first, end = align(template, part, 0, len(part) + size, needed)
+                named, n = divmod(n, size + 1)
+                if named == len(needed) and n / size >= coverage and index.barred[name].isdisjoint(part[first:end]):
+                    found.append((low + first, low + end, n / size))
+                    break
+    return found
 
 
 def scan_text(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tuple[str, int, int, float]]:
     """(license, first code point, end, share of the template that matched), by start; overlapping finds of a template count once."""
     words = tokens(text or "")
-    found = []
-    for name, start in index.candidates(words):
-        n, first, end = align(index.words[name], words, start, band_of(index.words[name]))
-        if n and (share := n / len(index.words[name])) >= coverage:
-            found.append((name, first, end, share))
+    found = [(name, *s) for name, anchors in index.anchors(words).items() for s in spans_of(name, anchors, words, index, coverage)]
     if not found:
         return []
     spans = [m.span() for m in WORD.finditer((text or "").translate(LOWER))]
-    out, taken = [], defaultdict(int)
-    for name, first, end, share in sorted(found, key=lambda x: (x[1], -x[3], x[0])):
-        if first >= taken[name]:
-            out.append((name, spans[first][0], spans[end - 1][1], share))
-            taken[name] = end
-    return out
+    return [(name, spans[first][0], spans[end - 1][1], share) for name, first, end, share in sorted(found, key=lambda x: (x[1], -x[3], x[0]))]
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_licenses", pa.int64()), ("licenses", pa.string()), ("best", pa.string()), ("best_coverage", pa.float64())])
@@ -131,7 +241,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
     """(doc_id, n_licenses, licenses as name:start:end:per cent by start, best, best_coverage): a row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = Index(templates, coverage)
         for part in by_rows(batches):
             rows = []
             for text in part.column(1).to_pylist():

@@ -480,6 +480,23 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_over_insertions_and_by_name():
+    index = licenses.Index()
+    names = lambda text: [(n, round(100 * s)) for n, _, _, s in licenses.scan_text(text, index)]
+    words = licenses.TEMPLATES["MIT"].split()
+    for k in (12, 40):  # a page header within the notice
+        assert names(" ".join([*words[:45], *(f"header{i}" for i in range(k)), *words[45:]])) == [("MIT", 100)]
+    assert names(licenses.TEMPLATES["MIT"] + " " + " ".join(words[20:]) + " " + licenses.TEMPLATES["MIT"]) == [("MIT", 100)] * 2
+    assert names("Released under an MIT License.") == [("MIT-line", 80)]
+    assert names("Released under the BSD License.") == [("BSD-line", 100)]
+    for text in ("This work is licensed under the GNU General Public License, version 2.", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0."):
+        assert [(licenses.TEMPLATES[n], s) for n, s in names(text)] == [(text, 100)]
+    for name, text in licenses.TEMPLATES.items():
+        got = names(f"before it {text} after it")
+        assert (name, 100) in got and {n.removesuffix("-line").removesuffix("-notice") for n, _ in got} <= {name.removesuffix("-line").removesuffix("-notice"), "BSD-2-Clause"}
+    assert names("Released under the terms of the law; a license of the house.") == []
+
+
 def test_alignment_is_the_longest_common_subsequence_within_the_band():
     r = random.Random(2)
     for _ in range(300):
