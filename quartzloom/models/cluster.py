@@ -55,52 +55,65 @@ def representatives_of(df: DataFrame, ids: str, vector: str, k: int, share: floa
 
 
 def ward(x: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges (a, b, height) of Ward linkage in order of height; new clusters are numbered from n. Nearest-neighbour chain, n^2 memory."""
+    """Merges (a, b, height) of Ward linkage in order of height; new clusters are numbered from n.
+
+    Nearest-neighbour chain on centroids: memory grows with the points, time with their square.
+    """
     n = len(x)
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1) if n else np.zeros((0, 0))
-    np.fill_diagonal(d, np.inf)
-    size, alive, chain, found = np.ones(n), np.ones(n, bool), [], []
-    for _ in range(n - 1):
+    if n < 2:
+        return []
+    centre, size, ids, alive = np.array(x, float), np.ones(n), np.arange(n), np.ones(n, bool)
+    square, chain, links, found = (centre * centre).sum(1), [], [], []
+    for left in range(n, 1, -1):
+        if left < len(ids) // 2:  # merged slots are left out from here on
+            place = np.cumsum(alive) - 1
+            chain = [int(place[c]) for c in chain]
+            centre, size, ids, square, alive = centre[alive], size[alive], ids[alive], square[alive], alive[alive]
         if not chain:
             chain = [int(np.flatnonzero(alive)[0])]
         while True:
             a = chain[-1]
-            b = int(d[a].argmin())
-            if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+            d = 2 * size[a] * size / (size[a] + size) * np.maximum(square + square[a] - 2 * (centre @ centre[a]), 0)
+            d[~alive] = d[chain] = np.inf  # links get shorter, so none but the last can be nearest: rounding makes no circle
+            b = int(d.argmin())
+            if links and links[-1] <= d[b]:
                 b = chain[-2]
                 break
             chain.append(b)
-        chain = chain[:-2]
-        a, b = min(a, b), max(a, b)
-        found.append((a, b, float(np.sqrt(d[a, b]))))
-        k = alive.copy()
-        k[[a, b]] = False
-        new = ((size[a] + size[k]) * d[a, k] + (size[b] + size[k]) * d[b, k] - size[k] * d[a, b]) / (size[a] + size[b] + size[k])
-        d[a, k] = d[k, a] = new
-        d[b, :] = d[:, b] = np.inf
+            links.append(d[b])
+        del chain[-2:]
+        del links[-2:]
+        a, b = (a, b) if ids[a] < ids[b] else (b, a)
+        gap = centre[a] - centre[b]
+        found.append((int(ids[a]), int(ids[b]), float(np.sqrt(2 * size[a] * size[b] / (size[a] + size[b]) * (gap * gap).sum()))))
+        centre[a] = (size[a] * centre[a] + size[b] * centre[b]) / (size[a] + size[b])
+        square[a] = (centre[a] ** 2).sum()
         size[a] += size[b]
         alive[b] = False
-    # by height, renumbered: each slot holds the cluster that its members are in by then
-    name, out = {i: i for i in range(n)}, []
+    # by height, renumbered: each slot leads to the cluster that its members are in by then
+    up, name, out = list(range(n)), list(range(n)), []
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
     for step, (a, b, h) in enumerate(sorted(found, key=lambda m: m[2])):
-        root = lambda i: name[i]
-        pa, pb = root(a), root(b)
-        out.append((min(pa, pb), max(pa, pb), h))
-        name[a] = name[b] = n + step
-        for i, v in name.items():
-            if v in (pa, pb):
-                name[i] = n + step
+        a, b = root(a), root(b)
+        out.append((min(name[a], name[b]), max(name[a], name[b]), h))
+        up[b], name[a] = a, n + step
     return out
 
 
 def cuts(merges: list[tuple[int, int, float]], n: int, most: int) -> np.ndarray:
     """Labels (from 1) of each point when cut into k = 2 .. most clusters: n rows. Labels of a level are by first appearance."""
-    parts = [set([i]) for i in range(n)]
-    members = dict(enumerate(parts))
+    members = {i: [i] for i in range(n)}
     states = {n: list(members.values())}
     for step, (a, b, _) in enumerate(merges):
-        members[n + step] = members.pop(a) | members.pop(b)
-        states[n - step - 1] = list(members.values())
+        members[n + step] = members.pop(a) + members.pop(b)
+        if n - step - 1 <= most:
+            states[n - step - 1] = list(members.values())
     out = np.zeros((n, max(0, most - 1)), int)
     for k in range(2, most + 1):
         for label, group in enumerate(sorted(states[min(k, n)], key=min), 1):
@@ -111,7 +124,7 @@ def cuts(merges: list[tuple[int, int, float]], n: int, most: int) -> np.ndarray:
 def hierarchy_paths(df: DataFrame, ids: str, vector: str, most: int = 5000) -> DataFrame:
     """(id, path): cluster labels at k = 2 .. most of Ward linkage on scaled vectors.
 
-    The linkage is of targets (n^2 memory): rows must be one for each target and number MAX_POINTS at most.
+    The linkage is of targets, on the driver (time grows with n^2): rows must be one for each target and number MAX_POINTS at most.
     """
     rows = standard_scale(df, vector, "_z").select(ids, "_z").orderBy(ids).limit(MAX_POINTS + 1).collect()
     if len(rows) > MAX_POINTS:
@@ -122,4 +135,4 @@ def hierarchy_paths(df: DataFrame, ids: str, vector: str, most: int = 5000) -> D
     return df.sparkSession.createDataFrame([(r[ids], [int(v) for v in p]) for r, p in zip(rows, paths, strict=True)], f"{ids} {dict(df.dtypes)[ids]}, path array<int>")
 
 
-MAX_POINTS = 10_000
+MAX_POINTS = 100_000

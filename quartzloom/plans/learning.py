@@ -342,8 +342,7 @@ def kmeans_reps(spark, d):
 def ward_paths(spark, d):
     from quartzloom.models.cluster import hierarchy_paths
 
-    means = vecs(spark, d).filter("vec_id < 100")
-    return hierarchy_paths(means, "vec_id", "v", 10)
+    return hierarchy_paths(vecs(spark, d), "vec_id", "v", 10)  # each vector is a target of its own
 
 
 @query()

@@ -144,6 +144,28 @@ def test_ward():
         assert got == brute_ward(x, k)
 
 
+def test_ward_of_many_points_and_of_equal_ones():
+    import tracemalloc
+
+    x = np.repeat(np.random.default_rng(4).normal(size=(10, 3)), 3, 0)
+    merges = cluster.ward(x)
+    assert [round(h, 9) for _, _, h in merges[:20]] == [0] * 20
+    paths = cluster.cuts(merges, 30, 10)
+    assert {frozenset(np.flatnonzero(paths[:, 8] == v)) for v in set(paths[:, 8])} == {frozenset(range(i, i + 3)) for i in range(0, 30, 3)}
+    tracemalloc.start()
+    assert len(cluster.ward(np.random.default_rng(5).normal(size=(1500, 8)))) == 1499
+    assert tracemalloc.get_traced_memory()[1] < 8 * 1500 * 1500  # less than one matrix of distances
+    tracemalloc.stop()
+
+
+def test_ward_paths_are_of_all_vectors(spark):
+    from quartzloom.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    rows = QUERIES["ward_paths"](spark, d)
+    assert rows.count() == rows.select("vec_id").distinct().count() == spark.read.parquet(f"{d}/embeddings.parquet").count() and {len(r["path"]) for r in rows.collect()} == {9}
+
+
 def test_clusters(spark):
     r = np.random.default_rng(3)
     x = np.concatenate([r.normal(c, 0.1, (20, 4)) for c in (0, 5, 10)])
