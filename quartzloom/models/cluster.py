@@ -45,7 +45,7 @@ def assign(df: DataFrame, vector: str, model) -> DataFrame:
     return model.transform(df.withColumn("_f", array_to_vector(vector))).drop("_f")
 
 
-def representatives_of(df: DataFrame, ids: str, vector: str, k: int, share: float = 0.95, starts: int = 3) -> DataFrame:
+def representatives_of(df: DataFrame, ids: str, vector: str, k: int, share: float = 0.95, starts: int = 10) -> DataFrame:
     """(cluster, id): the point nearest to each centre of k-means on the reduced vectors."""
     z = pca_share(df, vector, "_r", share)
     model = kmeans(z, "_r", k, starts)

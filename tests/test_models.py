@@ -215,6 +215,14 @@ def test_sweep_fits_and_scores_all_rows(spark, monkeypatch):
     assert np.abs(svm.fit_rbf(x, y, 2.0).alpha - held.alpha).max() < 1e-6
 
 
+def test_representatives_are_of_the_best_of_ten_starts(spark, monkeypatch):
+    x, _ = moons(60)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    taken, real = [], cluster.kmeans
+    monkeypatch.setattr(cluster, "kmeans", lambda df, vector, k, starts=10: taken.append(starts) or real(df, vector, k, 1))
+    assert cluster.representatives_of(df, "id", "v", 2).count() == 2 and taken == [10]
+
+
 def test_vector_forms(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, float("nan")], [1.0])], "a array<double>, b array<double>, c array<double>")
     a, b, c = F.col("a"), F.col("b"), F.col("c")
