@@ -24,7 +24,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays."""
+    """Of each group of near-duplicates, as operator 3 links them at 3 bits, the document with the least doc_id stays."""
     return simhash.keep_first(docs)
 
 
