@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,18 @@ def ranked(df: DataFrame, keys: list[str], *order: str | Column, name: str = "_r
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def ranked_by_draw(df: DataFrame, keys: list[str], seed: int, ids: list[str], name: str = "_r") -> DataFrame:
+    """As ranked() by draws, numbered from 1: each group in 256 parts by the draw's first digits, which give its order, so a hot group is no single task's work."""
+    parts = df.withColumn("_draw", draw(seed, *ids)).withColumn("_part", F.substring("_draw", 1, 2))
+    counts = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("_before", before).drop("_k")
+    starts = starts.withColumnsRenamed({k: f"_of_{k}" for k in [*keys, "_part"]})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_part"]))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_draw", *ids))
+    return parts.withColumn(name, nth).join(starts, same).withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+
+
 def head_per_group(df: DataFrame, keys: list[str], n: int, *order: str | Column) -> DataFrame:
     """The first n rows of each group."""
     return ranked(df, keys, *order).filter(F.col("_r") <= n).drop("_r")
@@ -44,11 +57,11 @@ def balanced_sample(df: DataFrame, target: str, active: str, ids: list[str], cap
     counts = actives.groupBy(target).agg(F.count("*").alias("_n"))
     if isinstance(cap, float):
         counts = counts.withColumn("_take", F.floor(F.col("_n") * cap).cast("long"))
-        numbered = ranked(actives, [target], draw(seed, *ids), *ids, name="_pos")
+        numbered = ranked_by_draw(actives, [target], seed, ids, name="_pos")
         draws = counts.filter("_take > 0").select(target, "_n", F.explode(F.sequence(F.lit(1).cast("long"), "_take")).alias("_k"))
         picked = draws.select(target, (F.pmod(F.xxhash64(F.lit(seed), target, "_k"), F.col("_n")) + 1).alias("_pos"))
         chosen = numbered.join(picked, [target, "_pos"]).select(*df.columns)
-        quota = ranked(inactives, [target], draw(seed + 1, *ids), *ids)
+        quota = ranked_by_draw(inactives, [target], seed + 1, ids)
     else:
         counts = counts.withColumn("_take", F.least(F.col("_n"), F.lit(cap)).cast("long"))
         order = [draw(seed, *ids), *ids]
@@ -70,15 +83,14 @@ def scaffold_split(df: DataFrame, target: str, scaffold: str, ids: list[str], te
     empty scaffold go to neither side otherwise. Running sums are over scaffolds, not rows.
     """
     sizes = df.groupBy(target, scaffold).agg(F.count("*").alias("_k"), F.min(F.struct(*ids)).alias("_first"))
-    real = sizes.filter(F.coalesce(F.col(scaffold) != "", F.lit(False)))
-    before = F.coalesce(F.sum("_k").over(Window.partitionBy(target).orderBy("_k", "_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = sizes.groupBy(target).agg(F.sum("_k").alias("_n"))
-    placed = real.withColumn("_before", before).join(totals, target).withColumn("_test", F.col("_before") < F.greatest(F.floor(F.col("_n") * test_size), F.lit(1)))
-    sides = placed.groupBy(target).agg(F.count_if("_test").alias("_nt"), F.count_if(~F.col("_test")).alias("_nr"))
-    out = df.join(totals, target).join(sides, target, "left").join(placed.select(target, scaffold, "_test"), [target, scaffold], "left")
-    whole = (F.col("_n") < 3) | (F.coalesce("_nt", F.lit(0)) == 0) | (F.coalesce("_nr", F.lit(0)) == 0)
-    side = F.when(whole, "train").when(F.col("_test").isNull(), "dropped").when(F.col("_test"), "test").otherwise("train")
-    return out.withColumn("side", side).select(*df.columns, "side")
+    real = F.coalesce(F.col(scaffold) != "", F.lit(False))
+    whole = Window.partitionBy(target)
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy(target, real).orderBy("_k", "_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    test = F.when(real, F.col("_before") < F.greatest(F.floor(F.col("_n") * test_size), F.lit(1)))
+    placed = sizes.withColumns({"_n": F.sum("_k").over(whole), "_before": before}).withColumn("_test", test)
+    sides = F.when((F.col("_n") < 3) | (F.count_if("_test").over(whole) == 0) | (F.count_if(~F.col("_test")).over(whole) == 0), "train")
+    placed = placed.select(F.col(target).alias("_of_t"), F.col(scaffold).alias("_of_s"), sides.when(F.col("_test").isNull(), "dropped").when(F.col("_test"), "test").otherwise("train").alias("side"))
+    return df.join(placed, (F.col(target) == F.col("_of_t")) & F.col(scaffold).eqNullSafe(F.col("_of_s"))).select(*df.columns, "side")
 
 
 @dataclass
@@ -148,7 +160,7 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, n_folds: int =
                 plan.append((p, q, at, at + k, f))
             at += k
     table = df.sparkSession.createDataFrame(plan or [(0, 0, 0, 0, 0)], "_p long, _q long, _lo long, _hi long, fold int")
-    numbered = ranked(per, ["_p", "_q"], draw(seed, group), group)
+    numbered = ranked_by_draw(per, ["_p", "_q"], seed, [group])  # very many groups may have one positive and no negative
     return numbered.join(F.broadcast(table), ["_p", "_q"]).filter((F.col("_r") > F.col("_lo")) & (F.col("_r") <= F.col("_hi"))).select(group, "fold")
 
 
@@ -157,11 +169,14 @@ def assert_disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
         raise AssertionError(f"splits share values of {key}")
 
 
-def permute_labels(df: DataFrame, group: str, label: str, seed: int = 42) -> DataFrame:
-    """label replaced by another row's of the same group: a permutation within groups."""
-    a = ranked(df, [group], label, name="_pos")
-    b = ranked(df.select(group, F.col(label).alias("_new")), [group], draw(seed, group, "_new"), "_new", name="_pos")
-    return a.join(b, [group, "_pos"]).withColumn(label, F.col("_new")).select(*df.columns)
+def permute_labels(df: DataFrame, group: str, label: str, ids: list[str], seed: int = 42) -> DataFrame:
+    """label replaced by another row's of the same group: a random permutation of the rows of each group.
+
+    ids tell rows apart. The row that comes n-th by one draw gets the label of the row that comes n-th by another.
+    """
+    to = ranked_by_draw(df, [group], seed, ids, name="_pos")
+    of = ranked_by_draw(df.select(group, label, *(c for c in ids if c not in (group, label))), [group], seed + 1, ids, name="_nth").select(F.col(group).alias("_of"), "_nth", F.col(label).alias("_new"))
+    return to.join(of, F.col(group).eqNullSafe(F.col("_of")) & (F.col("_pos") == F.col("_nth"))).withColumn(label, F.col("_new")).select(*df.columns)
 
 
 def subset(df: DataFrame, n: int, ids: list[str], seed: int = 42) -> DataFrame:

@@ -49,6 +49,32 @@ def test_detection(spark):
         assert got[k]["delay"] == (g - m if g >= 0 else -1) and got[k]["detected"] == (g >= 0)
 
 
+@pytest.mark.parametrize("min_delay", [0, 99, 100, 250])
+def test_the_least_delay_is_one_row(spark, min_delay):
+    """A window and delay of under 100 epochs still mean one row."""
+    tr, va = [0.95] * 12, [0.5, 0.5, 0.5, 0.9] + [0.9] * 8
+    rows = [(1, i * 100, t, v) for i, (t, v) in enumerate(zip(tr, va, strict=True))] + [(2, i * 100, t, v) for i, (t, v) in enumerate(zip(tr, [0.5, 0.5] + [0.9] * 10, strict=True))]
+    got = {r["run"]: r["event"] for r in curves.detect(spark.createDataFrame(rows, "run long, epoch int, train double, val double"), window=100, min_delay=min_delay).collect()}
+    want = {run: loop(tr, [v for n, _, _, v in rows if n == run], w=1, delay=max(1, min_delay // 100))[1] for run in (1, 2)}
+    assert got == {run: e * 100 if e >= 0 else -1 for run, e in want.items()} and got[2] == -1
+
+
+def test_streaming_fills_missing_metrics(spark, tmp_path):
+    from quartzloom.streaming.incremental import curve_events
+
+    rows, _ = random_curves(5, 20)
+    holes = [(n, e, None if e % 700 == 300 else t, None if e % 500 == 200 or e == 0 else v) for n, e, t, v in rows]
+    schema = "run long, epoch int, train double, val double"
+    batch = curves.detect(curves.forward_fill(spark.createDataFrame(holes, schema), ["train", "val"])).filter("event >= 0")
+    for k in range(3):  # the second file repeats rows of the first, which are late and left out
+        spark.createDataFrame([r for r in holes if (25 * k - (10 if k == 1 else 0)) * 100 <= r[1] < 25 * (k + 1) * 100 or (k == 2 and r[1] >= 7500)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = curve_events(stream).writeStream.format("memory").queryName("ql_filled").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r["run"], r["mem"], r["event"]) for r in spark.table("ql_filled").collect()} == {(r["run"], r["mem"], r["event"]) for r in batch.collect()}
+
+
 def test_streaming_detection_agrees(spark, tmp_path):
     from quartzloom.streaming.incremental import curve_events
 
@@ -184,9 +210,28 @@ def test_numbering(spark):
     assert Counter(r["chunk"] for r in splits.chunks(df, 300, "x").collect()) == {1: 300, 2: 300, 3: 300, 4: 100}
 
 
-def test_permutation_and_subset(pool):
-    out = splits.permute_labels(pool.select("target", "scaffold"), "target", "scaffold")
-    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, pool.select("target", "scaffold").collect()))
+def test_permutation_is_of_rows(spark, pool):
+    """Each group keeps its labels, but they are neither as they were nor moved in blocks."""
+    rows = [(t, i, "R" if i < 50 else "N") for t in range(4) for i in range(100)]
+    df = spark.createDataFrame(rows, "t int, i int, y string")
+    out = splits.permute_labels(df, "t", "y", ["i"]).collect()
+    assert sorted((r["t"], r["i"]) for r in out) == [(t, i) for t, i, _ in rows]
+    for t in range(4):
+        y = [r["y"] for r in sorted(out, key=lambda r: r["i"]) if r["t"] == t]
+        assert Counter(y) == {"R": 50, "N": 50}
+        assert 15 < sum(x == "R" for x in y[:50]) < 35  # about half of each block has changed
+        assert sum(a != b for a, b in zip(y, y[1:], strict=False)) > 30
+    assert out != splits.permute_labels(df, "t", "y", ["i"], seed=7).collect()
+    mixed = splits.permute_labels(pool.withColumn("target", F.nullif(F.col("target"), F.lit("t3"))).select("target", "scaffold", "id"), "target", "scaffold", ["id"])
+    assert mixed.count() == pool.count() and mixed.columns == ["target", "scaffold", "id"]
+
+
+def test_ranks_by_draw_are_those_of_one_window(pool):
+    rows = {(r["target"], r["id"]): r["_r"] for r in splits.ranked(pool, ["target"], splits.draw(42, "id"), "id").collect()}
+    assert rows == {(r["target"], r["id"]): r["_r"] for r in splits.ranked_by_draw(pool, ["target"], 42, ["id"]).collect()}
+
+
+def test_subset(pool):
     assert splits.subset(pool, 7, ["target", "id"]).count() == 7
     assert splits.subset(pool, 10**6, ["target", "id"]).count() == pool.count()
 
