@@ -51,11 +51,11 @@ def detect(df: DataFrame, overfit: float = 0.9, plateau: float = 0.75, jump: flo
     """(run, mem, event, delay, detected): memorisation, the event after it, -1 where there is none.
 
     Memorisation: the first full trailing mean of train above ``overfit``. The event: the first row after it, more than
-    ``min_delay`` later, where the centred mean of val is below ``plateau``, rises by more than ``jump`` within a window,
+    ``min_delay`` later (one row at least), where the centred mean of val is below ``plateau``, rises by more than ``jump`` within a window,
     and then stays above ``plateau`` on average for (sustain - 1) windows. Runs of fewer than window * (sustain + 1) rows
     have neither.
     """
-    w, later = steps(window), min_delay // LOG_EVERY
+    w, later = steps(window), steps(min_delay)
     order = by_run(run, epoch)
     a = df.select(run, epoch, F.col(train).alias("_t"), F.col(val).alias("_v")).withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy(run))})
     a = a.withColumns({"_tt": trailing_mean("_t", w, run, epoch), "_sm": centred_mean("_v", w, run, epoch)})

@@ -38,20 +38,25 @@ def windowed_counts(stream: DataFrame, time: str, late: str, width: str, *keys:
 def curve_events(stream: DataFrame, overfit: float = 0.9, plateau: float = 0.75, jump: float = 0.05, window: int = 500, min_delay: int = 500, sustain: int = 3):
     """(run, mem, event) once an event is certain: rows (run, epoch, train, val) come in epoch order, and a candidate is decided when sustain windows have followed it.
 
-    State of a run is the last rows that a decision can still need, not the whole curve.
+    State of a run is the last rows that a decision can still need, not the whole curve. A missing metric is the last
+    one seen, as in forward_fill(); rows before both have been seen, and rows no later than the last one, are left out.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    w, later = steps(window), min_delay // 100
+    w, later = steps(window), steps(min_delay)
     keep = sustain * w + w
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, mem, done, seen, epochs, train, val = state.get if state.exists else (-1, -1, False, 0, [], [], [])
+        first, mem, done, seen, epochs, train, val, last, t0, v0 = state.get if state.exists else (-1, -1, False, 0, [], [], [], None, None, None)
         epochs, train, val = list(epochs), list(train), list(val)
         rows = pd.concat(list(batches)).sort_values("epoch")
         found = []
         for e, t, v in rows[["epoch", "train", "val"]].itertuples(index=False):
-            epochs.append(int(e)), train.append(float(t)), val.append(float(v))
+            t0, v0 = t0 if pd.isna(t) else float(t), v0 if pd.isna(v) else float(v)
+            if t0 is None or v0 is None or (last is not None and e <= last):
+                continue
+            last = int(e)
+            epochs.append(last), train.append(t0), val.append(v0)
             seen += 1
             if mem < 0 and len(train) >= w and np.mean(train[-w:]) > overfit:
                 first, mem = seen - 1, int(e)
@@ -64,7 +69,7 @@ def curve_events(stream: DataFrame, overfit: float = 0.9, plateau: float = 0.75,
                     found.append((key[0], mem, epochs[i - base]))
             if len(epochs) > keep + w:
                 epochs, train, val = epochs[1:], train[1:], val[1:]
-        state.update((first, mem, done, seen, epochs, train, val))
+        state.update((first, mem, done, seen, epochs, train, val, last, t0, v0))
         yield pd.DataFrame(found, columns=["run", "mem", "event"])
 
-    return stream.groupBy("run").applyInPandasWithState(run, "run long, mem int, event int", "first int, mem int, done boolean, seen int, epochs array<int>, train array<double>, val array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("run").applyInPandasWithState(run, "run long, mem int, event int", "first int, mem int, done boolean, seen int, epochs array<int>, train array<double>, val array<double>, last int, t0 double, v0 double", "append", GroupStateTimeout.NoTimeout)
