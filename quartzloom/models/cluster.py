@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzloom.functions.vectors import zscore
+from quartzloom.operators.aggregates import vector_moments
 from quartzloom.operators.joins import nearest
 
 
 def standard_scale(df: DataFrame, vector: str, out: str) -> DataFrame:
     """Each place to mean 0 and population std 1 (std 0: left at 0). One row of moments is broadcast."""
-    cells = df.select(F.posexplode(vector).alias("_i", "_x")).groupBy("_i").agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s"))
-    row = cells.agg(F.array_sort(F.collect_list(F.struct("_i", "m", "s"))).alias("_s"))
-    row = row.select(F.transform("_s", lambda r: r["m"]).alias("_m"), F.transform("_s", lambda r: r["s"]).alias("_d"))
+    row = vector_moments(df, vector).select(F.col("mean").alias("_m"), F.col("std").alias("_d"))
     return df.join(F.broadcast(row)).withColumn(out, zscore(F.col(vector), F.col("_m"), F.col("_d"))).drop("_m", "_d")
 
 

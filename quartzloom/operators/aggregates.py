@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,35 +69,60 @@ def correlations(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
 
 
 def merge_moments(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """(n, mean, m2) of batches merged into the mean and population variance of all, in any order."""
-    total = F.sum("n")
-    mean = F.try_divide(F.sum(F.col("n") * F.col("mean")), total)
-    spread = F.sum("m2") + F.sum(F.col("n") * F.col("mean") * F.col("mean")) - total * mean * mean
-    return parts.groupBy(*keys).agg(total.alias("n"), mean.alias("mean"), F.greatest(F.try_divide(spread, total), F.lit(0.0)).alias("var"))
+    """(n, mean, m2) of batches merged into the mean and population variance of all, in any order.
+
+    The mean of all comes first and is joined back to the batches, one row a key: differences from it do not cancel,
+    however large the means are. Batches of no rows change nothing.
+    """
+    parts = parts.filter(F.col("n") > 0)
+    total = parts.groupBy(*keys).agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_rough"))
+    back = total.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys)) if keys else F.lit(True)
+    off = F.col("mean") - F.col("_rough")
+    n, shift = F.sum("n"), F.sum(F.col("n") * off) / F.sum("n")
+    var = (F.sum("m2") + F.sum(F.col("n") * off * off)) / n - shift * shift
+    return parts.join(back, same).groupBy(*keys).agg(n.alias("n"), (F.max("_rough") + shift).alias("mean"), F.greatest(var, F.lit(0.0)).alias("var"))
 
 
 def vector_sum(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """Element-wise sums of arrays by key."""
-    cells = df.select(*keys, F.posexplode(vector).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.sum(F.col("_x").cast("double")).alias("_x"))
-    return cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias(vector))
+    """Element-wise sums of arrays by key, in one pass. Arrays have equal lengths and no missing element; missing arrays are left out."""
+    rows = df.filter(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(vector))
+    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias(vector))
+
+
+def vector_moments_by(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(*keys, mean, std): arrays by key, population std, in one pass."""
+    rows = df.filter(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(vector))
+    one = rows.groupBy(*keys).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).filter("s.count > 0")
+    n = F.col("s.count")
+    return one.select(*keys, vector_to_array("s.mean").alias("mean"), F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * (n - 1) / n)).alias("std"))
+
+
+def vector_moments(df: DataFrame, vector: str) -> DataFrame:
+    """(mean, std): one row of arrays; none for a table without vectors."""
+    return vector_moments_by(df, [], vector)
 
 
 def column_stats(df: DataFrame, vector: str) -> DataFrame:
     """(dim, mean, std) of each place of an array column, population std."""
-    return df.select(F.posexplode(vector).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    return vector_moments(df, vector).select(F.posexplode(F.arrays_zip("mean", "std")).alias("dim", "s")).select("dim", "s.mean", "s.std")
+
+
+def range_of(df: DataFrame, value: str, ranges: int = 64) -> Column:
+    """The number of a value's range, of at most so many whose bounds are quantiles read beforehand; order is kept."""
+    bounds = sorted({float(b) for b in df.select(F.col(value).cast("double").alias("s")).approxQuantile("s", [i / ranges for i in range(1, ranges)], 0.005)})
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value))) if bounds else F.lit(0)
 
 
 def auc(df: DataFrame, label: str, score: str, keys: list[str] | None = None) -> DataFrame:
     """Exact ROC AUC by mid-ranks; null with one class only. Scores are counted first, so ties shrink the sort.
 
-    Positives are ranked against negatives by running counts in two levels: over at most 64 ranges of scores, whose
-    bounds are quantiles read beforehand, then within each range, so no task holds all scores.
+    Positives are ranked against negatives by running counts in two levels: over ranges of scores, then within each
+    range, so no task holds all scores.
     """
     keys = keys or []
     counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("q"))
-    bounds = sorted({float(b) for b in counts.select(F.col(score).cast("double").alias("s")).approxQuantile("s", [i / 64 for i in range(1, 64)], 0.005)})
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(score))) if bounds else F.lit(0)
-    dealt = counts.withColumn("_part", part)
+    dealt = counts.withColumn("_part", range_of(counts, score))
     before = Window.partitionBy(*keys, "_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy(*keys, "_part").agg(F.sum("q").alias("_q"))
     parts = parts.withColumn("_below", F.coalesce(F.sum("_q").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_q")
@@ -102,6 +131,37 @@ def auc(df: DataFrame, label: str, score: str, keys: list[str] | None = None) ->
     return rows.groupBy(*keys).agg(F.try_divide(wins, F.sum("p") * F.sum("q")).alias("auc"))
 
 
+#: Rows up to which a group's distinct values may be held by one task, about 100 bytes each.
+HELD_ROWS = 5_000_000
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, limit: int | None = None, **ps: float) -> DataFrame:
+    """(*keys, name...): exact quantiles by key, interpolated, named by ps. Missing values do not count; a key without any has null.
+
+    A table of up to ``limit`` rows is aggregated at once, as no group can be larger. Beyond, values are counted and
+    ranked in two levels, over ranges and then in those ranges only that hold a wanted rank, so no task holds a hot key.
+    """
+    if df.limit((limit if limit is not None else HELD_ROWS) + 1).count() <= (limit if limit is not None else HELD_ROWS):
+        return df.groupBy(*keys).agg(*(F.percentile(value, F.lit(float(p))).alias(n) for n, p in ps.items()))
+    counts = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_c"))
+    dealt = counts.withColumn("_part", range_of(counts.filter("_v is not null"), "_v"))
+    low, high = {n: f"_low_{n}" for n in ps}, {n: f"_high_{n}" for n in ps}
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_k"))
+    of_key = Window.partitionBy(*keys)
+    parts = parts.withColumns({"_before": F.coalesce(F.sum("_k").over(of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_k").over(of_key)})
+    rank = {n: (F.col("_n") - 1) * F.lit(float(p)) for n, p in ps.items()}
+    parts = parts.withColumns({low[n]: F.floor(rank[n]) for n in ps} | {high[n]: F.ceil(rank[n]) for n in ps})
+    inside = [(F.col(c) >= F.col("_before")) & (F.col(c) < F.col("_before") + F.col("_k")) for n in ps for c in (low[n], high[n])]
+    wanted = parts.filter(reduce(lambda a, b: a | b, inside) | (F.col("_n") == 0)).withColumnsRenamed({k: f"_of_{k}" for k in [*keys, "_part"]})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_part"]))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = dealt.join(wanted, same).withColumn("_upto", upto)
+    at = lambda c: F.max(F.when((F.col(c) < F.col("_upto")) & (F.col(c) >= F.col("_upto") - F.col("_c")), F.col("_v")))
+    found = rows.groupBy(*keys).agg(F.max("_n").alias("_n"), *(at(c).alias(c) for n in ps for c in (low[n], high[n])))
+    between = lambda n: F.when(F.ceil(rank[n]) == F.floor(rank[n]), F.col(low[n])).otherwise((F.ceil(rank[n]) - rank[n]) * F.col(low[n]) + (rank[n] - F.floor(rank[n])) * F.col(high[n]))
+    return found.select(*keys, *(between(n).alias(n) for n in ps))
+
+
 def accuracy(label: str, predicted: str) -> Column:
     return F.avg((F.col(label) == F.col(predicted)).cast("int"))
 

@@ -57,23 +57,26 @@ def p_scale(nanomolar: Column) -> Column:
 
 
 def with_quantile(df: DataFrame, key: str, value: str, p: float, name: str) -> DataFrame:
-    """df with its key's exact quantile.
+    """df with its key's exact quantile under a new name, which replaces a column that has it.
 
-    Quantiles are aggregated by distinct value before the shuffle and joined back: rows themselves move only where the
-    table of keys is too large to broadcast, and a hot key can then be split. A window would sort each key in one task.
+    Quantiles are aggregated apart and joined back: rows themselves move only where the table of keys is too large to
+    broadcast, and a hot key can then be split. A window would sort each key in one task.
     """
-    q = df.groupBy(F.col(key).alias("_qk")).agg(F.percentile(value, F.lit(p)).alias(name))
-    return df.join(q, F.col(key).eqNullSafe(F.col("_qk")), "left").drop("_qk")
+    from quartzloom.operators.aggregates import quantiles
+
+    q = quantiles(df.select(F.col(key).alias("_qk"), F.col(value).alias("_qv")), ["_qk"], "_qv", _q=p)
+    kept = [c for c in df.columns if c != name]
+    return df.join(q, F.col(key).eqNullSafe(F.col("_qk")), "left").select(*kept, F.col("_q").alias(name))
 
 
 def label_by_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    """threshold: the key's median; is_active: value >= threshold."""
+    """threshold: the key's median; is_active: value >= threshold. Columns of these names are replaced."""
     return with_quantile(df, key, value, 0.5, "threshold").withColumn("is_active", F.col(value) >= F.col("threshold"))
 
 
 def label_by_quantile(df: DataFrame, key: str, value: str, p: float = 0.5) -> DataFrame:
-    """active: 1 where value < the key's quantile, else 0."""
-    return with_quantile(df, key, value, p, "_q").withColumn("active", (F.col(value) < F.col("_q")).cast("int")).drop("_q")
+    """active: 1 where value < the key's quantile, else 0. A column of this name is replaced."""
+    return with_quantile(df, key, value, p, "_quantile").withColumn("active", (F.col(value) < F.col("_quantile")).cast("int")).drop("_quantile")
 
 
 def fold_change(wild: Column, mutant: Column) -> Column:

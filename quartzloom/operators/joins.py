@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quartzloom.operators.aggregates import quantiles
+
 
 def lookup_all(df: DataFrame, *tables: tuple[DataFrame, str]) -> DataFrame:
     """Inner joins with several dictionaries; a row missing in any of them goes."""
@@ -33,7 +35,7 @@ def grid(spark: SparkSession, **values: list) -> DataFrame:
 
 def mutant_wild_pairs(mutant: DataFrame, wild: DataFrame, keys: list[str], value: str, aggregate: bool = True) -> DataFrame:
     """mutant rows with wt_value: the wild-type median per key, or each wild-type row (many to many) if not aggregated."""
-    wt = wild.groupBy(*keys).agg(F.median(value).alias("wt_value")) if aggregate else wild.select(*keys, F.col(value).alias("wt_value"))
+    wt = quantiles(wild, keys, value, wt_value=0.5) if aggregate else wild.select(*keys, F.col(value).alias("wt_value"))
     return mutant.join(wt, keys)
 
 

@@ -1,8 +1,10 @@
 """Golden rows for cleaners, labels, joins and aggregates: the edge cases of the survey."""
 
 import math
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ def test_labels(spark):
     df = spark.createDataFrame([(0, "a", 1.0), (1, "a", 2.0), (2, "a", 3.0), (3, "b", 7.0)], "i int, k string, v double")
     assert values(C.label_by_median(df, "k", "v"), "is_active") == [False, True, True, True]
     assert values(C.label_by_quantile(df, "k", "v"), "active") == [1, 0, 0, 0]
+    clash = C.label_by_median(df.withColumns({"threshold": F.lit(9.0), "is_active": F.lit(False)}), "k", "v")
+    assert sorted(clash.columns) == ["i", "is_active", "k", "threshold", "v"] and values(clash, "is_active") == [False, True, True, True]
     assert values(column(spark, [1.0, 0.0, -1.0, 1000.0], "double").select("i", C.p_scale(F.col("x")).alias("v")), "v") == [9, None, None, 6]
 
 
@@ -96,6 +100,30 @@ def test_t_statistics(spark):
     assert abs(t_survival(1.812461, 10) - 0.05) < 1e-6 and t_survival(0, 5) == 0.5
 
 
+def test_moments_of_large_means(spark):
+    """Ten batches of mean 1e8 .. 1e8 + 9 and variance 1: differences of squares would cancel."""
+    parts = spark.createDataFrame([("a", 1000, 1e8 + i, 1000.0) for i in range(10)] + [(None, 1000, 1e8, 1000.0)] * 10 + [("a", 0, None, None)], "k string, n long, mean double, m2 double")
+    r = {x["k"]: x for x in A.merge_moments(parts, ["k"]).collect()}
+    assert r["a"]["n"] == 10_000 and abs(r["a"]["var"] - 9.25) < 1e-6 and abs(r["a"]["mean"] - (1e8 + 4.5)) < 1e-6
+    assert abs(r[None]["var"] - 1) < 1e-9
+
+
+@pytest.mark.parametrize("limit", [-1, 10**6])
+def test_quantiles(spark, limit):
+    """At once, and ranked in ranges, with a hot key, ties, missing values and a key of none."""
+    r = random.Random(1)
+    rows = [(("hot" if i % 3 else f"k{i % 20}"), None if i % 11 == 0 else round(r.lognormvariate(0, 2), 1)) for i in range(3000)] + [("none", None), (None, 4.0), (None, 5.0), ("one", 7.0)]
+    out = A.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(4), ["k"], "v", limit=limit, med=0.5, q9=0.9, top=1.0)
+    by = defaultdict(list)
+    for k, v in rows:
+        by[k] += [v] if v is not None else []
+    got = {x["k"]: x for x in out.collect()}
+    assert set(got) == set(by)
+    for k, v in by.items():
+        for name, p in (("med", 0.5), ("q9", 0.9), ("top", 1.0)):
+            assert got[k][name] == (pytest.approx(np.quantile(v, p), rel=1e-12) if v else None)
+
+
 def test_moments_merge(spark):
     parts = spark.createDataFrame([("a", 2, 1.0, 2.0), ("a", 3, 4.0, 6.0)], "k string, n long, mean double, m2 double")
     r = A.merge_moments(parts, ["k"]).first()
