@@ -116,6 +116,18 @@ def flatten_tracks(tracks: Column) -> Column:
     return F.flatten(F.transform(F.array_sort(F.map_keys(tracks)), lambda k: tracks[k]))
 
 
+def pad_multiple(x: Column, k: int, fill: float = 0.0) -> Column:
+    """The array with fill at its end, up to a length that k divides."""
+    return F.concat(x, F.array_repeat(F.lit(fill), F.pmod(-F.size(x), F.lit(k))))
+
+
+def pad_rows(df: DataFrame, vector: str, k: int) -> DataFrame:
+    """Rows of zeros added, up to a number that k divides; other columns are null there."""
+    n, d = df.agg(F.count("*"), F.max(F.size(vector))).first()
+    zeros = df.sparkSession.range((-n) % k).select(F.array_repeat(F.lit(0.0), int(d or 0)).cast(df.schema[vector].dataType).alias(vector))
+    return df.unionByName(zeros, allowMissingColumns=True)
+
+
 def linear_scores(df: DataFrame, vector: str, weights: list[float], bias: float = 0.0) -> DataFrame:
     return df.withColumn("score", dot(F.col(vector), F.array(*map(F.lit, weights))) + bias)
 

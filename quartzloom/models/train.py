@@ -8,6 +8,7 @@ A worker needs memory for a task's training rows, and time that grows faster tha
 from __future__ import annotations
 
 import pickle
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quartzloom.functions.vectors import dot, kernel_scores, rbf
 from quartzloom.models import svgp, svm
 from quartzloom.operators.aggregates import auc
 from quartzloom.operators.splits import draw
@@ -55,7 +57,7 @@ def fit(kind: str, params: dict, x: np.ndarray, y: np.ndarray) -> tuple[dict, di
     if kind == "svgp":
         settings = svgp.Settings(**{"inducing": 50} | {k: v for k, v in params.items() if k in svgp.Settings.__dataclass_fields__})
         s = svgp.fit(z, y, settings)
-        return {"status": "fitted", "n_train": len(x), "n_support": len(s.z), "iterations": settings.epochs}, model | {"state": s}
+        return {"status": "fitted", "n_train": len(x), "n_support": len(s.raw), "iterations": settings.epochs}, model | {"state": s}
     options = svm.Options(**{"max_iter": 100} | {k: v for k, v in params.items() if k in svm.Options.__dataclass_fields__})
     if kind == "linear":
         m = svm.fit_linear(z, sign, options)
@@ -126,18 +128,20 @@ def sweep(df: DataFrame, vector: str, label: str, kind: str, grid: DataFrame, ca
     return out.select(*names, *(f.split()[0] for f in RESULT.split(", ")))
 
 
-LOG = "run string, epoch int, loss double, kl double, participation double, train_accuracy double, train_auc double, val_accuracy double, val_auc double"
+METRICS = ("loss", "physical_potential", "kl_divergence", "participation_ratio", "cv_val", "bias_energy")
+LOG = ", ".join(["run string", "epoch int", *(f"{m} double" for m in METRICS), "validation_accuracy double", "validation_auc double", "train_accuracy double", "train_auc double"])
 
 
-def sweep_logs(df: DataFrame, vector: str, label: str, grid: DataFrame, epochs: int = 300, every: int = 100, cap: int | None = None, seed: int = 42) -> DataFrame:
-    """Training curves of each task (seed, lr, encoder_dim), a row every so many epochs: the input of the curve detector.
+def sweep_logs(df: DataFrame, vector: str, label: str, grid: DataFrame, epochs: int = 300, every: int = 100, cap: int | None = None, seed: int = 42, **settings) -> DataFrame:
+    """Training curves of each task (seed, lr, encoder_dim), a row every so many epochs: the input of the curve detector, with the columns of a run log.
 
-    val_* are over all rows for testing, train_* over a sample of as many of the fitted rows.
+    validation_* are over all rows for testing, train_* over a sample of as many of the fitted rows. settings: others of
+    svgp.Settings, such as collective and bias.
     """
     names = grid.columns
     rows, tasks = marked_rows(df, vector, label, seed), numbered(grid)
     n_test = rows.filter("test").count()
-    kept = ["_task", *(f.split()[0] for f in LOG.split(", ")[:-2]), "model"]
+    kept = ["_task", "run", "epoch", *METRICS, "train_accuracy", "train_auc", "model"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = {n: pdf[n].iloc[0].item() for n in names}
@@ -147,22 +151,52 @@ def sweep_logs(df: DataFrame, vector: str, label: str, grid: DataFrame, epochs:
         name = f"model-lr{p['lr']:g}-edim{p['encoder_dim']}-seed{p['seed']}"
         part = np.random.default_rng(p["seed"]).permutation(len(x))[: max(1, n_test)]
 
-        def log(epoch: int, s: svgp.State, mean_loss: float) -> None:
+        def log(epoch: int, s: svgp.State, metrics: dict[str, float]) -> None:
             if epoch % every == 0:
                 score = svgp.predict(s, z[part])[2]
-                model = pickle.dumps({"kind": "svgp", "mean": mean, "std": std, "state": s})
-                logged.append((pdf["_task"].iloc[0], name, epoch, mean_loss, svgp.divergence(s), svgp.participation_ratio(s), float(((score > 0.5) == (y[part] > 0)).mean()), svm.auc(y[part], score), model))
+                bare = replace(s, settings=replace(s.settings, collective=None, bias=None), bias_state=None)
+                model = pickle.dumps({"kind": "svgp", "mean": mean, "std": std, "state": bare})
+                logged.append((pdf["_task"].iloc[0], name, epoch, *(metrics[m] for m in METRICS), float(((score > 0.5) == (y[part] > 0)).mean()), svm.auc(y[part], score), model))
 
-        svgp.fit(z, y, svgp.Settings(inducing=30, lr=p["lr"], encoder_dim=p["encoder_dim"], seed=p["seed"], epochs=epochs), log)
+        svgp.fit(z, y, svgp.Settings(**{"inducing": 30} | settings | {"lr": p["lr"], "encoder_dim": p["encoder_dim"], "seed": p["seed"], "epochs": epochs}), log)
         return pd.DataFrame(logged, columns=kept)
 
-    logs = cut(training_rows(rows, cap).join(F.broadcast(tasks)).groupBy("_task").applyInPandas(run, "_task int, " + ", ".join(LOG.split(", ")[:-2]) + ", model binary"))
+    schema = ", ".join(["_task int, run string, epoch int", *(f"{c} double" for c in kept[3:-1]), "model binary"])
+    logs = cut(training_rows(rows, cap).join(F.broadcast(tasks)).groupBy("_task").applyInPandas(run, schema))
     scores = cut(scored(rows.filter("test"), logs, ["epoch"]))
     right = ((F.col("score") > 0).cast("int") == F.col("y")).cast("int")
-    counts = scores.groupBy("_task", "epoch").agg(F.avg(right).alias("val_accuracy"))
-    out = logs.drop("model").join(counts, ["_task", "epoch"], "left").join(auc(scores, "y", "score", ["_task", "epoch"]).withColumnRenamed("auc", "val_auc"), ["_task", "epoch"], "left")
-    nan = [F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("val_accuracy", "val_auc")]
-    return out.select(*kept[1:-1], *nan)
+    counts = scores.groupBy("_task", "epoch").agg(F.avg(right).alias("validation_accuracy"))
+    out = logs.drop("model").join(counts, ["_task", "epoch"], "left").join(auc(scores, "y", "score", ["_task", "epoch"]).withColumnRenamed("auc", "validation_auc"), ["_task", "epoch"], "left")
+    return out.select(*(F.coalesce(n, F.lit(float("nan"))).alias(n) if n.startswith("validation") else n for n in (f.split()[0] for f in LOG.split(", "))))
+
+
+def pair_scores(left: DataFrame, right: DataFrame, pairs: DataFrame, kind: str, cap: int = 400, seed: int = 42, **options) -> DataFrame:
+    """(left_id, right_id, y, score) of every pair, by a model of concatenated vectors (linear) or of the product of two kernels (kernel).
+
+    left, right (id, vec); pairs (left_id, right_id, y in -1, 1). The model is fitted on the driver on ``cap`` pairs at
+    most, chosen by draw; all pairs are scored where they are joined.
+    """
+    both = pairs.join(left.toDF("left_id", "_l"), "left_id").join(right.toDF("right_id", "_r"), "right_id")
+    sample = both.orderBy(draw(seed, "left_id", "right_id", "y"), "left_id", "right_id", "y").limit(cap).collect()
+    if not sample:
+        return both.select("left_id", "right_id", "y", F.lit(0.0).alias("score"))
+    places = [{}, {}]
+    at = np.array([[places[k].setdefault(r[i], len(places[k])) for k, i in enumerate(("left_id", "right_id"))] for r in sample])
+    tables = [np.array([next(r[v] for r in sample if r[i] == key) for key in places[k]], float) for k, (i, v) in enumerate((("left_id", "_l"), ("right_id", "_r")))]
+    y = np.array([r["y"] for r in sample])
+    lit = lambda a: F.array(*(F.lit(float(v)) for v in a))
+    if kind == "linear":
+        m = svm.fit_pairs_linear(*tables, at, y, svm.Options(**options))
+        w = m.w if m.w is not None else np.zeros(sum(t.shape[1] for t in tables))
+        d = tables[0].shape[1]
+        return both.select("left_id", "right_id", "y", (dot(F.col("_l"), lit(w[:d])) + dot(F.col("_r"), lit(w[d:])) + float(m.b)).alias("score"))
+    gammas = [1.0 / (t.shape[1] * t.var() or 1.0) for t in tables]
+    m = svm.fit_pairs_kernel(*(svm.rbf_matrix(t, t, g) for t, g in zip(tables, gammas, strict=True)), at, y, svm.Options(**{"candidates": 128, "max_iter": 200} | options))
+    rows = [((tables[0][at[i, 0]].tolist(), tables[1][at[i, 1]].tolist()), float(m.alpha[i]), int(y[i])) for i in m.support]
+    support = left.sparkSession.createDataFrame(rows, "vec struct<l:array<double>,r:array<double>>, alpha double, y int")
+    product = lambda a, b: rbf(a["l"], b["l"], gammas[0]) * rbf(a["r"], b["r"], gammas[1])
+    scored = kernel_scores(both.withColumn("_pair", F.struct(F.col("_l").alias("l"), F.col("_r").alias("r"))), support, "_pair", product, float(m.b))
+    return scored.select("left_id", "right_id", "y", "score")
 
 
 def predictor(state: svgp.State):

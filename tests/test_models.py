@@ -1,5 +1,7 @@
 """Solvers: optimality conditions, accuracy, and the linkage."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,60 +73,101 @@ def test_gaussian_process(optimizer):
     x, y = moons(300)
     losses = []
     lr = 0.05 if optimizer == "adam" else 2e-4
-    s = svgp.fit(x, (y > 0).astype(float), svgp.Settings(inducing=25, lr=lr, epochs=60, batch=100, optimizer=optimizer), lambda e, s, v: losses.append(v))
+    s = svgp.fit(x, (y > 0).astype(float), svgp.Settings(inducing=25, lr=lr, epochs=60, batch=100, optimizer=optimizer), lambda e, s, m: losses.append(m["loss"]))
     p = svgp.predict(s, x)[2]
     assert ((p > 0.5) == (y > 0)).mean() > 0.8 and svm.auc(y, p) > 0.85
     assert losses[-1] < losses[0] and svgp.divergence(s) >= 0
 
 
-def test_gradients_agree_with_differences():
+def own_kernel(a, b, log_scale, log_power):
+    """A rational-quadratic kernel, as one would write it."""
+    d = ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1)
+    return (1 + d * np.exp(log_scale[0])) ** -np.exp(log_power[0])
+
+
+KERNELS = {
+    "ard": svgp.SquaredExponential(), "shared": svgp.SquaredExponential(ard=False),
+    "own": svgp.KernelFunction(own_kernel, lambda d: {"log_scale": np.zeros(1), "log_power": np.zeros(1)}),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(KERNELS))
+def test_gradients_agree_with_differences(kind):
+    """Every gradient, through kernel and encoder, also that of the encoder by way of the inducing points."""
     r = np.random.default_rng(0)
-    x, y, noise = r.normal(size=(15, 2)), r.integers(0, 2, 15).astype(float), r.standard_normal((20, 15))
-    z = x[:5]
-    low = np.tril(r.normal(size=(5, 5))) * 0.3 + np.eye(5)
-    s = svgp.State(z, r.normal(size=5), low, np.array([-0.5, 0.1]), 0.2, 0.1)
-    g = svgp.gradients(s, x, y, 30, noise)
-    for i in range(5):
-        for name in ("m", "low"):
-            value = getattr(s, name)
-            at = (i,) if name == "m" else (i, 0)
-            up, down = value.copy(), value.copy()
-            up[at] += 1e-6
-            down[at] -= 1e-6
-            one = lambda v: svgp.loss(svgp.State(**{**s.__dict__, name: v}), x, y, 30, noise)  # noqa: B023, E731
-            assert abs((one(up) - one(down)) / 2e-6 - g[name][at]) < 1e-3 * max(1, abs(g[name][at]))
-
-
-def test_encoder_gradient():
-    r = np.random.default_rng(1)
     x, y, noise = r.normal(size=(12, 4)), r.integers(0, 2, 12).astype(float), r.standard_normal((20, 12))
-    w = r.normal(size=(4, 2)) * 0.5
     low = np.tril(r.normal(size=(5, 5))) * 0.2 + np.eye(5)
-    make = lambda w: svgp.State((x @ w0)[:5], m, low, np.array([-0.5, 0.1]), 0.2, 0.1, w)
-    w0, m = w.copy(), r.normal(size=5)
-    g = svgp.encoder_gradient(make(w), x, y, 30, noise)
-    for i, j in ((0, 0), (1, 1), (3, 0)):
-        up, down = w.copy(), w.copy()
-        up[i, j] += 1e-6
-        down[i, j] -= 1e-6
-        one = lambda v: svgp.loss(make(v), x @ v, y, 30, noise)
-        assert abs((one(up) - one(down)) / 2e-6 - g[i, j]) < 1e-3 * max(1, abs(g[i, j]))
-
-
-def test_inducing_gradient():
-    r = np.random.default_rng(2)
-    e, y, noise = r.normal(size=(12, 2)), r.integers(0, 2, 12).astype(float), r.standard_normal((20, 12))
-    z, m, low = e[:5] + 0.1, r.normal(size=5), np.tril(r.normal(size=(5, 5))) * 0.2 + np.eye(5)
-    make = lambda z: svgp.State(z, m, low, np.array([-0.5, 0.1]), 0.2, 0.1)
-    g = svgp.inducing_gradient(make(z), e, y, 30, noise)
-    for i, j in ((0, 0), (2, 1), (4, 0)):
-        up, down = z.copy(), z.copy()
-        up[i, j] += 1e-6
-        down[i, j] -= 1e-6
-        slope = (svgp.loss(make(up), e, y, 30, noise) - svgp.loss(make(down), e, y, 30, noise)) / 2e-6
-        assert abs(slope - g[i, j]) < 1e-3 * max(1, abs(g[i, j]))
-    s = svgp.fit(e, y, svgp.Settings(inducing=5, epochs=3, lr=0.05, learn_inducing=True, learn_offset=False))
-    assert s.offset == 0 and not np.allclose(s.z, svgp.fit(e, y, svgp.Settings(inducing=5, epochs=3, lr=0.05)).z)
+    kernel = KERNELS[kind]
+    s = svgp.State(x[:5] + 0.1, r.normal(size=5), low, {k: v + r.normal(size=v.shape) * 0.3 for k, v in kernel.init(2).items()}, 0.1, {"w": r.normal(size=(4, 2)) * 0.5}, svgp.Settings(kernel=kernel, encoder_dim=2))
+    g, metrics = svgp.gradients(s, x, y, 30, noise)
+    whole = svgp.loss(s, x, y, 30, noise)
+    assert metrics["loss"] == pytest.approx(whole, rel=1e-9) and metrics["kl_divergence"] == pytest.approx(svgp.divergence(s), rel=1e-9)
+
+    def moved(name, at, by):
+        part, _, leaf = name.partition(".")
+        held = {"kernel": "params", "encoder": "encoding"}.get(part, name)
+        value = getattr(s, held)[leaf] if leaf else np.array(getattr(s, held), float)
+        value = value.copy()
+        value[at] += by
+        return svgp.loss(replace(s, **{held: getattr(s, held) | {leaf: value} if leaf else value}), x, y, 30, noise)
+
+    for name, slopes in g.items():
+        for at in list(np.ndindex(np.shape(slopes)))[:12]:
+            if name == "low" and at[1] > at[0]:
+                continue
+            slope = (moved(name, at, 1e-6) - moved(name, at, -1e-6)) / 2e-6
+            assert abs(slope - slopes[at]) < 2e-3 * max(1, abs(slope)), (name, at)
+
+
+def test_inducing_points_follow_the_encoder():
+    x, y = moons(120)
+    x = np.c_[x, x * 0.5]
+    s = svgp.fit(x, (y > 0).astype(float), svgp.Settings(inducing=10, epochs=20, lr=0.05, encoder_dim=2))
+    assert all((s.raw[i] == x).all(1).any() for i in range(10))  # still inputs
+    assert np.allclose(s.z, s.raw @ s.encoding["w"])
+    start = svgp.fit(x, (y > 0).astype(float), svgp.Settings(inducing=10, epochs=0, encoder_dim=2))
+    assert not np.allclose(start.z, s.z)
+    free = svgp.fit(x, (y > 0).astype(float), svgp.Settings(inducing=10, epochs=3, lr=0.05, learn_inducing=True, learn_offset=False, learn_kernel=False))
+    assert free.offset == 0 and not np.allclose(free.raw, svgp.fit(x, (y > 0).astype(float), svgp.Settings(inducing=10, epochs=0)).raw)
+    assert (free.params["log_gamma"] == free.kernel.init(4)["log_gamma"]).all()
+
+
+def test_own_kernel_and_encoder_fit():
+    class Squares(svgp.LinearEncoder):
+        def value(self, p, x):
+            return super().value(p, np.c_[x, x * x])
+
+        def init(self, rng, d):
+            return super().init(rng, 2 * d)
+
+        def pull(self, p, x, g):
+            own, back = super().pull(p, np.c_[x, x * x], g)
+            return own, back[:, : x.shape[1]] + 2 * x * back[:, x.shape[1] :]
+
+    x, y = moons(200)
+    s = svgp.fit(x, (y > 0).astype(float), svgp.Settings(inducing=15, lr=0.05, epochs=40, kernel=KERNELS["own"], encoder=Squares(3)))
+    assert svm.auc(y, svgp.predict(s, x)[2]) > 0.9
+    assert np.isnan(svgp.participation_ratio(s))
+    shared = svgp.fit(x, (y > 0).astype(float), svgp.Settings(inducing=15, epochs=2, ard=False))
+    assert shared.params["log_gamma"].shape == (1,)
+
+
+def test_a_bias_moves_the_collective_variable():
+    x, y = moons(150)
+    x = np.c_[x, np.random.default_rng(0).normal(size=(150, 4))]
+    seen = []
+    plain = svgp.Settings(inducing=10, lr=0.05, epochs=30, batch=50)
+    fit = lambda **more: svgp.fit(x, (y > 0).astype(float), replace(plain, **more), lambda e, s, m: seen.append(m))
+    fit(collective=svgp.participation, bias=svgp.harmonic(1.0, 500.0))
+    low = seen[-1]
+    assert [set(m) for m in seen[:1]] == [{"loss", "physical_potential", "kl_divergence", "participation_ratio", "cv_val", "bias_energy"}]
+    assert low["loss"] == pytest.approx(low["physical_potential"] + low["bias_energy"]) and low["cv_val"] == pytest.approx(low["participation_ratio"])
+    seen.clear()
+    fit(collective=svgp.participation, bias=svgp.harmonic(6.0, 500.0))
+    assert seen[-1]["cv_val"] > low["cv_val"] + 1
+    seen.clear()
+    s = fit(collective=svgp.participation, bias=svgp.hills(0.5, 0.2, every=10))
+    assert s.bias_state[0] == 90 and len(s.bias_state[1]) == 9 and seen[-1]["bias_energy"] > 0
 
 
 def brute_ward(x, k):
@@ -189,7 +232,7 @@ def test_sweep(spark):
     assert len(rows) == 4 and rows[0, 1.0]["test_accuracy"] > 0.8 and rows[0, 1.0]["status"] == "fitted"
     assert {r["status"] for r in sweep(df.withColumn("y", F.lit(1)), "v", "y", "linear", g).collect()} == {"degenerate"}
     logs = sweep_logs(df, "v", "y", grid(spark, seed=[0], lr=[0.05], encoder_dim=[2]), epochs=6, every=2).collect()
-    assert sorted(r["epoch"] for r in logs) == [2, 4, 6] and logs[0]["run"] == "model-lr0.05-edim2-seed0"
+    assert sorted(r["epoch"] for r in logs) == [0, 2, 4] and logs[0]["run"] == "model-lr0.05-edim2-seed0"
 
 
 def test_sweep_fits_and_scores_all_rows(spark, monkeypatch):
@@ -208,7 +251,7 @@ def test_sweep_fits_and_scores_all_rows(spark, monkeypatch):
     capped = sweep(df, "v", "y", "linear", g, cap=100).first()
     assert (capped["n_train"], capped["n_test"]) == (100, n_test)
     log = sweep_logs(df, "v", "y", grid(spark, seed=[0], lr=[0.05], encoder_dim=[2]), epochs=1, every=1).first()
-    assert log["val_accuracy"] * n_test == pytest.approx(round(log["val_accuracy"] * n_test), abs=1e-6) and log["val_auc"] > 0
+    assert log["validation_accuracy"] * n_test == pytest.approx(round(log["validation_accuracy"] * n_test), abs=1e-6) and log["validation_auc"] > 0
     x, y = moons(120)
     held = svm.fit_rbf(x, y, 2.0)
     monkeypatch.setattr(svm, "GRAM", 10)
@@ -229,3 +272,23 @@ def test_vector_forms(spark):
     r = df.select(V.l2(a, 0.0).alias("l2"), V.nan_to_zero(b).alias("nz"), V.delta(a, c).alias("bad"), V.delta(a, a).alias("d"), V.delta(a, c, "wild").alias("w"), V.dot(a, a).alias("dot"), V.rbf(a, a, 1.0).alias("k"), V.participation(F.array(F.lit(1.0), F.lit(1.0))).alias("p"), V.l2_floor(F.array(F.lit(0.0))).alias("zero")).first()
     assert r["l2"] == [0.6, 0.8] and r["nz"] == [1.0, 0.0] and r["bad"] is None and r["d"] == [0.0, 0.0] and r["w"] == [1.0]
     assert r["dot"] == 25 and r["k"] == 1 and r["p"] == 2 and r["zero"] == [0.0]
+
+
+def test_pair_models_score_every_pair(spark):
+    r = np.random.default_rng(6)
+    left, right = r.normal(size=(30, 3)), r.normal(size=(4, 2))
+    w = r.normal(size=5)
+    rows = [(i, j, 1 if np.r_[left[i], right[j]] @ w > 0 else -1) for i in range(30) for j in range(4)]
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vec array<double>")
+    for kind in ("linear", "kernel"):
+        for cap in (200, 60):
+            out = train.pair_scores(frame(left), frame(right), spark.createDataFrame(rows, "left_id int, right_id int, y int"), kind, cap=cap).collect()
+            assert len(out) == 120 and np.mean([(o["score"] > 0) == (o["y"] > 0) for o in out]) > (0.9 if cap == 200 else 0.7)
+
+
+def test_padding(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0], 1)] * 3, "v array<double>, y int")
+    assert df.select(V.pad_multiple(F.col("v"), 4).alias("p")).first()["p"] == [1.0, 2.0, 3.0, 0.0]
+    assert df.select(V.pad_multiple(F.col("v"), 3).alias("p")).first()["p"] == [1.0, 2.0, 3.0]
+    out = V.pad_rows(df, "v", 5).collect()
+    assert len(out) == 5 and sum(r["v"] == [0.0] * 3 and r["y"] is None for r in out) == 2 and V.pad_rows(df, "v", 3).count() == 3
