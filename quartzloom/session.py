@@ -14,6 +14,7 @@ def session(cores: int = 8, shuffle_partitions: int | None = None, memory: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -22,14 +23,22 @@ def session(cores: int = 8, shuffle_partitions: int | None = None, memory: str =
     return out
 
 
-def cut(df):
-    """The rows, checkpointed in the folder named by spark.checkpoint.dir; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        path = sc.getConf().get("spark.checkpoint.dir")
-        if not path:
-            import tempfile
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may have none: it gets a temporary one."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
 
-            path = tempfile.mkdtemp(prefix="quartzloom-")
+        path = tempfile.mkdtemp(prefix="quartzloom-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
+    return path
+
+
+def cut(df):
+    """The rows, checkpointed in the shared folder. Spark deletes checkpoints that nothing refers to where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzloom.functions.sequences import fasta_sequence, key_value
+from quartzloom.session import cut
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -171,8 +172,12 @@ def fetch(df: DataFrame, provider: Callable[[str], object], column: str, tries:
     return df.join(keys.mapInPandas(run, f"{column} string, payload string, status string"), column, "left")
 
 
-def run_program(df: DataFrame, command: Callable[[str], list[str]], column: str, timeout: float = 300) -> DataFrame:
-    """(column, output, status) of an external program for each key: success, timeout, missing, or failed with its message."""
+def run_program(df: DataFrame, command: Callable[[str], list[str]], column: str, timeout: float = 300, cache: str | None = None) -> DataFrame:
+    """(column, output, status) of an external program for each key: success, timeout, missing, or failed with its message.
+
+    cache: a Parquet folder of earlier outputs. Keys that it has are not run and have the status cached; new successes
+    are appended to it, once, before the result is returned.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,10 +192,23 @@ def run_program(df: DataFrame, command: Callable[[str], list[str]], column: str,
                     rows.append((key, None, "missing"))
             yield pd.DataFrame(rows, columns=[column, "output", "status"])
 
-    return df.select(F.col(column).cast("string").alias(column)).mapInPandas(run, f"{column} string, output string, status string")
-
-
-def cached_files(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """(name, content) of files of a cache folder, under the first of several name patterns that exists: those not there are absent."""
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.filter(F.col("name").isin(names))
+    schema, keys = f"{column} string, output string, status string", df.select(F.col(column).cast("string").alias(column))
+    if cache is None:
+        return keys.mapInPandas(run, schema)
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    keys = keys.filter(F.col(column).isNotNull()).distinct()
+    held = cut(spark.read.parquet(cache).select(column, "output").dropDuplicates([column])) if there else spark.createDataFrame([], f"{column} string, output string")
+    new = cut(keys.join(held, column, "left_anti").mapInPandas(run, schema))
+    new.filter("status = 'success'").select(column, "output").write.mode("append").parquet(cache)
+    return keys.join(held, column).select(column, "output", F.lit("cached").alias("status")).union(new)
+
+
+def cached_files(spark: SparkSession, folder: str, keys: list[str], patterns: tuple[str, ...] = ("{}.pdb", "pdb{}.ent")) -> DataFrame:
+    """(key, name, content) of files of a cache folder: for each key the file under the first of several name patterns that exists. Keys without any are absent."""
+    files = spark.read.format("binaryFile").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    wanted = spark.createDataFrame([(k, i, p.format(k)) for k in keys for i, p in enumerate(patterns)], "key string, _nth int, name string")
+    found = files.select(name.alias("name")).join(wanted, "name").groupBy("key").agg(F.min(F.struct("_nth", "name")).alias("_f")).select("key", F.col("_f.name").alias("name"))
+    return files.select(name.alias("name"), "content").join(found, "name").select("key", "name", "content")

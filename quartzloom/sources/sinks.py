@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,43 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def write_run_logs(df: DataFrame, path: str, config: str, run: str = "run", epoch: str = "epoch") -> None:
+    """A folder for each run with one text log: a comment line with the settings, the header once, then rows in epoch order."""
+    cols = [c for c in df.columns if c != run]
+    line = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols))
+    head = F.array(F.struct(F.lit(-2).cast("long").alias("n"), F.lit(f"# Config: {config}").alias("value")), F.struct(F.lit(-1).cast("long").alias("n"), F.lit(",".join(cols)).alias("value")))
+    first = df.select(run).distinct().select(run, F.explode(head).alias("l")).select(run, "l.n", "l.value")
+    rows = df.select(run, F.col(epoch).cast("long").alias("n"), line.alias("value"))
+    first.union(rows).repartition(run).sortWithinPartitions(run, "n").select(run, "value").write.mode("overwrite").partitionBy(run).text(path)
+
+
+class RunLog:
+    """A trainer's own log on the machine where it runs: settings as a comment line, the header once, rows written every so many."""
+
+    def __init__(self, path: str, config: object, every: int = 100):
+        self.path, self.every, self.rows, self.columns = Path(path), every, [], None
+        self.path.parent.mkdir(parents=True, exist_ok=True)
+        self.path.write_text(f"# Config: {config}\n")
+
+    def log(self, metrics: dict, step: int) -> None:
+        self.rows.append({"epoch": step, **metrics})
+        if len(self.rows) >= self.every:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.rows:
+            return
+        with self.path.open("a") as f:
+            if self.columns is None:
+                self.columns = list(self.rows[0])
+                f.write(",".join(self.columns) + "\n")
+            f.writelines(",".join("" if r.get(c) is None else str(r[c]) for c in self.columns) + "\n" for r in self.rows)
+        self.rows = []
+
+    def finish(self) -> None:
+        self.flush()
+
+
 def write_chunks(df: DataFrame, path: str, chunk: str = "chunk") -> None:
     """A folder of tasks for each chunk."""
     df.repartition(chunk).write.mode("overwrite").partitionBy(chunk).csv(path, header=True)

@@ -61,5 +61,8 @@ def test_predictor(spark):
 
 
 def test_cached_files(spark, tmp_path):
-    (tmp_path / "1abc.pdb").write_bytes(b"atoms")
-    assert [tuple(r) for r in cached_files(spark, str(tmp_path), ["1abc.pdb", "pdb1abc.ent"]).collect()] == [("1abc.pdb", bytearray(b"atoms"))]
+    """Of the name patterns the first that exists counts, not every one."""
+    for name in ("1abc.pdb", "pdb1abc.ent", "pdb2xyz.ent", "other.pdb"):
+        (tmp_path / name).write_bytes(name.encode())
+    rows = cached_files(spark, str(tmp_path), ["1abc", "2xyz", "none"]).collect()
+    assert sorted((r["key"], r["name"], bytes(r["content"])) for r in rows) == [("1abc", "1abc.pdb", b"1abc.pdb"), ("2xyz", "pdb2xyz.ent", b"pdb2xyz.ent")]

@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pytest
 
-from quartzloom.sources import readers, sinks
+from quartzloom.sources import plots, readers, sinks
 
 
 def test_tsv_without_quotes(spark, tmp_path):
@@ -89,6 +89,46 @@ def test_programs(spark):
     assert rows["ok"] == ("hi\n", "success") and rows["slow"][1] == "timeout" and rows["fail"][1].startswith("failed") and rows["gone"][1] == "missing"
 
 
+def test_program_results_are_cached(spark, tmp_path):
+    calls = tmp_path / "calls"
+    df = spark.createDataFrame([("a",), ("b",), ("a",), ("bad",), (None,)], "k string")
+    command = lambda k: ["sh", "-c", f"echo {k} >> {calls}; test {k} != bad && echo out-{k}"]
+    for status in ("success", "cached"):
+        rows = {r["k"]: (r["output"], r["status"]) for r in readers.run_program(df, command, "k", cache=str(tmp_path / "cache")).collect()}
+        assert rows.pop("bad")[1].startswith("failed") and rows == {"a": ("out-a\n", status), "b": ("out-b\n", status)}
+    assert sorted(calls.read_text().split()) == ["a", "b", "bad", "bad"]
+
+
+def test_run_logs(spark, tmp_path):
+    df = spark.createDataFrame([("x", e, e / 10) for e in range(30)] + [("y", 0, None)], "run string, epoch int, loss double")
+    sinks.write_run_logs(df, str(tmp_path / "logs"), "lr=1")
+    text = next((tmp_path / "logs/run=x").glob("part*")).read_text().splitlines()
+    assert text[:3] == ["# Config: lr=1", "epoch,loss", "0,0.0"] and len(text) == 32 and text[-1] == "29,2.9"
+    back = readers.read_run_logs(spark, str(tmp_path / "logs"), "epoch int, loss double").select("run", "epoch", "loss")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    log = sinks.RunLog(str(tmp_path / "own/run.csv"), {"lr": 1}, every=2)
+    for e in range(3):
+        log.log({"loss": e}, e)
+        assert len((tmp_path / "own/run.csv").read_text().splitlines()) == (1, 4, 4)[e]
+    log.finish()
+    assert (tmp_path / "own/run.csv").read_text() == "# Config: {'lr': 1}\nepoch,loss\n0,0\n1,1\n2,2\n"
+
+
+def test_plots(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0, True), (2.0, 1.0, None, True), (3.0, 3.0, None, False), (None, 1.0, 1.0, True)], "volume_mean double, sasa_mean double, average_delay double, detected boolean")
+    for detected, points in ((None, 1), ("detected", 3)):
+        page = plots.scatter(df, "volume_mean", "sasa_mean", "average_delay", detected)
+        assert page.startswith(b"%PDF-1.4") and page.count(b" m ") >= points and b"Sasa Mean \\(nm2\\)" in page
+        assert page.count(b" c B") + page.count(b" c S") == points
+    assert int(page[page.rindex(b"startxref") + 10 :].split()[0]) == page.index(b"xref\n")
+    logs = spark.createDataFrame([("a", e, e / 10, e / 20) for e in range(10)], "run string, epoch int, train_accuracy double, validation_accuracy double")
+    chosen = spark.createDataFrame([("Longest Delay (300)", "a", 2, -1), ("Lost", "gone", -1, -1)], "label string, run string, mem int, event int")
+    page = plots.curves(logs, chosen, 100)
+    assert page.count(b"[2 2] 0 d") == 1 and page.count(b"[6 3] 0 d") == 0 and b"no log of gone" in page and b"Longest Delay \\(300\\)" in page
+    plots.write_bytes(spark, page, str(tmp_path / "f.pdf"))
+    assert (tmp_path / "f.pdf").read_bytes() == page
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", "train", 1, [1, 2]), ("a", "test", 2, [1, 3]), ("b", "train", 3, [2, 1])], "u string, split string, x int, path array<int>")
     sinks.write_csv_by(df.drop("path"), str(tmp_path / "by"), "u", "split")
