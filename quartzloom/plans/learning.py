@@ -157,6 +157,28 @@ def culling_split_levels(spark, d):
     return out
 
 
+@query("select 'k2' as level, s_suppkey, split::integer as split from (select s_suppkey, n_regionkey as k2 from supplier join nation on s_nationkey = n_nationkey) s, (select unnest([1, 2, 3]) as split) p where k2 in (select k2 from (select distinct n_regionkey as k2 from supplier join nation on s_nationkey = n_nationkey) order by md5((41 + p.split)::varchar || '/2/' || k2), k2 limit 1)".replace("where k2 in (select k2 from (select distinct n_regionkey as k2 from supplier join nation on s_nationkey = n_nationkey) order by md5((41 + p.split)::varchar || '/2/' || k2), k2 limit 1)", "join (select split as sp, arg_min(k2, md5((41 + split)::varchar || '/2/' || k2)) as held from (select distinct n_regionkey as k2 from supplier join nation on s_nationkey = n_nationkey), (select unnest([1, 2, 3]) as split) group by 1) h on h.sp = p.split where s.k2 = h.held"))
+def culling_split_repeated(spark, d):
+    """The clusters held out at one level in three repetitions."""
+    n = table(spark, d, "nation")
+    pool = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("k2_cluster"))
+    tests = [level.test.select(F.lit(level.name).alias("level"), "s_suppkey", F.lit(split).alias("split")) for split in (1, 2, 3) for level in splits.culling_split(pool, "s_suppkey", [2], {2}, split=split)]
+    return tests[0].union(tests[1]).union(tests[2])
+
+
+@query("select 5::bigint as n_folds, count(*)::bigint as n_rows, count(distinct source)::bigint as n_groups, sum(quality)::bigint as n_positive, 0::bigint as split_groups, true as even from labels join documents using (doc_id)")
+def stratified_fold_invariants(spark, d):
+    """Every group in one fold, every row in a fold, and class shares no further apart than the largest group's."""
+    df = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    folds = splits.stratified_group_folds(df, "source", "quality")
+    rows = df.join(folds, "source")
+    per = rows.groupBy("source").agg(F.countDistinct("fold").alias("k"), F.sum("quality").alias("p"), F.count("*").alias("n"))
+    by = rows.groupBy("fold").agg(F.sum("quality").alias("p"), F.count("*").alias("n"))
+    even = by.agg((F.max("p") - F.min("p")).alias("dp"), (F.max(F.col("n") - F.col("p")) - F.min(F.col("n") - F.col("p"))).alias("dq"), F.count("*").alias("n_folds"))
+    one = per.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.sum("p").cast("long").alias("n_positive"), F.count_if(F.col("k") != 1).alias("split_groups"), F.max("p").alias("mp"), F.max(F.col("n") - F.col("p")).alias("mq"))
+    return one.crossJoin(F.broadcast(even)).select("n_folds", "n_rows", "n_groups", "n_positive", "split_groups", ((F.col("dp") <= F.col("mp")) & (F.col("dq") <= F.col("mq"))).alias("even"))
+
+
 @query()
 def stratified_group_folds(spark, d):
     df = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
@@ -164,9 +186,15 @@ def stratified_group_folds(spark, d):
     return df.join(folds, "source").groupBy("fold").agg(F.count("*").alias("n_rows"), F.countDistinct("source").alias("n_groups"), F.sum("quality").cast("long").alias("n_positive"))
 
 
-@query("select l_suppkey, l_returnflag, count(*)::bigint as n from lineitem group by 1, 2")
+ROW = "'/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey"
+
+
+@query(f"""with a as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() over (partition by l_suppkey order by md5('42' || {ROW}), l_orderkey, l_linenumber, l_partkey) as k from lineitem),
+b as (select l_suppkey, l_returnflag, row_number() over (partition by l_suppkey order by md5('43' || {ROW}), l_orderkey, l_linenumber, l_partkey) as k from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag from a join b using (l_suppkey, k)""")
 def label_permutation(spark, d):
-    return splits.permute_labels(table(spark, d, "lineitem").select("l_suppkey", "l_returnflag"), "l_suppkey", "l_returnflag").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return splits.permute_labels(rows, "l_suppkey", "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 @query("select doc_id from (select doc_id from documents order by md5('42/' || doc_id), doc_id limit 50)")
@@ -245,21 +273,31 @@ def linear_scores(spark, d):
     return out.select("vec_id", F.round("score", 6).alias("score")).withColumn("label", V.sign_label(F.col("score")))
 
 
-@query(f"with {CELLS}, s as (select vec_id, dim, x, case when label % 2 = 0 then 1 else -1 end * 0.1 as c from e where vec_id < 40), p as (select e.vec_id, s.vec_id as sv, max(c) as c, sum((e.x - s.x) * (e.x - s.x)) as q from e join s using (dim) group by 1, 2) select vec_id, round(sum(c * exp(-0.5 * q)) + 0.25, 6)::double as score from p group by 1")
+def centroids(spark, d):
+    """(id, vec): the mean vector of each label, which stand for a model's own points."""
+    from quartzloom.operators.aggregates import vector_moments_by
+
+    return vector_moments_by(vecs(spark, d), ["label"], "v").select(F.col("label").alias("id"), F.col("mean").alias("vec"))
+
+
+CENTROIDS = CELLS + ", c as (select label as id, dim, avg(x) as x from e group by 1, 2)"
+
+
+@query(f"with {CENTROIDS}, p as (select e.vec_id, c.id, sum((e.x - c.x) * (e.x - c.x)) as q from e join c using (dim) group by 1, 2) select vec_id, round(sum(case when id % 2 = 0 then 0.1 else -0.1 end * exp(-0.5 * q)) + 0.25, 6)::double as score from p group by 1")
 def rbf_scores(spark, d):
-    v = vecs(spark, d)
-    sv = v.filter("vec_id < 40").select(F.col("v").alias("vec"), F.lit(0.1).alias("alpha"), F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("y"))
-    return V.kernel_scores(v, sv, "v", lambda a, b: V.rbf(a, b, 0.5), 0.25).select("vec_id", F.round("score", 6).alias("score"))
+    """Every vector scored with the mean vectors of the labels as support vectors."""
+    sv = centroids(spark, d).select("vec", F.lit(0.1).alias("alpha"), F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("y"))
+    return V.kernel_scores(vecs(spark, d), sv, "v", lambda a, b: V.rbf(a, b, 0.5), 0.25).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"with {CELLS}, k as (select a.vec_id as i, b.vec_id as j, exp(-0.5 * sum((a.x - b.x) * (a.x - b.x)) filter (a.dim < 32)) as l, exp(-0.5 * sum((a.x - b.x) * (a.x - b.x)) filter (a.dim >= 32)) as p from e a join e b using (dim) where a.vec_id < 20 and b.vec_id < 20 group by 1, 2) select i, j, round(l * p, 6) as k from k")
+@query(f"with {CENTROIDS}, k as (select a.id as i, b.id as j, exp(-0.5 * sum((a.x - b.x) * (a.x - b.x)) filter (a.dim < 32)) as l, exp(-0.5 * sum((a.x - b.x) * (a.x - b.x)) filter (a.dim >= 32)) as p from c a join c b using (dim) group by 1, 2) select i, j, round(l * p, 6) as k from k")
 def product_kernel(spark, d):
-    """Gram tables of both halves, joined on ids: the pairs of a model's own training points."""
+    """Gram tables of both halves of the labels' mean vectors, joined on ids: the pairs of a model's own points."""
     from quartzloom.models.kernels import gram
 
-    v = vecs(spark, d).filter("vec_id < 20")
-    left = gram(v.select(F.col("vec_id").alias("id"), F.slice("v", 1, 32).alias("vec")), 0.5)
-    right = gram(v.select(F.col("vec_id").alias("id"), F.slice("v", 33, 32).alias("vec")), 0.5)
+    c = centroids(spark, d)
+    left = gram(c.select("id", F.slice("vec", 1, 32).alias("vec")), 0.5)
+    right = gram(c.select("id", F.slice("vec", 33, 32).alias("vec")), 0.5)
     return left.join(right.withColumnRenamed("k", "p"), ["i", "j"]).select("i", "j", F.round(F.col("k") * F.col("p"), 6).alias("k"))
 
 
@@ -368,6 +406,43 @@ def svgp(spark, d):
 
 @query()
 def sweep_curves(spark, d):
+    from quartzloom.models.svgp import harmonic, participation
     from quartzloom.models.train import sweep_logs
 
-    return sweep_logs(binary(spark, d), "v", "y", joins.grid(spark, seed=[0, 1], lr=[0.05, 0.01], encoder_dim=[8]), epochs=20, every=5)
+    grid = joins.grid(spark, seed=[0, 1, 2, 3, 4], lr=[0.05, 0.01], encoder_dim=[8, 16])  # 20 runs
+    return sweep_logs(binary(spark, d), "v", "y", grid, epochs=20, every=5, collective=participation, bias=harmonic(4.0, 0.1))
+
+
+@query()
+def svgp_predictions(spark, d):
+    """Every vector by a model fitted on 500 of them at most."""
+    from quartzloom.models import svgp as gp
+    from quartzloom.models import svm, train
+
+    rows = train.marked_rows(binary(spark, d), "v", "y", 42)
+    x, y = train.arrays(train.training_rows(rows, 500).toPandas())
+    z, mean, std = svm.scale(x)
+    state = gp.fit(z, y, gp.Settings(inducing=30, lr=0.05, epochs=10))
+    lit = lambda a: F.array(*(F.lit(float(v)) for v in a))
+    scaled = V.l2(V.nan_to_zero(V.zscore(F.col("v"), lit(mean), lit(std))))
+    return binary(spark, d).select("vec_id", "y", train.predictor(state)(scaled).alias("p")).select("vec_id", "y", "p.*")
+
+
+def _pairs(spark, d, kind):
+    """Vectors with the mean vectors of their own label (1) and of the next (-1)."""
+    from quartzloom.models.train import pair_scores
+
+    v, c = vecs(spark, d), centroids(spark, d)
+    own = v.select(F.col("vec_id").alias("left_id"), F.col("label").alias("right_id"), F.lit(1).alias("y"))
+    other = v.select(F.col("vec_id").alias("left_id"), ((F.col("label") + 1) % 10).alias("right_id"), F.lit(-1).alias("y"))
+    return pair_scores(v.select(F.col("vec_id").alias("id"), F.col("v").alias("vec")), c, own.union(other), kind, cap=400)
+
+
+@query()
+def svm_pairs_linear(spark, d):
+    return _pairs(spark, d, "linear")
+
+
+@query()
+def svm_pairs_kernel(spark, d):
+    return _pairs(spark, d, "kernel")

@@ -9,6 +9,7 @@ from quartzloom.functions import stats
 from quartzloom.operators import aggregates as A
 from quartzloom.operators import clean as C
 from quartzloom.operators import filters, joins, sets, splits
+from quartzloom.operators import structures as S
 from quartzloom.plans.registry import query, table
 
 #: Text forms of a number, in SQL that both engines take.
@@ -114,7 +115,9 @@ def pairs_many_to_many(spark, d):
 
 @query(f"with {PAIRS}, v as (select l_suppkey, l_returnflag, label, count(*) as n from p group by 1, 2, 3), r as (select *, row_number() over (partition by l_suppkey, l_returnflag order by n desc, label) as k from v), a as (select l_suppkey, l_returnflag, median(wt_value) as wt, median(l_quantity) as mut, count(*) as n from p group by 1, 2) select l_suppkey, l_returnflag, r.label, wt, mut, a.n from a join r using (l_suppkey, l_returnflag) where k = 1")
 def pair_vote_mode(spark, d):
-    return pairs(spark, d).groupBy("l_suppkey", "l_returnflag").agg(A.mode("label").alias("label"), F.median("wt_value").alias("wt"), F.median("l_quantity").alias("mut"), F.count("*").alias("n"))
+    p, keys = pairs(spark, d), ["l_suppkey", "l_returnflag"]
+    votes = p.groupBy(*keys).agg(A.mode("label").alias("label"), F.count("*").alias("n"))
+    return votes.join(A.quantiles(p, keys, "wt_value", wt=0.5), keys).join(A.quantiles(p, keys, "l_quantity", mut=0.5), keys)
 
 
 @query("select l_orderkey, l_linenumber, l_suppkey || '_' || l_returnflag as target_id, split_part(l_suppkey || '_' || l_returnflag, '_', 1) as target from lineitem")
@@ -200,6 +203,84 @@ def sql_predicates(spark, d):
     return spark.sql("select o_orderkey, o_custkey from ql_orders where o_orderstatus = 'O' and o_totalprice is not null")
 
 
+@query("select l_orderkey as assay_id, l_partkey as molregno, nullif(l_discount, 0) as standard_value from lineitem where l_returnflag = 'N' and l_discount <> 0")
+def sql_scan_activities(spark, d):
+    from quartzloom.sources.readers import sql_scan
+
+    table(spark, d, "lineitem").selectExpr("l_orderkey as assay_id", "l_partkey as molregno", "if(l_returnflag = 'N', 'nM', 'uM') as standard_units", "nullif(l_discount, 0) as standard_value").createOrReplaceTempView("activities")
+    return sql_scan(spark, "activities")
+
+
+@query("select n_nationkey as tid, n_regionkey as related_tid from nation where n_regionkey <> 2")
+def sql_scan_relations(spark, d):
+    from quartzloom.sources.readers import sql_scan
+
+    table(spark, d, "nation").selectExpr("n_nationkey as tid", "n_regionkey as related_tid", "if(n_regionkey = 2, 'SINGLE', 'SUBSET OF') as relationship").createOrReplaceTempView("target_relations")
+    return sql_scan(spark, "relations")
+
+
+@query("select count(*) filter (lang <> 'en' and source <> '')::bigint as kept, count(*) filter (lang = 'en' or source = '')::bigint as removed from documents")
+def removed_rows(spark, d):
+    rows, seen = filters.non_empty(table(spark, d, "documents").select("doc_id", F.nullif(F.col("lang"), F.lit("en")).alias("lang"), "source"), "lang", "source")
+    return spark.createDataFrame([(rows.count(), seen.get["removed"])], "kept long, removed long")
+
+
+def round_trip(spark, name, write, read):
+    """What read(path) gives of what write(path) wrote to the shared folder; the folder is removed."""
+    from uuid import uuid4
+
+    from quartzloom.session import cut, shared_dir
+
+    path = f"{shared_dir(spark).rstrip('/')}/quartzloom-{name}-{uuid4().hex}"
+    write(path)
+    try:
+        return cut(read(path))
+    finally:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@query("select s_suppkey, s_name, s_acctbal from supplier")
+def csv_scan(spark, d):
+    from quartzloom.sources import readers, sinks
+
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return round_trip(spark, "csv", lambda p: sinks.write_csv(rows, p), lambda p: readers.read_csv(spark, p, "s_suppkey long, s_name string, s_acctbal double"))
+
+
+@query("select p_partkey::varchar as key, p_name || ' \"quoted' as name from part")
+def tsv_scan(spark, d):
+    from quartzloom.sources import readers
+
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_size", F.concat("p_name", F.lit(' "quoted')).alias("name"))
+    return round_trip(spark, "tsv", lambda p: rows.write.csv(p, sep="\t", header=True, quote="\0", escape="\0"), lambda p: readers.read_tsv(spark, p, ["key", "name"]))
+
+
+@query("select s_suppkey::varchar as id, s_nationkey::varchar as key from supplier where s_suppkey % 10 <> 0")
+def index_scan(spark, d):
+    from quartzloom.sources import readers
+
+    lines = F.expr("case s_suppkey % 10 when 0 then concat('# ', s_suppkey, ' x ', s_nationkey) when 1 then concat('  ', s_suppkey, '  x ', s_nationkey, ' more') else concat(s_suppkey, ' x ', s_nationkey) end")
+    return round_trip(spark, "index", lambda p: table(spark, d, "supplier").select(lines.alias("value")).write.text(p), lambda p: readers.read_index(spark, p))
+
+
+@query("select user_id::integer as run, (row_number() over (partition by user_id order by ts, event_id) - 1)::integer as epoch, round(value, 3) as loss from events")
+def run_log_scan(spark, d):
+    """A log for each user, written with settings and header, and read again."""
+    from quartzloom.sources import readers, sinks
+
+    e = splits.ranked(table(spark, d, "events"), ["user_id"], "ts", "event_id", name="i").select(F.col("user_id").alias("run"), (F.col("i") - 1).cast("int").alias("epoch"), F.round("value", 3).alias("loss"))
+    return round_trip(spark, "logs", lambda p: sinks.write_run_logs(e, p, "lr=0.1"), lambda p: readers.read_run_logs(spark, p, "epoch int, loss double").select("run", "epoch", "loss"))
+
+
+@query("select n_name as target, n_nationkey as random_seed, 'model' as model_name, 300 as epochs from nation")
+def task_list_scan(spark, d):
+    from quartzloom.sources import readers, sinks
+
+    rows = table(spark, d, "nation").select(F.col("n_name").alias("target"), F.col("n_nationkey").alias("random_seed"))
+    return round_trip(spark, "tasks", lambda p: sinks.write_csv(rows, p), lambda p: readers.read_tasks(spark, p, model_name="model", epochs=300))
+
+
 @query("with c as (select *, count(*) over (partition by l_suppkey, l_partkey) as n from lineitem) select l_orderkey, l_linenumber from c where n >= 3")
 def min_length_gate(spark, d):
     return filters.at_least(table(spark, d, "lineitem").withColumn("k", F.concat_ws("/", "l_suppkey", "l_partkey")), "k", 3).select("l_orderkey", "l_linenumber")
@@ -267,10 +348,12 @@ def aggregate_before_join(spark, d):
     return table(spark, d, "part").filter("p_size = 1").join(n, "p_partkey", "left").select("p_partkey", "p_name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-@query("select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey")
+@query("select c_custkey, n_name, n from customer join (select o_custkey as c_custkey, count(*)::bigint as n from orders group by 1) using (c_custkey) join nation on c_nationkey = n_nationkey")
 def checked_lookup(spark, d):
     n = table(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
-    return joins.checked_lookup(joins.optional_join(table(spark, d, "customer"), None, "c_nationkey"), n, "c_nationkey").select("c_custkey", "n_name")
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    rows = joins.optional_join(joins.optional_join(table(spark, d, "customer"), None, "c_custkey"), orders, "c_custkey")
+    return joins.checked_lookup(rows, n, "c_nationkey").select("c_custkey", "n_name", "n")
 
 
 @query("select n_nationkey, seed, rate, dims from nation, (select unnest(range(5))::bigint as seed), (select unnest([0.0001, 0.00001])::double as rate), (select unnest([8, 16])::bigint as dims)")
@@ -320,7 +403,7 @@ def group_mean_sorted(spark, d):
 
 @query("select l_suppkey, median(l_extendedprice) as med, quantile_cont(l_extendedprice, 0.9) as q90 from lineitem group by 1")
 def group_median_quantile(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.median("l_extendedprice").alias("med"), F.percentile("l_extendedprice", F.lit(0.9)).alias("q90"))
+    return A.quantiles(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", med=0.5, q90=0.9)
 
 
 @query("select n, count(*)::bigint as count from (select l_suppkey, count(distinct l_partkey)::bigint as n from lineitem group by 1) group by 1")
@@ -379,18 +462,34 @@ def group_variance(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.round(F.var_samp("p_retailprice"), 4).alias("v"))
 
 
-@query("select p_brand, sum(case p_type when 'ECONOMY' then 88.6 when 'STANDARD' then 173.4 when 'PROMO' then 114.1 else 0 end)::double as volume, (count(*) filter (p_type <> 'ECONOMY' and p_type <> 'SMALL') / count(*))::double as polarity from part group by 1".replace("sum(case", "round(sum(case").replace("end)::double as volume", "end), 4)::double as volume").replace("count(*))::double as polarity", "count(*))::double as polarity"))
+RESIDUES = sorted(S.VOLUMES) + ["HOH"]
+_PROPERTIES = ", ".join(f"({i}, {S.VOLUMES.get(r, 0)}::double, {S.DONORS.get(r, 0)}, {S.ACCEPTORS.get(r, 0)}, {S.CHARGES.get(r, 0)}::double, {int(r not in S.HYDROPHOBIC and r != 'GLY')})" for i, r in enumerate(RESIDUES))
+
+
+@query(f"""with r(i, v, d, a, c, p) as (values {_PROPERTIES}) select p_brand as structure, count(*)::bigint as num_residues, round(sum(v), 4) as volume, sum(d)::bigint as hbond_donors, sum(a)::bigint as hbond_acceptors, round(sum(c), 4) as net_charge, round(avg(p), 9) as polarity
+from part join r on p_partkey % {len(RESIDUES)} = i group by 1""")
 def property_sums(spark, d):
-    dims = spark.createDataFrame([("ECONOMY", 88.6), ("STANDARD", 173.4), ("PROMO", 114.1)], "p_type string, volume double")
-    polar = ~F.col("p_type").isin("ECONOMY", "SMALL")
-    return table(spark, d, "part").join(F.broadcast(dims), "p_type", "left").groupBy("p_brand").agg(F.round(F.sum(F.coalesce("volume", F.lit(0.0))), 4).alias("volume"), (F.count_if(polar) / F.count("*")).alias("polarity"))
+    residue = F.element_at(F.array(*map(F.lit, RESIDUES)), (F.col("p_partkey") % len(RESIDUES) + 1).cast("int"))
+    out = S.describe(table(spark, d, "part").select(F.col("p_brand").alias("structure"), residue.alias("residue")))
+    return out.select("structure", "num_residues", F.round("volume_A3", 4).alias("volume"), "hbond_donors", "hbond_acceptors", F.round("net_charge", 4).alias("net_charge"), F.round("polarity_score", 9).alias("polarity"))
 
 
-@query("select l_returnflag, count(*)::bigint as n, round(avg(l_quantity), 6) as mean, round(var_pop(l_quantity), 4) as var from lineitem group by 1")
+@query("select l_returnflag, count(*)::bigint as n, round(avg(l_quantity), 5) as mean, round(var_pop(l_quantity), 3) as var from lineitem group by 1")
 def mergeable_moments(spark, d):
-    parts = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("mean"), (F.var_pop("l_quantity") * F.count("*")).alias("m2"))
+    return _moments(table(spark, d, "lineitem").withColumn("x", F.col("l_quantity")))
+
+
+@query("select l_returnflag, count(*)::bigint as n, round(avg(l_quantity + l_linenumber * 3), 5) as mean, round(var_pop(l_quantity + l_linenumber * 3), 3) as var from lineitem group by 1")
+def moments_of_large_values(spark, d):
+    """Values of a thousand million and more: the spread between batches must not cancel. The offset is taken off the mean at the end."""
+    out = _moments(table(spark, d, "lineitem").withColumn("x", F.lit(1e9) + F.col("l_quantity") + F.col("l_linenumber") * 3), 1e9)
+    return out
+
+
+def _moments(df, offset: float = 0.0):
+    parts = df.groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("*")).alias("m2"))
     out = A.merge_moments(parts, ["l_returnflag"])
-    return out.select("l_returnflag", "n", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"))
+    return out.select("l_returnflag", "n", F.round(F.col("mean") - offset, 5).alias("mean"), F.round("var", 3).alias("var"))
 
 
 @query("select label, dim::integer as dim, round(sum(x::double), 4) as total from (select label, unnest(embedding) as x, unnest(range(64)) as dim from embeddings) group by 1, 2")
@@ -450,13 +549,18 @@ def distinct_pairs(spark, d):
 # set operations
 
 
-@query("select c_custkey as id, c_name as name, c_acctbal as bal, null as seg from customer where c_nationkey = 1 union all select s_suppkey, s_name, null, 'supplier' from supplier where s_nationkey = 1")
+@query("select c_custkey as id, c_name as name, c_acctbal as bal, null as seg from customer union all select s_suppkey, s_name, null, 'supplier' from supplier")
 def union_mixed(spark, d):
-    a = table(spark, d, "customer").filter("c_nationkey = 1").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
-    b = table(spark, d, "supplier").filter("s_nationkey = 1").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("seg"))
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("seg"))
     return sets.union_mixed(a, b)
 
 
+@query("select unnest(['lane', 'weight']) as name")
+def missing_columns(spark, d):
+    return spark.createDataFrame([(c,) for c in sorted(sets.missing_columns(table(spark, d, "lineitem"), ["l_orderkey", "weight", "l_tax", "lane"]))], "name string")
+
+
 @query("select c_nationkey as k from customer union select s_nationkey from supplier")
 def distinct_union(spark, d):
     return sets.distinct_values("k", table(spark, d, "customer").withColumnRenamed("c_nationkey", "k"), table(spark, d, "supplier").withColumnRenamed("s_nationkey", "k"))
@@ -498,35 +602,61 @@ def sequence_diff(spark, d):
     return s.select("p_partkey", X.sequence_diff(F.col("w"), F.col("m")).alias("diff"))
 
 
-@query("""select p_partkey, case p_partkey % 3 when 0 then 'AC' || chr(75 + p_size % 10) || 'EF' when 1 then 'TC' || chr(75 + p_size % 10) || 'EW' else null end as edited from part""")
+@query("""with s as (select p_partkey, upper(replace(p_name, ' ', '')) as s, p_partkey % 4 as kind, p_size from part),
+k as (select *, (p_size % (length(s) + 1) + 1)::integer as k from s), l as (select *, substr(s, k, 1) as a, case when kind = 2 then 'M' || substr(s, 2) else s end as t from k)
+select p_partkey, case when kind = 3 or k > length(s) then null when kind = 1 and a <> 'Z' then null when kind = 2 and substr(t, k, 1) <> a then null else substr(t, 1, k - 1) || 'W' || substr(t, k + 1) end as edited from l""")
 def apply_edits(spark, d):
-    seq = F.expr("concat('AC', chr(75 + p_size % 10), 'EF')")
-    edits = F.expr("case p_partkey % 3 when 0 then 'A1A' when 1 then 'A1T,F5W' else 'C1T' end")
-    return table(spark, d, "part").select("p_partkey", X.apply_edits(seq, edits).alias("edited"))
+    """Edits at every place, also beyond the end, about another letter, malformed, and two in turn."""
+    rows = table(spark, d, "part").selectExpr("p_partkey", "upper(replace(p_name, ' ', '')) as s", "p_partkey % 4 as kind", "p_size")
+    rows = rows.withColumn("k", F.expr("p_size % (length(s) + 1) + 1")).withColumn("at", F.expr("substr(s, k, 1)"))
+    edits = F.expr("case kind when 0 then concat(at, k, 'W') when 1 then concat('Z', k, 'W') when 2 then concat(substr(s, 1, 1), '1M, ', at, k, 'W') else 'q' end")
+    return rows.select("p_partkey", X.apply_edits(F.col("s"), edits).alias("edited"))
+
 
+#: 6 to 25 bases for each part.
+BASES = "translate(substr(md5(cast(p_partkey as {0})), 1, cast(6 + p_size % 20 as integer)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+#: An amino acid by the place of its codon in the standard code.
+AMINO = f"substr('{X.GENETIC_CODE}', 16 * (strpos('TCAG', substr({{0}}, 1, 1)) - 1) + 4 * (strpos('TCAG', substr({{0}}, 2, 1)) - 1) + strpos('TCAG', substr({{0}}, 3, 1)), 1)"
 
-@query("select p_partkey, case when p_size % 2 = 0 then 'MK' else 'MK?' end as protein, 'MK' as stripped from part")
+
+@query(f"""with c as (select p_partkey, {BASES.format('varchar')} as c from part), t as (select p_partkey, list_transform(list_transform(range(1, length(c) + 1, 3), lambda i: substr(c, i, 3)), lambda x: case when length(x) < 3 then '?' else {AMINO.format('x')} end) as t from c),
+p as (select p_partkey, array_to_string(t, '') as protein from t) select p_partkey, protein, trim(protein, '?') as stripped from p""")
 def codon_translate(spark, d):
-    out = X.translate_codons(F.when(F.col("p_size") % 2 == 0, "ATGAAA").otherwise("ATGAAAXG"))
+    out = X.translate_codons(F.expr(BASES.format("string")))
     return table(spark, d, "part").select("p_partkey", out.alias("protein"), X.strip_unknown(out).alias("stripped"))
 
 
-@query("select p_partkey, 'C' as ref, p_size as pos, 'W' as alt from part")
+@query("select p_partkey, case when p_partkey % 7 <> 0 then chr(65 + (p_partkey % 26)::integer) end as ref, case when p_partkey % 7 <> 0 then p_size end as pos, case when p_partkey % 7 <> 0 then chr(65 + (p_size % 26)::integer) end as alt from part")
 def mutation_fields(spark, d):
-    p = X.parse_mutation(F.expr("concat('C', p_size, 'W')"))
+    t = F.expr("concat(chr(65 + p_partkey % 26), p_size, chr(65 + p_size % 26))")
+    p = X.parse_mutation(F.when(F.col("p_partkey") % 7 == 0, F.lower(t)).otherwise(t))
     return table(spark, d, "part").select("p_partkey", p["ref"].alias("ref"), p["pos"].alias("pos"), p["alt"].alias("alt"))
 
 
-@query("select p_partkey, case p_partkey % 3 when 0 then 1 when 1 then 0 end as at, case p_partkey % 3 when 0 then 'A' when 1 then 'AAA' end as ref, case p_partkey % 3 when 0 then 'C' when 1 then 'TGG' end as alt from part")
+AMINOS = "substr('ACDEFGHIKLMNPQRSTVWYX', cast(p_size % 21 + 1 as integer), 1)"
+FIRST = ", ".join(f"('{a}', '{c}')" for a, c in X.FIRST_CODON.items())
+
+
+@query(f"""with f(a, n) as (values {FIRST}), c as (select p_partkey, substr({BASES.format('varchar')}, 1, 3) as c, {AMINOS} as a from part),
+x as (select p_partkey, c, n, (c[1] <> n[1])::integer + (c[2] <> n[2])::integer + (c[3] <> n[3])::integer as off, case when c[1] <> n[1] then 0 when c[2] <> n[2] then 1 else 2 end as i from c left join f using (a))
+select p_partkey, case when off = 1 then i when off > 1 then 0 end as at, case when off = 1 then c[i + 1] when off > 1 then c end as ref, case when off = 1 then n[i + 1] when off > 1 then n end as alt from x""")
 def codon_change(spark, d):
-    c = X.codon_change(F.expr("if(p_partkey % 3 = 0, 'AAT', 'AAA')"), F.expr("case p_partkey % 3 when 0 then 'T' when 1 then 'W' else 'K' end"))
+    c = X.codon_change(F.substring(F.expr(BASES.format("string")), 1, 3), F.expr(AMINOS))
     return table(spark, d, "part").select("p_partkey", c["at"].alias("at"), c["ref"].alias("ref"), c["alt"].alias("alt"))
 
 
-@query("select p_partkey, case when p_size % 2 = 0 then 12 when p_size % 3 = 0 then 17 end as place from part")
+WINDOW_INPUT = ("p_partkey", "translate(md5(cast(p_partkey as {0})), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') as q", "cast(p_size % 32 as integer) as pos", "cast(p_partkey % 3 as integer) as off", "p_size")
+
+
+@query(f"""with s as (select {', '.join(WINDOW_INPUT).format('varchar')} from part), t as (select *, case when p_size % 5 = 0 then reverse(q) else substr('WWYY', 1, (p_size % 5)::integer) || q end as t from s),
+c as (select *, pos + off as moved, greatest(0, pos - 5) as lo, greatest(0, pos + off - 5) as tlo from t),
+w as (select *, substr(q, lo + 1, least(length(q), pos + 6) - lo) as here, substr(t, tlo + 1, least(length(t), moved + 6) - tlo) as there from c)
+select p_partkey, (case when here = there then moved when strpos(t, here) > 0 then strpos(t, here) - 1 + pos - lo end)::integer as place from w""")
 def context_window(spark, d):
-    query_, target = F.lit("MKTAYIAKQRQISFVKSHFSRQ"), F.expr("case when p_size % 2 = 0 then 'GGMKTAYIAKQRQISFVKSHFSRQ' when p_size % 3 = 0 then 'GGGGGGGMKTAYIAKQRQISFVKSHFSRQ' else 'MMMMMMMM' end")
-    return table(spark, d, "part").select("p_partkey", X.locate_context(query_, target, F.lit(10), F.lit(2)).alias("place"))
+    """Targets with other letters before the query, by which places move, and reversed ones, where nothing is found."""
+    rows = table(spark, d, "part").selectExpr(*(x.format("string") for x in WINDOW_INPUT))
+    target = F.expr("case when p_size % 5 = 0 then reverse(q) else concat(substr('WWYY', 1, cast(p_size % 5 as integer)), q) end")
+    return rows.select("p_partkey", X.locate_context(F.col("q"), target, F.col("pos"), F.col("off")).alias("place"))
 
 
 @query("select page_id, lower(nullif(regexp_extract(url, '[A-Za-z0-9]{4}'), '')) as id from pages")
@@ -588,9 +718,9 @@ def dense_index(spark, d):
     return rows.join(keys, "l_suppkey").select("l_orderkey", "l_linenumber", "index")
 
 
-@query("select title, n from (select 'Hello World' as title, count(*)::bigint as n from nation)")
+@query("select p_partkey, array_to_string(list_transform(string_split(replace(lower(p_type || '_' || p_name), '_', ' '), ' '), lambda x: upper(x[1]) || x[2:]), ' ') as title from part")
 def title_case(spark, d):
-    return table(spark, d, "nation").agg(F.count("*").alias("n")).select(X.title(F.lit("hello_world")).alias("title"), "n")
+    return table(spark, d, "part").select("p_partkey", X.title(F.concat_ws("_", "p_type", "p_name")).alias("title"))
 
 
 @query("select l_suppkey, n_scaffolds from (select l_suppkey, count(distinct p_type)::bigint as n_scaffolds from lineitem join part on l_partkey = p_partkey group by 1)")
