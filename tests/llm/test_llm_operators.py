@@ -273,6 +273,7 @@ def test_secrets_scan_only_what_is_new(spark):
     new = secrets.scan(df, old).checkpoint()
     todo = {len(r["rules"]): r["n"] for r in new.groupBy("rules").count().withColumnRenamed("count", "n").collect()}
     assert todo == {4: 4, 7: 4}
+    assert new.count() == 8
     assert secrets.scan(df, old.union(new)).count() == 0
     both = secrets.findings(df, old.union(new)).collect()
     assert {r["doc_id"]: r["spans"] for r in both} == {r["doc_id"]: r["spans"] for r in secrets.findings(df, secrets.scan(df)).collect()}
@@ -356,13 +357,30 @@ def test_line_dedup(spark, texts, none, monkeypatch, limit):
     assert linededup.dedup_lines(none).count() == 0
 
 
-def test_line_runs_are_compacted(spark, docs, tmp_path):
-    runs = linededup.LineRuns(spark, str(tmp_path / "runs"), fanout=2, min_docs=10)
+def test_line_runs_go_on_in_another_session(spark, docs, tmp_path):
+    """Five batches, each through a store opened anew, of which one fails and is added again; then all are as if counted at once."""
+    path = str(tmp_path / "runs")
+    batch = lambda b: linededup.counted(linededup.line_keys(docs.filter(f"doc_id % 5 = {b}")))
     for b in range(5):
-        runs.add(linededup.line_keys(docs.filter(f"doc_id % 5 = {b}")))
+        runs = linededup.LineRuns(spark, path, fanout=2, min_docs=10, buckets=3)
+        if b == 3:
+            with pytest.raises(RuntimeError):
+                runs.manifest.number -= 1  # as if another writer had been faster
+                runs.add(f"day {b}", batch(b))
+            runs = linededup.LineRuns(spark, path)
+        runs.add(f"day {b}", batch(b))
+        runs.add(f"day {b}", batch(b))
+        for r in runs.runs():
+            spark.sql(f"drop table quartzloom_{r.replace('-', '_')}")  # a new session's catalog is empty
+    runs = linededup.LineRuns(spark, path)
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    whole = linededup.line_keys(docs).groupBy("h1", "h2").count().filter("count >= 10").select("h1", "h2")
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == sorted([*runs.runs(), "manifests"])
+    whole = linededup.counted(linededup.line_keys(docs)).filter("n >= 10").select("h1", "h2")
     assert Counter(runs.frequent().collect()) == Counter(whole.collect())
+    plan = runs.ordered(lambda: runs.merged(runs.runs())._jdf.queryExecution().executedPlan().toString())
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.close()
+    assert not (tmp_path / "runs").exists()
 
 
 # packing
