@@ -5,16 +5,19 @@ differ in at most three bytes, so they share at least five of the eight position
 guaranteed minimum. Posting lists of single positional bytes would hold 1/256 of the corpus each,
 so a list here is for three positional bytes: positions 0-3 and 4-7 have four triples each, and
 five shared positions put three into one half, so every pair that must be found meets in one of
-eight lists of 24-bit keys. For each pair in a list the shared positional bytes are tallied, pairs
-with at least five stay, and their differing bits are counted.
+eight lists of 24-bit keys. For each pair in a list the shared positional bytes are tallied; pairs
+below five go without their bits being counted, and the differing bits of the rest decide. The
+tally is a necessary condition and spares work; what links is the count of bits.
 
 A list is read in key order by one task that keeps fingerprints (8 bytes each), not texts. Lists
 of over BLOCK fingerprints are dealt as pairs of blocks to many tasks. From each list or block
 pair a spanning forest of the links is written, never all pairs: it has the same components.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and links
-like any other; equal fingerprints link; repeated rows give repeated rows; a null doc_id gets the
-component of its fingerprint and never names one unless all are null; an empty table gives no rows.
+like any other; texts of any length are hashed whole; equal fingerprints link; repeated rows give
+repeated rows; ids are of any type that has an order; a null doc_id gets the component of its
+fingerprint and never names one unless all are null; an empty table gives no rows; other columns,
+whatever their names, are ignored by ``near_duplicates`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import LOWER, by_rows, cut, map_arrow, record, text_key
+from quartzloom.llm.common import LOWER, by_rows, cut, free_names, id_ddl, map_arrow, record, text_key, without_rows
 from quartzloom.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -37,7 +40,6 @@ SEED, SHINGLE, MAX_BITS, MIN_BYTES = 42, 3, 3, 5
 #: Byte positions of each list: the triples of both halves.
 LISTS = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 BLOCK = 2048
-PRINTS = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -64,9 +66,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_rows(batches):
-            yield record(PRINTS, part.column(0), part.column(1), [fingerprint(t) for t in part.column(2).to_pylist()])
+            prints = pa.array([fingerprint(t) for t in part.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), prints], names=["doc_id", "tk", "fp"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), F.col("text").cast("string").alias("text")), run, "doc_id long, tk long, fp long")
+    return map_arrow(docs.select("doc_id", text_key().alias("tk"), F.col("text").cast("string").alias("text")), run, f"{id_ddl(docs)}, tk long, fp long")
 
 
 def linked(x: np.ndarray) -> np.ndarray:
@@ -168,13 +171,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id; repeated rows are reduced to one."""
-    rows = cut(fingerprints(docs))
-    keep = cut(classes(rows).select("least.doc_id", "least.tk").distinct().select(F.col("doc_id").alias("_ql_id"), F.col("tk").alias("_ql_tk")))
-    tagged = docs.withColumns({"_ql_d": F.col("doc_id").cast("long"), "_ql_t": text_key()})
-    found = tagged.join(keep, F.col("_ql_d").eqNullSafe(F.col("_ql_id")) & F.col("_ql_t").eqNullSafe(F.col("_ql_tk")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_ql_d", "_ql_t").orderBy("_ql_d"))
-    return found.withColumn("_ql_n", first).filter("_ql_n = 1").select(*docs.columns)
+    """One document of each component, the one with the least doc_id; repeated rows are reduced to one.
+
+    The rows to drop are found from ids and fingerprints alone. Texts are not shuffled while those rows can be broadcast;
+    only rows that are repeated whole are numbered, of which a task sends one each.
+    """
+    rows = cut(fingerprints(docs).groupBy("doc_id", "tk").agg(F.first("fp").alias("fp"), F.count("*").alias("copies")))
+    named = rows.join(cut(classes(rows).select("fp", "least.doc_id", "least.tk").toDF("fp", "first_id", "first_tk")), "fp")
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tk") == F.col("first_tk"))
+    drops = cut(named.filter(~first | (F.col("copies") > 1)).select("doc_id", "tk", first.alias("first")))
+    out = without_rows(docs, drops.select("doc_id", "tk"))
+    again = drops.filter("first").select("doc_id", "tk")
+    if again.isEmpty():
+        return out
+    i, t, k, n = free_names(docs, "_again_id", "_again_text", "_text_key", "_nth")
+    tagged, again = docs.withColumn(k, text_key()), again.toDF(i, t)
+    found = tagged.join(again, tagged["doc_id"].eqNullSafe(again[i]) & tagged[k].eqNullSafe(again[t]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", k).orderBy("doc_id"))
+    return out.union(found.withColumn(n, nth).filter(F.col(n) == 1).select(*docs.columns))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
