@@ -10,10 +10,11 @@ than ten words are one window each and are looked up by all of their words.
 Neither texts nor unmatched fingerprints are shuffled while the index is below MAX_INDEX bytes and
 so can be broadcast; a larger index is joined by a shuffle on the fingerprints.
 
-Defined cases: null texts and texts without words have no window and are not contaminated; items
-without words are ignored; a row that repeats another gets the same result; a null doc_id or
-item_id is kept as a document and ignored as an item; empty tables on either side are fine; other
-columns are ignored by ``hits`` and kept by ``keep_clean``.
+Defined cases: null texts and texts without words have no window and are not contaminated; texts
+of any length are whole; items without words are ignored; a row that repeats another gets the same
+result; ids may be of any type, a null doc_id is kept as a document and a null item_id ignored as an
+item; empty tables on either side are fine; other columns, whatever their names, are ignored by
+``hits`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import cut, text_key
+from quartzloom.llm.common import cut, text_key, without_rows
 
 SPAN, GRAM = 10, 5
 WINDOW = SPAN - GRAM + 1
@@ -128,9 +129,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any window of the benchmark, with all their columns."""
-    dirty = cut(hits(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_ql_id"), F.col("tk").alias("_ql_tk")).distinct())
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_ql_id")) & text_key().eqNullSafe(F.col("_ql_tk")), "left_anti")
+    """The documents without any window of the benchmark, with all their columns. Texts are not shuffled while the contaminated rows can be broadcast."""
+    return without_rows(docs, cut(hits(docs, benchmark).filter("n_hit > 0").select("doc_id", "tk").distinct()))
 
 
 def op5_decontam(spark, sf_dir: str) -> DataFrame:
