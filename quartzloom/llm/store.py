@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,29 +107,32 @@ def digest(text: str = "text") -> Column:
 
 
 def unseen(docs: DataFrame, wanted: list[str], seen: DataFrame | None = None, ident: str = "doc_id") -> DataFrame:
-    """(digest, text, todo): a text for each different digest, with those of ``wanted`` that ``seen`` (digest, done) lacks for it; digests that lack nothing are left out.
+    """(digest, text, todo): a text for each different digest; bit i of todo is set where ``seen`` (digest, done) lacks wanted[i] for it. Digests that lack nothing are left out.
 
     Only digests and ids are shuffled first. Then the texts are read once more and stay in place, as long as the digests
     to be left out (or held back as copies), or else those to be taken, number BROADCAST_ROWS at most; only beyond that
     are texts joined by a shuffle, dealt by digest and id, so that copies of a hot text spread. The text of a digest is
     that of its least id; rows that agree in id and text may give a digest more than once.
     """
-    keys = F.array(*map(F.lit, wanted))
+    if len(wanted) > 63:
+        raise ValueError("at most 63 at a time")
+    every = (1 << len(wanted)) - 1
     rows = docs.select(digest().alias("digest"), F.col(ident).alias("id"))
     table = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     if seen is None:
-        table = table.withColumn("todo", keys)
+        table = table.withColumn("todo", F.lit(every).cast("long"))
     else:
-        done = seen.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("done"))).alias("done"))
-        table = table.join(done, "digest", "left").withColumn("todo", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))).drop("done")
+        bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.array_contains("done", w), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, w in enumerate(wanted)))
+        done = seen.select("digest", bits.alias("done")).groupBy("digest").agg(F.bit_or("done").alias("done"))
+        table = table.join(done, "digest", "left").withColumn("todo", F.lit(every).cast("long").bitwiseAND(F.bitwise_not(F.coalesce("done", F.lit(0).cast("long"))))).drop("done")
     table = cut(table)
-    take, special = F.size("todo") > 0, (F.col("n") > 1) | (F.size("todo") < len(wanted))
+    take, special = F.col("todo") != 0, (F.col("n") > 1) | (F.col("todo") != every)
     n_take, n_special = table.agg(F.count_if(take), F.count_if(special)).first()
     texts = docs.select(digest().alias("digest"), F.col(ident).alias("id"), content().alias("text"))
     if n_special <= min(n_take, common.BROADCAST_ROWS):
-        listed = F.broadcast(table.filter(special).select("digest", "rep", "todo", F.lit(True).alias("listed")))
-        found = texts.join(listed, "digest", "left").filter(F.col("listed").isNull() | ((F.size("todo") > 0) & F.col("id").eqNullSafe(F.col("rep"))))
-        return found.select("digest", "text", F.coalesce("todo", keys).alias("todo"))
+        listed = F.broadcast(table.filter(special).select("digest", "rep", "todo"))
+        found = texts.join(listed, "digest", "left").filter(F.col("todo").isNull() | ((F.col("todo") != 0) & F.col("id").eqNullSafe(F.col("rep"))))
+        return found.select("digest", "text", F.coalesce("todo", F.lit(every).cast("long")).alias("todo"))
     listed = table.filter(take).select(F.col("digest").alias("taken"), "rep", "todo")
     if n_take <= common.BROADCAST_ROWS:
         listed = F.broadcast(listed)
