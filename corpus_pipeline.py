@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quartzloom.llm import decontam, linededup, packing, quality, simhash
-from quartzloom.llm.common import new_path, remove, store
+from quartzloom.llm.common import new_path, remove, scratch, store
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, name)
-        docs = store(stage(spark, docs, sf_dir), path)
+        with scratch(spark):  # what the stage wrote for itself goes once its result is written
+            docs = store(stage(spark, docs, sf_dir), path)
         if last:
             remove(spark, last)
         last = path
