@@ -173,32 +173,47 @@ def sweep_logs(df: DataFrame, vector: str, label: str, grid: DataFrame, epochs:
 def pair_scores(left: DataFrame, right: DataFrame, pairs: DataFrame, kind: str, cap: int = 400, seed: int = 42, **options) -> DataFrame:
     """(left_id, right_id, y, score) of every pair, by a model of concatenated vectors (linear) or of the product of two kernels (kernel).
 
-    left, right (id, vec); pairs (left_id, right_id, y in -1, 1). The model is fitted on the driver on ``cap`` pairs at
+    left, right (id, vec); pairs (left_id, right_id, y in -1, 1). The model is fitted by one worker on ``cap`` pairs at
     most, chosen by draw; all pairs are scored where they are joined.
     """
     both = pairs.join(left.toDF("left_id", "_l"), "left_id").join(right.toDF("right_id", "_r"), "right_id")
-    sample = both.orderBy(draw(seed, "left_id", "right_id", "y"), "left_id", "right_id", "y").limit(cap).collect()
-    if not sample:
+    sample = both.orderBy(draw(seed, "left_id", "right_id", "y"), "left_id", "right_id", "y").limit(cap)
+
+    def run(pdf: pd.DataFrame) -> tuple:
+        pdf = pdf.sort_values(["left_id", "right_id", "y"])
+        at = np.array([pd.factorize(pdf[i])[0] for i in ("left_id", "right_id")]).T
+        first = [np.unique(at[:, k], return_index=True)[1] for k in (0, 1)]
+        tables = [np.array(pdf[v].iloc[f].tolist(), float) for v, f in zip(("_l", "_r"), first, strict=True)]
+        y = pdf["y"].to_numpy()
+        if kind == "linear":
+            m = svm.fit_pairs_linear(*tables, at, y, svm.Options(**options))
+            w = m.w if m.w is not None else np.zeros(sum(t.shape[1] for t in tables))
+            return w[: tables[0].shape[1]].tolist(), w[tables[0].shape[1] :].tolist(), float(m.b)
+        gammas = [float(1.0 / (t.shape[1] * t.var() or 1.0)) for t in tables]
+        m = svm.fit_pairs_kernel(*(svm.rbf_matrix(t, t, g) for t, g in zip(tables, gammas, strict=True)), at, y, svm.Options(**{"candidates": 128, "max_iter": 200} | options))
+        rows = [((tables[0][at[i, 0]].tolist(), tables[1][at[i, 1]].tolist()), float(m.alpha[i]), int(y[i])) for i in m.support]
+        return rows, gammas, float(m.b)
+
+    fitted = in_worker(sample, run)
+    if fitted is None:
         return both.select("left_id", "right_id", "y", F.lit(0.0).alias("score"))
-    places = [{}, {}]
-    at = np.array([[places[k].setdefault(r[i], len(places[k])) for k, i in enumerate(("left_id", "right_id"))] for r in sample])
-    tables = [np.array([next(r[v] for r in sample if r[i] == key) for key in places[k]], float) for k, (i, v) in enumerate((("left_id", "_l"), ("right_id", "_r")))]
-    y = np.array([r["y"] for r in sample])
     lit = lambda a: F.array(*(F.lit(float(v)) for v in a))
     if kind == "linear":
-        m = svm.fit_pairs_linear(*tables, at, y, svm.Options(**options))
-        w = m.w if m.w is not None else np.zeros(sum(t.shape[1] for t in tables))
-        d = tables[0].shape[1]
-        return both.select("left_id", "right_id", "y", (dot(F.col("_l"), lit(w[:d])) + dot(F.col("_r"), lit(w[d:])) + float(m.b)).alias("score"))
-    gammas = [1.0 / (t.shape[1] * t.var() or 1.0) for t in tables]
-    m = svm.fit_pairs_kernel(*(svm.rbf_matrix(t, t, g) for t, g in zip(tables, gammas, strict=True)), at, y, svm.Options(**{"candidates": 128, "max_iter": 200} | options))
-    rows = [((tables[0][at[i, 0]].tolist(), tables[1][at[i, 1]].tolist()), float(m.alpha[i]), int(y[i])) for i in m.support]
+        left_w, right_w, b = fitted
+        return both.select("left_id", "right_id", "y", (dot(F.col("_l"), lit(left_w)) + dot(F.col("_r"), lit(right_w)) + b).alias("score"))
+    rows, gammas, b = fitted
     support = left.sparkSession.createDataFrame(rows, "vec struct<l:array<double>,r:array<double>>, alpha double, y int")
     product = lambda a, b: rbf(a["l"], b["l"], gammas[0]) * rbf(a["r"], b["r"], gammas[1])
-    scored = kernel_scores(both.withColumn("_pair", F.struct(F.col("_l").alias("l"), F.col("_r").alias("r"))), support, "_pair", product, float(m.b))
+    scored = kernel_scores(both.withColumn("_pair", F.struct(F.col("_l").alias("l"), F.col("_r").alias("r"))), support, "_pair", product, b)
     return scored.select("left_id", "right_id", "y", "score")
 
 
+def in_worker(df: DataFrame, function) -> object:
+    """function(all rows as pandas), computed by one task; None without rows. The caller bounds the rows. A driver does no solving: threaded algebra can hang beside a JVM."""
+    rows = df.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: pd.DataFrame({"out": [pickle.dumps(function(pdf))]}), "out binary").collect()
+    return pickle.loads(rows[0]["out"]) if rows else None
+
+
 def predictor(state: svgp.State):
     """A column function of scaled vectors: struct(mean, variance, probability, label). The state is a few inducing points."""
     kind = T.StructType([*(T.StructField(n, T.DoubleType()) for n in ("mean", "variance", "probability")), T.StructField("label", T.IntegerType())])

@@ -420,9 +420,13 @@ def svgp_predictions(spark, d):
     from quartzloom.models import svm, train
 
     rows = train.marked_rows(binary(spark, d), "v", "y", 42)
-    x, y = train.arrays(train.training_rows(rows, 500).toPandas())
-    z, mean, std = svm.scale(x)
-    state = gp.fit(z, y, gp.Settings(inducing=30, lr=0.05, epochs=10))
+
+    def fit(pdf):
+        x, y = train.arrays(pdf)
+        z, mean, std = svm.scale(x)
+        return gp.fit(z, y, gp.Settings(inducing=30, lr=0.05, epochs=10)), mean, std
+
+    state, mean, std = train.in_worker(train.training_rows(rows, 500), fit)
     lit = lambda a: F.array(*(F.lit(float(v)) for v in a))
     scaled = V.l2(V.nan_to_zero(V.zscore(F.col("v"), lit(mean), lit(std))))
     return binary(spark, d).select("vec_id", "y", train.predictor(state)(scaled).alias("p")).select("vec_id", "y", "p.*")
