@@ -14,8 +14,10 @@ may be missing: other texts of enough coverage are found if any piece is as long
 
 The scan is one pass without a shuffle; a document needs memory for its own words only.
 
-Defined cases: null and empty texts hold no license; repeated rows give repeated rows; ids may be
-null; an empty table gives no rows; other columns are ignored.
+Defined cases: null and empty texts hold no license; templates of a word or two are found as such;
+texts of any length are scanned whole; of finds at one place the one that covers more comes first,
+then by name; repeated rows give repeated rows; ids may be null and of any type; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import LOWER, by_rows, map_arrow, record
+from quartzloom.llm.common import LOWER, by_rows, id_ddl, map_arrow, record
 
 WORD = re.compile(r"[^\W_]+")
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 8, 0.8
@@ -63,6 +65,30 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "BSL-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "PostgreSQL": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "WTFPL": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.",
+    "BSL-1.0-full": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+}
+#: What follows a notice in the license's whole text, by what it is added to.
+_MIT_REST = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_REST = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC_REST = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_GPL_REST = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+_ZLIB_REST = "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+_UNLICENSE_REST = "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+TEMPLATES |= {
+    "MIT-full": f"{TEMPLATES['MIT']} {_MIT_REST}",
+    "BSD-2-Clause-full": f"{TEMPLATES['BSD-2-Clause']} {_BSD_REST}",
+    "BSD-3-Clause-full": f"{TEMPLATES['BSD-3-Clause']} {_BSD_REST}",
+    "ISC-full": f"{TEMPLATES['ISC']} {_ISC_REST}",
+    "0BSD-full": f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {_ISC_REST}",
+    "Zlib-full": f"{TEMPLATES['Zlib']} {_ZLIB_REST}",
+    "Unlicense-full": f"{TEMPLATES['Unlicense']} {_UNLICENSE_REST}",
+    "GPL-3.0-notice-full": f"{TEMPLATES['GPL-3.0-notice']} {_GPL_REST}",
+    "GPL-2.0-notice-full": f"{TEMPLATES['GPL-2.0-notice']} {_GPL_REST}",
 }
 
 #: Words of a template that must match, each where it stands first, and words that name another license.
@@ -87,8 +113,16 @@ NAMING = {
     "LGPL-3.0-notice": "lesser general 3",
     "AGPL-3.0-notice": "affero general 3",
     "BSL-1.0-line": "boost 1",
+    "LGPL-2.1-notice": "library lesser general 2",
+    "EPL-2.0-notice": "eclipse 2",
+    "BSD-3-Clause-full": "neither",
+    "ISC-full": "notice",
+    "GPL-3.0-notice-full": "general 3",
+    "GPL-2.0-notice-full": "general 2",
 }
 BARRED = {n: {"lesser", "library", "affero"} - set(NAMING[n].split()) for n in NAMING if "GPL" in n} | {n: {"nc", "sa", "nd"} - set(NAMING[n].split()) for n in NAMING if n.startswith("CC-BY")}
+#: Grants that differ from another license's by a condition or by what they cover.
+BARRED |= {"0BSD-full": {"notice"}, "ISC": {"documentation"}, "ISC-full": {"documentation"}}
 
 
 def tokens(text: str) -> list[str]:
@@ -234,7 +268,7 @@ def scan_text(text: str | None, index: Index, coverage: float = COVERAGE) -> lis
     return [(name, spans[first][0], spans[end - 1][1], share) for name, first, end, share in sorted(found, key=lambda x: (x[1], -x[3], x[0]))]
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_licenses", pa.int64()), ("licenses", pa.string()), ("best", pa.string()), ("best_coverage", pa.float64())])
+OUT = pa.schema([("n_licenses", pa.int64()), ("licenses", pa.string()), ("best", pa.string()), ("best_coverage", pa.float64())])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
@@ -248,9 +282,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
                 found = scan_text(text, index, coverage)
                 best = max(found, key=lambda x: (x[3], x[2] - x[1], x[0]), default=(None, 0, 0, 0.0))
                 rows.append((len(found), ",".join(f"{n}:{a}:{b}:{round(100 * s)}" for n, a, b, s in found), best[0], best[3]))
-            yield record(OUT, part.column(0), *(zip(*rows, strict=True) if rows else [[]] * 4))
+            rest = record(OUT, *(zip(*rows, strict=True) if rows else [[]] * 4))
+            yield pa.RecordBatch.from_arrays([part.column(0), *rest.columns], names=["doc_id", *OUT.names])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_licenses long, licenses string, best string, best_coverage double")
+    return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"{id_ddl(docs)}, n_licenses long, licenses string, best string, best_coverage double")
 
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:
