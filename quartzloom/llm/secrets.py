@@ -63,6 +63,8 @@ RULES = (
     Rule("jwt", "(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}[.]eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}", version=2, lead=1, hint="[.]eyJ"),
 )
 BASE = ("assign", "access", "hex")
+#: Matches of a text that are placed at a time.
+CHUNK = 512
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,rule:string>>"
 
 
@@ -77,6 +79,7 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
         *([lengths(F.regexp_extract_all(text, regex, rule.lead)).alias("lead")] if rule.lead else []),
     )
     parts = F.filter(parts, lambda x: x["whole"].isNotNull())
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["before"]
@@ -84,8 +87,17 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
         found = F.struct(first.alias("start"), F.lit(number).alias("kind_no"), (start + x["whole"]).alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"))
         return F.struct((start + x["whole"]).alias("at"), F.when(x["value"] >= rule.least, F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    out = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.hint or rule.regex), out).otherwise(F.array().cast(SPAN))
+    def of_parts(p: Column) -> Column:
+        """In chunks, as appending copies an array: where each chunk starts, then each chunk by itself."""
+        heads = F.sequence(F.lit(1), F.size(p), F.lit(CHUNK))
+        longs = F.transform(heads, lambda i: F.aggregate(F.slice(p, i, F.lit(CHUNK)), F.lit(0), lambda n, x: n + x["before"] + x["whole"]))
+        starts = F.aggregate(longs, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        run = lambda q, at: F.aggregate(q, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        many = F.flatten(F.transform(F.arrays_zip(heads.alias("head"), F.slice(starts, F.lit(1), F.size(heads)).alias("at")), lambda c: run(F.slice(p, c["head"], F.lit(CHUNK)), c["at"])))
+        return F.when(F.size(p) <= CHUNK, run(p, F.lit(0))).otherwise(many)
+
+    out = F.transform(F.array(parts), of_parts)[0]
+    return F.when(text.rlike(rule.hint or rule.regex), out).otherwise(none)
 
 
 LEDGER = f"blob binary, rules array<string>, spans {SPAN}"
