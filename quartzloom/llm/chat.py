@@ -10,12 +10,15 @@ The template: ``<<SYS>>text<</SYS>>`` for system, ``[INST]text[/INST]`` for user
 for assistant, ``[ROLE]name[/ROLE]text</s>`` for any other role. The assistant's text and its
 ``</s>`` are under the mask.
 
-Conversations are dealt by conv_id, sorted, and streamed turn by turn; each turn is a row of its
-own, so a conversation of any length needs the memory of one turn.
-
-Defined cases: null texts and roles are empty; turns are ordered by turn (null first), then role
-and text; repeated rows are repeated turns; rows with a null conv_id form a conversation; an empty
-table gives no rows; other columns are ignored.
+Conversations are dealt by conv_id, sorted, and streamed in slices of turns; each turn is a row of
+its own, so a conversation of any length needs the memory of a slice. Segments of a slice are
+encoded, and decoded, in one call. A conversation is one task's work, as its digest runs over its
+turns in order.
+
+Defined cases: null texts and roles are empty; texts of any length are encoded whole; turns are
+ordered by turn (null first), then role and text; repeated rows are repeated turns; rows with a null
+conv_id form a conversation, ids may be of any type; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import by_rows, map_arrow, record
+from quartzloom.llm.common import by_rows, id_ddl, map_arrow, record
 
 FILE = "byte_bpe_50k.json"
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]")
-TURN = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("first_id", pa.int64()), ("first_char", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.int8()))])
-TURN_DDL = "conv_id long, seq long, first_id long, first_char long, formatted string, ids array<int>, mask array<byte>"
+TURN = pa.schema([("seq", pa.int64()), ("first_id", pa.int64()), ("first_char", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.int8()))])
+TURN_DDL = "seq long, first_id long, first_char long, formatted string, ids array<int>, mask array<byte>"
 _SPECIAL = "|".join(map(re.escape, ("\\", *CONTROLS)))
 _ESCAPE, _UNESCAPE = re.compile(_SPECIAL), re.compile(rf"\\({_SPECIAL})")
 
@@ -60,8 +63,8 @@ class Template:
         self.first = self.model.get_vocab_size(with_added_tokens=True)
         self.reserved = {c: self.first + i for i, c in enumerate(CONTROLS)}
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(escape(text), add_special_tokens=False).ids
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast([escape(t) for t in texts], add_special_tokens=False)]
 
     def segments(self, role: str, text: str) -> list[tuple[str, bool, bool]]:
         """(string, is control, under the mask)."""
@@ -73,28 +76,46 @@ class Template:
             return [("<s>", True, False), (text, False, True), ("</s>", True, True)]
         return [("[ROLE]", True, False), (role, False, False), ("[/ROLE]", True, False), (text, False, False), ("</s>", True, False)]
 
-    def turn(self, role: str, text: str) -> tuple[str, np.ndarray, np.ndarray]:
-        """The formatted string, ids and mask of a turn."""
-        parts = self.segments(role, text)
-        ids = [[self.reserved[s]] if control else self.encode(s) for s, control, _ in parts]
-        ends = np.cumsum([len(i) for i in ids])
-        edge = np.zeros(int(ends[-1]) + 1, np.int8)
-        for n, end, (_, _, loss) in zip(map(len, ids), ends, parts, strict=True):
-            if loss:
-                edge[end - n] += 1
-                edge[end] -= 1
-        return "".join(s if control else escape(s) for s, control, _ in parts), np.concatenate(ids).astype(np.int32), np.cumsum(edge[:-1], dtype=np.int8)
-
-    def decode(self, ids: list[int]) -> str:
-        return unescape(self.model.decode(ids, skip_special_tokens=False)) if ids else ""
-
-    def read(self, ids: list[int]) -> tuple[str, str]:
-        """Role and text of a turn, from its ids."""
-        head = CONTROLS[ids[0] - self.first]
-        if head == "[ROLE]":
-            k = ids.index(self.reserved["[/ROLE]"])
-            return self.decode(ids[1:k]), self.decode(ids[k + 1 : -1])
-        return {"<<SYS>>": "system", "[INST]": "user", "<s>": "assistant"}[head], self.decode(ids[1:-1])
+    def turns(self, rows: list[tuple[str, str]]) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        """The formatted string, ids and mask of each turn (role, text)."""
+        parts = [self.segments(role, text) for role, text in rows]
+        coded = iter(self.encode([s for turn in parts for s, control, _ in turn if not control]))
+        out = []
+        for turn in parts:
+            ids = [[self.reserved[s]] if control else next(coded) for s, control, _ in turn]
+            ends = np.cumsum([len(i) for i in ids])
+            edge = np.zeros(int(ends[-1]) + 1, np.int8)
+            for n, end, (_, _, loss) in zip(map(len, ids), ends, turn, strict=True):
+                if loss:
+                    edge[end - n] += 1
+                    edge[end] -= 1
+            out.append(("".join(s if control else escape(s) for s, control, _ in turn), np.concatenate(ids).astype(np.int32), np.cumsum(edge[:-1], dtype=np.int8)))
+        return out
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return [unescape(t) for t in self.model.decode_batch(ids, skip_special_tokens=False)]
+
+    def read(self, turns: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[str, str, str]]:
+        """Role, text and text under the mask of each turn, from its ids and mask."""
+        coded, shape = [], []
+        for ids, mask in turns:
+            head = CONTROLS[int(ids[0]) - self.first]
+            role = text = None
+            if head == "[ROLE]":
+                k = int(np.flatnonzero(ids == self.reserved["[/ROLE]"])[0])
+                coded.append(ids[1:k].tolist())
+                role, body = len(coded) - 1, ids[k + 1 : -1]
+            else:
+                body = ids[1:-1]
+            loss = ids[(mask != 0) & (ids < self.first)]
+            coded.append(body.tolist())
+            text = len(coded) - 1
+            if len(loss) and not np.array_equal(loss, body):
+                coded.append(loss.tolist())
+            shape.append((head, role, text, None if not len(loss) else text if np.array_equal(loss, body) else len(coded) - 1))
+        found = self.decode(coded)
+        names = {"<<SYS>>": "system", "[INST]": "user", "<s>": "assistant"}
+        return [(names[head] if role is None else found[role], found[text], "" if loss is None else found[loss]) for head, role, text, loss in shape]
 
 
 @lru_cache
@@ -109,27 +130,28 @@ def format_turns(conversations: DataFrame, file: str = FILE) -> DataFrame:
         make, now, seq, at, char = template(public_tokenizers.path(file)), object(), 0, 0, 0
         for part in by_rows(batches):
             rows = []
-            for conv, role, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            ids_of, roles, texts = (part.column(i).to_pylist() for i in range(3))
+            for conv, (string, ids, mask) in zip(ids_of, make.turns(list(zip(roles, texts, strict=True))), strict=True):
                 if conv != now:
                     now, seq, at, char = conv, 0, 0, 0
-                string, ids, mask = make.turn(role, text)
-                rows.append((conv, seq, at, char, string, ids, mask))
+                rows.append((seq, at, char, string, ids, mask))
                 seq, at, char = seq + 1, at + len(ids), char + len(string)
-            yield record(TURN, *(zip(*rows, strict=True) if rows else [[]] * len(TURN)))
+            rest = record(TURN, *(zip(*rows, strict=True) if rows else [[]] * len(TURN)))
+            yield pa.RecordBatch.from_arrays([part.column(0), *rest.columns], names=["conv_id", *TURN.names])
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), text("role"), text("text"), "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return map_arrow(rows.select("conv_id", "role", "text"), run, TURN_DDL)
+    rows = conversations.select("conv_id", text("role"), text("text"), "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return map_arrow(rows.select("conv_id", "role", "text"), run, f"{id_ddl(conversations, 'conv_id')}, {TURN_DDL}")
 
 
-DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+DIGEST = pa.schema([("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def digests(turns: DataFrame, file: str = FILE) -> DataFrame:
     """What ids and masks say, read back: a row for each conversation of format_turns()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, now, some = template(public_tokenizers.path(file)), None, False
+        make, now, some, kind = template(public_tokenizers.path(file)), None, False, pa.int64()
         n = chars = formatted = 0
         turns_hash = loss_hash = None
         done = []
@@ -138,26 +160,31 @@ def digests(turns: DataFrame, file: str = FILE) -> DataFrame:
             if some:
                 done.append((now, n, turns_hash.hexdigest(), chars, loss_hash.hexdigest(), formatted))
 
+        def ready() -> pa.RecordBatch:
+            ids, *rest = zip(*done, strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(ids, kind), *record(DIGEST, *rest).columns], names=["conv_id", *DIGEST.names])
+            done.clear()
+            return out
+
         for part in by_rows(batches):
-            for conv, string, ids, mask in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+            kind = part.schema.field(0).type
+            held = [(i.values.to_numpy(), m.values.to_numpy()) for i, m in zip(part.column(2), part.column(3), strict=True)]
+            for conv, string, (role, text, loss) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), make.read(held), strict=True):
                 if not some or conv != now:
                     close()
                     now, some, n, chars, formatted, turns_hash, loss_hash = conv, True, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                role, text = make.read(ids)
                 n += 1
                 turns_hash.update(f"{role}\n{text}\n".encode())
-                loss = make.decode([i for i, m in zip(ids, mask, strict=True) if m and i < make.first])
                 chars += len(loss)
                 loss_hash.update(loss.encode())
                 formatted += len(string)
             if len(done) >= 1000:
-                yield record(DIGEST, *zip(*done, strict=True))
-                done.clear()
+                yield ready()
         close()
         if done:
-            yield record(DIGEST, *zip(*done, strict=True))
+            yield ready()
 
-    return map_arrow(turns.select("conv_id", "formatted", "ids", "mask"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(turns.select("conv_id", "formatted", "ids", "mask"), run, f"{id_ddl(turns, 'conv_id')}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op1_chat(spark, sf_dir: str) -> DataFrame:
