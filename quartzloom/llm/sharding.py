@@ -7,12 +7,12 @@ is ``rows``. How rows overflow is worked out from the number of rows on each arc
 shards * vnodes numbers, whatever the input.
 
 Rows are dealt in ring order by range, and numbered by their place in it; a table of at most a few
-thousand rank intervals then gives shard and slot. Rows of equal doc_id are told apart by content
-and a seeded draw, so one id with a third of all rows spreads over many tasks.
+thousand rank intervals then gives shard and slot. Rows of equal doc_id are told apart by a seeded
+draw, so one id with a third of all rows spreads over many tasks.
 
-Defined cases: null texts have size 8 and the checksum of no bytes; a null doc_id is a key like
-any other; repeated rows are placed each for itself; an empty table gives no rows; other columns
-are ignored.
+Defined cases: null texts have size 8 and the checksum of no bytes; texts of any length count whole;
+a null doc_id is a key like any other, ids may be of any type; repeated rows are placed each for
+itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import cut, map_arrow, record
+from quartzloom.llm.common import cut, id_ddl, map_arrow, record
 
 SHARDS, VNODES = 24, 256
-OUT = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("text_crc32", pa.int64()), ("law", pa.string()), ("shard", pa.int32()), ("slot", pa.int64()), ("grown_shard", pa.int32()), ("home_shard", pa.int32())])
-OUT_DDL = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, home_shard int"
+OUT = pa.schema([("size", pa.int64()), ("text_crc32", pa.int64()), ("law", pa.string()), ("shard", pa.int32()), ("slot", pa.int64()), ("grown_shard", pa.int32()), ("home_shard", pa.int32())])
+OUT_DDL = "size long, text_crc32 long, law string, shard int, slot long, grown_shard int, home_shard int"
 
 
 def ring(shards: int = SHARDS, vnodes: int = VNODES) -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +69,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataF
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, home_shard): home_shard is the owner of the row's arc."""
     points, owner = ring(shards, vnodes)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("doc_id").alias("h"))
     rows = cut(rows)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # in ring order; the draw parts rows that agree in all else
-    rows = cut(rows.withColumn("_draw", F.rand(11)).repartitionByRange(n, "h", "doc_id", "text_crc32", "size", "_draw").sortWithinPartitions("h", "doc_id", "text_crc32", "size").drop("_draw").withColumn("task", F.spark_partition_id()))
+    # in ring order; the draw parts rows of one id, and the bounds of ranges are sampled from these two numbers only
+    rows = cut(rows.withColumn("draw", F.rand(11)).repartitionByRange(n, "h", "draw").sortWithinPartitions("h", "draw").drop("draw").withColumn("task", F.spark_partition_id()))
 
     def arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("task", pa.int32()), ("arc", pa.int32()), ("n", pa.int64())])
@@ -116,9 +116,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataF
             seen += part.num_rows
             i = np.searchsorted(lo, place, "right") - 1
             size = part.num_rows
-            yield record(OUT, part.column(0), part.column(1), part.column(2), ["rows"] * size, shard[i].astype(np.int32), slot[i] + place - lo[i], pa.nulls(size, pa.int32()), owner[arc].astype(np.int32))
+            rest = record(OUT, part.column(1), part.column(2), ["rows"] * size, shard[i].astype(np.int32), slot[i] + place - lo[i], pa.nulls(size, pa.int32()), owner[arc].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), *rest.columns], names=["doc_id", *OUT.names])
 
-    return map_arrow(rows.select("doc_id", "size", "text_crc32", "h", "task"), run, OUT_DDL)
+    return map_arrow(rows.select("doc_id", "size", "text_crc32", "h", "task"), run, f"{id_ddl(docs)}, {OUT_DDL}")
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
