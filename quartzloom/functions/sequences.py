@@ -140,14 +140,17 @@ def title(c: Column) -> Column:
 
 
 def glocal_score(a: str, b: str, match: float = 5, mismatch: float = -4, gap: float = -10, extend: float = -1) -> tuple[float, int]:
-    """Best global alignment with free end gaps and affine inner gaps: (score, start of a in b; negative if b starts within a)."""
+    """Best global alignment with free end gaps and affine inner gaps: (score, start of a in b; negative if b starts within a). A gap costs more to open than to extend."""
+    if gap > extend:
+        raise ValueError("opening a gap must not be cheaper than extending one")
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0, 0
     x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
     low = -1e18
     h, up = np.zeros(m + 1), np.full(m + 1, low)  # row 0: leading letters of b are free
-    h0 = np.arange(m + 1)  # the diagonal start of each cell's path: place in b minus place in a
+    places = np.arange(m + 1)
+    h0 = places.copy()  # the diagonal start of each cell's path: place in b minus place in a
     up0 = h0.copy()
     best = (float(low), 0)
     for i in range(1, n + 1):
@@ -159,12 +162,12 @@ def glocal_score(a: str, b: str, match: float = 5, mismatch: float = -4, gap: fl
         top = np.where(diag >= up, diag, up)
         top0 = np.where(diag >= up, diag0, up0)
         top[0], top0[0] = 0.0, -i  # leading letters of a are free
-        new, new0, side, side0 = top.copy(), top0.copy(), low, 0
-        for j in range(1, m + 1):
-            o = new[j - 1] + gap
-            side, side0 = (o, new0[j - 1]) if o >= side + extend else (side + extend, side0)
-            if side > new[j]:
-                new[j], new0[j] = side, side0
+        # a gap in a is best opened from a cell that is not in one, so the best opening before each place is a running maximum
+        lead = top - places * extend
+        last = np.maximum.accumulate(np.where(lead >= np.maximum.accumulate(lead), places, 0))[:-1]
+        side = top[last] + gap + (places[1:] - last - 1) * extend
+        better = np.r_[False, side > top[1:]]
+        new, new0 = np.where(better, np.r_[low, side], top), np.where(better, np.r_[0, top0[last]], top0)
         h, h0 = new, new0
         if h[m] > best[0]:  # trailing letters of a are free
             best = float(h[m]), int(h0[m])

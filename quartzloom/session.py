@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
 def session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
-    """A local session with UTC, ANSI mode and AQE."""
+    """A local session with UTC, ANSI mode and AQE. Workers find this library wherever the driver runs."""
+    root = str(Path(__file__).resolve().parents[1])
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    os.environ["PYTHONPATH"] = os.pathsep.join([root, *(p for p in paths if p and p != root)])
     out = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("quartzloom")
