@@ -1,6 +1,6 @@
-"""Many small models at once: a task of a parameter grid is a group, trained by one worker on all rows
-that are not for testing, unless a cap on them is given. Every row is then scored in partitions with the
-fitted models, and measures are taken over all scores.
+"""Many small models at once: a task of a parameter grid is a group, trained by one worker on the rows
+that are not for testing, up to CAP of them by draw (a parameter; None for all). Every row is then scored in
+partitions with the fitted models, and measures are taken over all scores.
 
 A worker needs memory for a task's training rows, and time that grows faster than their number.
 """
@@ -23,6 +23,8 @@ from quartzloom.operators.splits import draw
 from quartzloom.session import cut
 
 RESULT = "status string, n_train long, n_test long, n_support long, iterations long, train_accuracy double, test_accuracy double, train_auc double, test_auc double"
+#: Rows that a model is fitted on at most, unless another number is given.
+CAP = 5_000
 #: Entries of a kernel matrix held at a time when scoring.
 BLOCK = 2_000_000
 
@@ -101,10 +103,10 @@ def scored(rows: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
     return left.groupBy("_of", "_part").cogroup(right.groupBy("_task", "_part")).applyInPandas(run, schema)
 
 
-def sweep(df: DataFrame, vector: str, label: str, kind: str, grid: DataFrame, cap: int | None = None, seed: int = 42) -> DataFrame:
+def sweep(df: DataFrame, vector: str, label: str, kind: str, grid: DataFrame, cap: int | None = CAP, seed: int = 42) -> DataFrame:
     """The grid's columns with the results of each task. A task that fails has its message as status.
 
-    All rows are scored; cap, if given, bounds the rows fitted only, and train_* are over all rows not for testing.
+    All rows are scored; cap bounds the rows fitted only (None: all), and train_* are over all rows not for testing.
     """
     names = grid.columns
     facts = ["status", "n_train", "n_support", "iterations"]
@@ -132,7 +134,7 @@ METRICS = ("loss", "physical_potential", "kl_divergence", "participation_ratio",
 LOG = ", ".join(["run string", "epoch int", *(f"{m} double" for m in METRICS), "validation_accuracy double", "validation_auc double", "train_accuracy double", "train_auc double"])
 
 
-def sweep_logs(df: DataFrame, vector: str, label: str, grid: DataFrame, epochs: int = 300, every: int = 100, cap: int | None = None, seed: int = 42, **settings) -> DataFrame:
+def sweep_logs(df: DataFrame, vector: str, label: str, grid: DataFrame, epochs: int = 300, every: int = 100, cap: int | None = CAP, seed: int = 42, **settings) -> DataFrame:
     """Training curves of each task (seed, lr, encoder_dim), a row every so many epochs: the input of the curve detector, with the columns of a run log.
 
     validation_* are over all rows for testing, train_* over a sample of as many of the fitted rows. settings: others of

@@ -141,7 +141,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, limit: int | None = No
     A table of up to ``limit`` rows is aggregated at once, as no group can be larger. Beyond, values are counted and
     ranked in two levels, over ranges and then in those ranges only that hold a wanted rank, so no task holds a hot key.
     """
-    if df.limit((limit if limit is not None else HELD_ROWS) + 1).count() <= (limit if limit is not None else HELD_ROWS):
+    if df.count() <= (HELD_ROWS if limit is None else limit):
         return df.groupBy(*keys).agg(*(F.percentile(value, F.lit(float(p))).alias(n) for n, p in ps.items()))
     counts = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_c"))
     dealt = counts.withColumn("_part", range_of(counts.filter("_v is not null"), "_v"))

@@ -248,6 +248,7 @@ def test_sweep_fits_and_scores_all_rows(spark, monkeypatch):
     for (a, b), part in zip(whole, ("train", "test"), strict=True):
         score = train.decide(mine, np.array(a))
         assert r[f"{part}_accuracy"] == pytest.approx(((score >= 0) == (b > 0)).mean()) and r[f"{part}_auc"] == pytest.approx(svm.auc(b, score))
+    assert train.CAP >= 1300 and sweep(df, "v", "y", "linear", g, cap=None).first() == r
     capped = sweep(df, "v", "y", "linear", g, cap=100).first()
     assert (capped["n_train"], capped["n_test"]) == (100, n_test)
     log = sweep_logs(df, "v", "y", grid(spark, seed=[0], lr=[0.05], encoder_dim=[2]), epochs=1, every=1).first()
