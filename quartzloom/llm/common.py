@@ -106,7 +106,7 @@ def without_rows(docs: DataFrame, drops: DataFrame, limit: int | None = None) ->
     """
     i, t, k = free_names(docs, "_drop_id", "_drop_text", "_text_key")
     drops = drops.toDF(i, t)
-    if drops.limit((BROADCAST_ROWS if limit is None else limit) + 1).count() <= (BROADCAST_ROWS if limit is None else limit):
+    if drops.count() <= (BROADCAST_ROWS if limit is None else limit):
         drops = F.broadcast(drops)
     rows = docs.withColumn(k, text_key())
     return rows.join(drops, rows["doc_id"].eqNullSafe(drops[i]) & rows[k].eqNullSafe(drops[t]), "left_anti").select(*docs.columns)

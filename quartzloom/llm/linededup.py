@@ -217,7 +217,7 @@ def cleaned(docs: DataFrame, rewrite: Callable[[pa.RecordBatch, list], pa.Record
     frequent = frequent_keys(docs, min_chars, min_docs, batches)
     at = kept.index("text")
     texts = lambda part: part.column(at).cast(pa.binary()).to_pylist()
-    if (n := frequent.limit(BROADCAST_KEYS + 1).count()) <= BROADCAST_KEYS:
+    if (n := frequent.count()) <= BROADCAST_KEYS:
         held = spark.sparkContext.broadcast([whole(*r) for r in frequent.collect()]) if n else None  # BROADCAST_KEYS at most
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
