@@ -41,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def uncut(df: DataFrame) -> None:
+    """Remove the files of a table of cut() at once: nothing may read it any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove(df.sparkSession, file.get())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A folder of the shared one. It stays until remove() or release()."""
     path = f"{shared_dir(spark).rstrip('/')}/quartzloom-{name}-{uuid.uuid4().hex}"

@@ -11,27 +11,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import cut
+from quartzloom.llm.common import cut, uncut
 
 
-def star(links: DataFrame) -> DataFrame:
+def star(links: DataFrame, made: list[DataFrame]) -> DataFrame:
     """links (u, v): each v goes to the least of u and its neighbours."""
     least = cut(links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+    made.append(least)
     return links.join(least, "u")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (a, b), the component being its least node.
 
-    Links of a node with itself and repeated links change nothing; links with a null end are dropped.
+    Links of a node with itself and repeated links change nothing; links with a null end are dropped. The tables of a
+    step are removed after it, whatever Spark's cleaner is set to.
     """
     now = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and u > v").distinct())
     mark = None
     while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = cut(star(cut(both)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        small = star(large)
+        made = [now]
+        both = cut(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = cut(star(both, made).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = star(large, made)
         now = cut(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
+        for table in (*made, both, large):
+            uncut(table)
         last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last:
             break

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzloom.llm.common import by_rows, cut, free_names, id_ddl, map_arrow, new_path, record, remove, text_key
+from quartzloom.llm.common import by_rows, cut, free_names, id_ddl, map_arrow, new_path, record, remove, text_key, uncut
 from quartzloom.llm.store import Manifest
 
 STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -200,6 +200,7 @@ def frequent_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
         return runs.ordered(lambda: cut(runs.frequent()))
     finally:
         runs.close()
+        uncut(counts)
 
 
 def without(text: bytes | None, gone: frozenset[bytes] | set[bytes], min_chars: int) -> tuple[int, int, bytes]:

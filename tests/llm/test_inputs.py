@@ -116,6 +116,18 @@ def test_nothing_stays_but_what_results_read(spark, tmp_path):
     assert not common._written
 
 
+def test_components_leave_one_table(spark):
+    from pathlib import Path
+
+    from quartzloom.llm.components import connected_components
+
+    place = Path(common.shared_dir(spark).removeprefix("file:"))
+    count = lambda: len(list(place.glob("**/rdd-*")))
+    before = count()
+    assert connected_components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")).count() == 51
+    assert count() <= before + 1
+
+
 def test_stores_survive_a_failed_batch(spark, tmp_path):
     """A batch that fails leaves the store as it was; a batch that is repeated is not added twice."""
     table = store.BatchTable(spark, str(tmp_path / "t"), "x long")
