@@ -346,13 +346,19 @@ def alignment_scores(spark, d):
     return p.join(other, "p_partkey").select("p_partkey", align_udf(F.col("p_name"), F.col("other")).alias("a")).select("p_partkey", "a.score", "a.offset")
 
 
-@query("select p_partkey, 'A' || (p_size % 3 + 1) || 'W' as mutation, case when p_size % 3 = 0 then 100 + p_partkey when p_size % 3 = 1 then 100000000 else 100000003 end::bigint as position, 'GCT' as reference_bases, 'TGG' as alternate_bases from part")
+CHANGES = "case when p_partkey % 11 = 0 then 'none' when p_partkey % 13 = 0 then 'A9W' when p_size % 5 = 3 then 'C1W' when p_size % 5 = 4 then 'A1A' else concat('A', p_size % 3 + 1, 'W') end"
+
+
+@query(f"""with m as (select p_partkey, {CHANGES} as mutation, p_size % 3 as nth, p_partkey % 2 = 0 as forward from part),
+r as (select *, case mutation when 'none' then 'not a point mutation' when 'A9W' then 'out of bounds' when 'C1W' then 'reference differs' when 'A1A' then 'synonymous or no codon' end as reason from m)
+select p_partkey, mutation, reason, case when reason is null then case when forward then [100 + p_partkey, 100000000, 100000003][nth + 1] else [100000005, 100000002, 102 + p_partkey][nth + 1] end end::bigint as position,
+ case when reason is null then 'GCT' end as reference_bases, case when reason is null then 'TGG' end as alternate_bases from r""")
 def genomic_variants(spark, d):
-    """A three-letter protein on two exons; each part changes one letter."""
+    """A three-letter protein on two exons of either strand; each part changes one letter, or cannot, for every reason."""
     from quartzloom.plans.pipelines import genomic_variants as variants
 
-    rows = table(spark, d, "part").selectExpr("p_partkey", "concat('A', p_size % 3 + 1, 'W') as mutation", "'AAA' as query", "'GCTGCTGCT' as cds", "0 as offset", "1 as strand", "array(named_struct('start', 100000000L, 'end', 100000005L), named_struct('start', 100L + p_partkey, 'end', 102L + p_partkey)) as exons")
-    return variants(rows).select("p_partkey", "mutation", "variant.*")
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{CHANGES} as mutation", "'AAA' as query", "'GCTGCTGCT' as cds", "0 as offset", "if(p_partkey % 2 = 0, 1, -1) as strand", "array(named_struct('start', 100000000L, 'end', 100000005L), named_struct('start', 100L + p_partkey, 'end', 102L + p_partkey)) as exons")
+    return variants(rows).select("p_partkey", "mutation", "reason", "variant.*")
 
 
 # models
