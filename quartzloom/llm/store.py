@@ -19,6 +19,10 @@ from quartzloom.llm import common
 from quartzloom.llm.common import cut
 
 
+#: Bytes of texts that are moved for the sake of even work.
+SPREAD_BYTES = 64 << 20
+
+
 class Manifest:
     """The state of a store, a JSON object. Reopening reads the newest one."""
 
@@ -112,13 +116,14 @@ def unseen(docs: DataFrame, wanted: list[str], seen: DataFrame | None = None, id
     Only digests and ids are shuffled first. Then the texts are read once more and stay in place, as long as the digests
     to be left out (or held back as copies), or else those to be taken, number BROADCAST_ROWS at most; only beyond that
     are texts joined by a shuffle, dealt by digest and id, so that copies of a hot text spread. The text of a digest is
-    that of its least id; rows that agree in id and text may give a digest more than once.
+    that of its least id; rows that agree in id and text may give a digest more than once. Texts of SPREAD_BYTES in all
+    are dealt evenly to the tasks, as a small table may be one piece of a file.
     """
     if len(wanted) > 63:
         raise ValueError("at most 63 at a time")
     every = (1 << len(wanted)) - 1
-    rows = docs.select(digest().alias("digest"), F.col(ident).alias("id"))
-    table = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    rows = docs.select(digest().alias("digest"), F.col(ident).alias("id"), F.octet_length(content()).alias("size"))
+    table = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.max("size").alias("size"))
     if seen is None:
         table = table.withColumn("todo", F.lit(every).cast("long"))
     else:
@@ -127,13 +132,14 @@ def unseen(docs: DataFrame, wanted: list[str], seen: DataFrame | None = None, id
         table = table.join(done, "digest", "left").withColumn("todo", F.lit(every).cast("long").bitwiseAND(F.bitwise_not(F.coalesce("done", F.lit(0).cast("long"))))).drop("done")
     table = cut(table)
     take, special = F.col("todo") != 0, (F.col("n") > 1) | (F.col("todo") != every)
-    n_take, n_special = table.agg(F.count_if(take), F.count_if(special)).first()
+    n_take, n_special, size = table.agg(F.count_if(take), F.count_if(special), F.sum(F.when(take, F.col("size")).cast("long"))).first()
+    spread = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if (size or 0) <= SPREAD_BYTES else df
     texts = docs.select(digest().alias("digest"), F.col(ident).alias("id"), content().alias("text"))
     if n_special <= min(n_take, common.BROADCAST_ROWS):
         listed = F.broadcast(table.filter(special).select("digest", "rep", "todo"))
         found = texts.join(listed, "digest", "left").filter(F.col("todo").isNull() | ((F.col("todo") != 0) & F.col("id").eqNullSafe(F.col("rep"))))
-        return found.select("digest", "text", F.coalesce("todo", F.lit(every).cast("long")).alias("todo"))
+        return spread(found.select("digest", "text", F.coalesce("todo", F.lit(every).cast("long")).alias("todo")))
     listed = table.filter(take).select(F.col("digest").alias("taken"), "rep", "todo")
     if n_take <= common.BROADCAST_ROWS:
         listed = F.broadcast(listed)
-    return texts.join(listed, (F.col("digest") == F.col("taken")) & F.col("id").eqNullSafe(F.col("rep"))).select("digest", "text", "todo")
+    return spread(texts.join(listed, (F.col("digest") == F.col("taken")) & F.col("id").eqNullSafe(F.col("rep"))).select("digest", "text", "todo"))
