@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import duckdb
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +55,8 @@ def engine() -> duckdb.DuckDBPyConnection:
     return con
 
 
-def emit(con: duckdb.DuckDBPyConnection, sql: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in con.sql(sql).to_arrow_reader(20_000):
+def emit(con: duckdb.DuckDBPyConnection, sql: str, schema: pa.Schema, **params: str) -> Iterator[pa.RecordBatch]:
+    for batch in con.sql(sql, params=params or None).to_arrow_reader(20_000):
         yield from pa.Table.from_batches([batch]).rename_columns(schema.names).cast(schema).to_batches()
 
 
@@ -73,23 +74,28 @@ def pieces(text: str) -> list[str]:
 
 def in_pieces(batch: pa.RecordBatch) -> pa.Table:
     """(r, lang, source, text): r is the number of the row."""
-    rows = [(i, k, s, x) for i, (k, s, t) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)) for x in pieces(t)]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["r", "lang", "source", "text"])
+    names, numbers = ["r", "lang", "source", "text"], pa.array(range(batch.num_rows), pa.int64())
+    if pc.max(pc.utf8_length(batch.column(2))).as_py() <= PIECE:
+        return pa.table([numbers, *batch.columns], names=names)
+    cut_up = [(i, x) for i, t in enumerate(batch.column(2).to_pylist()) for x in pieces(t)]
+    rows = pa.array([i for i, _ in cut_up], pa.int64())
+    return pa.table([rows, batch.column(0).take(rows), batch.column(1).take(rows), pa.array([x for _, x in cut_up], pa.string())], names=names)
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in a source, and its documents. A row with a null term stands for each group."""
 
+    word = "unnest(string_split(translate(text, $upper || $gaps, $lower || repeat(' ', length($gaps))), ' '))"
+    by_row = f"SELECT r, term, any_value(lang) AS lang, any_value(source) AS source, count(*) AS n FROM (SELECT *, {word} AS term FROM texts) WHERE term <> '' GROUP BY r, term"
+    sql = f"SELECT lang, source, term, sum(n), count(*) FROM ({by_row}) GROUP BY ALL UNION ALL SELECT DISTINCT lang, source, NULL, 0, 0 FROM texts"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = engine()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            con.register("texts", in_pieces(batch))
-            words = f"unnest(string_split(translate(text, '{UPPER}' || $gaps, '{LOWER}' || repeat(' ', length($gaps))), ' '))"
-            con.execute(f"CREATE OR REPLACE TEMP TABLE terms AS SELECT r, term, any_value(lang) AS lang, any_value(source) AS source, count(*) AS n FROM (SELECT r, lang, source, {words} AS term FROM texts) WHERE term <> '' GROUP BY r, term", {"gaps": GAPS})
-            yield from emit(con, "SELECT lang, source, term, sum(n), count(*) FROM terms GROUP BY ALL UNION ALL SELECT DISTINCT lang, source, NULL, 0, 0 FROM texts", COUNTS)
-            con.unregister("texts")
+            if batch.num_rows:
+                con.register("texts", in_pieces(batch))
+                yield from emit(con, sql, COUNTS, upper=UPPER, lower=LOWER, gaps=GAPS)
+                con.unregister("texts")
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     parts = map_arrow(docs.select(text("lang"), text("source"), text("text")), run, "lang string, source string, term string, n long, docs long")
