@@ -32,6 +32,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def streamed(spark: SparkSession, path: str) -> str:
+    """The path as a file stream takes it. A stream refuses a path that is one file, but takes the pattern that only this file matches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return path
+    folder, _, name = path.rpartition("/")
+    return f"{folder}/{{{name}}}" if folder else f"{{{name}}}"
+
+
 def partitioned(df: DataFrame, path: str, *by: str) -> None:
     """Overwrite those partitions of a table that the rows fall in, and no others. The session's own setting is not changed."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

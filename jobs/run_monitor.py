@@ -2,7 +2,7 @@
 
     python -m jobs.run_monitor --events E --out O --checkpoint C [--config jobs/run_monitor.json]
 
-E is a folder of Parquet files (event_id, ts, user_id, event_type, value) that grows; a user is a run, its events in
+E is a folder of Parquet files (event_id, ts, user_id, event_type, value) that grows, or one file; a user is a run, its events in
 order of time are its epochs. Each start takes the files that the checkpoint does not name yet, in batches of
 ``files_per_batch``, and ends. A batch
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import checked, command, exists, log, partitioned
+from jobs.common import checked, command, exists, log, partitioned, streamed
 from quartzloom.operators import curves, splits
 
 DEFAULTS = {"buckets": 16, "files_per_batch": 1000, "least": 60, "overfit": 0.5, "plateau": 0.5, "jump": 0.05, "window": 500, "min_delay": 500, "sustain": 3}
@@ -73,7 +73,7 @@ def monitor(spark: SparkSession, events: str, out: str, checkpoint: str, config:
         done["read"] += sum(touched.values())
         say.info("batch %d: read %d events, wrote the runs of %d of %d buckets", number, sum(touched.values()), len(touched), c["buckets"])
 
-    source = spark.readStream.schema(spark.read.parquet(events).schema).option("maxFilesPerTrigger", c["files_per_batch"]).parquet(events)
+    source = spark.readStream.schema(spark.read.parquet(events).schema).option("maxFilesPerTrigger", c["files_per_batch"]).parquet(streamed(spark, events))
     query = source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     done["runs"] = runs(spark, out).count() if exists(spark, f"{out}/runs") else 0

@@ -101,3 +101,15 @@ def test_no_events(spark, folders):
     src, out, check = folders
     put(spark, [], src, 0)
     assert run_monitor.monitor(spark, src, out, check)["runs"] == 0
+
+
+def test_one_file(spark, folders, tmp_path):
+    """A path may be one file, as the given tables are at small sizes."""
+    rows, (src, out, check) = events(1500), folders
+    put(spark, rows, src, 0)
+    file = tmp_path / "table-1.parquet"
+    next(tmp_path.glob("events/*.parquet")).rename(file)
+    c = run_monitor.DEFAULTS
+    assert run_monitor.monitor(spark, str(file), out, check)["read"] == 1500
+    assert stored(spark, out) == whole(spark, rows, c)
+    assert run_monitor.monitor(spark, str(file), out, check)["batches"] == 0
