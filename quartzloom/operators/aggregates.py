@@ -131,35 +131,64 @@ def auc(df: DataFrame, label: str, score: str, keys: list[str] | None = None) ->
     return rows.groupBy(*keys).agg(F.try_divide(wins, F.sum("p") * F.sum("q")).alias("auc"))
 
 
-#: Rows up to which a group's distinct values may be held by one task, about 100 bytes each.
-HELD_ROWS = 5_000_000
+#: Rows of a key up to which one task may hold its distinct values, about 24 bytes each; accuracy of the sketch that places bounds for larger keys.
+HELD_ROWS, ACCURACY = 200_000, 1000
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, limit: int | None = None, **ps: float) -> DataFrame:
-    """(*keys, name...): exact quantiles by key, interpolated, named by ps. Missing values do not count; a key without any has null.
+def quantiles(df: DataFrame, keys: list[str], value: str, held: int = HELD_ROWS, **ps: float) -> DataFrame:
+    """(*keys, name...): exact quantiles by key, interpolated, named by ps. Missing values do not count; a key without any has null; NaN is the largest value.
 
-    A table of up to ``limit`` rows is aggregated at once, as no group can be larger. Beyond, values are counted and
-    ranked in two levels, over ranges and then in those ranges only that hold a wanted rank, so no task holds a hot key.
+    Rows are counted by key first, in the same job: nothing runs before the result is asked for. Keys of up to ``held``
+    values are aggregated at once. For larger keys, of which there is at most one in ``held`` rows (so they are broadcast),
+    a sketch places bounds closely around the wanted ranks; one pass counts the values between bounds, which finds the
+    ranges of the ranks exactly, wherever the bounds are; another counts and ranks the values of these ranges alone. Rows
+    of large keys do not move, and a task ranks about 0.4 % of a key's values for each quantile, counted by value.
     """
-    if df.count() <= (HELD_ROWS if limit is None else limit):
-        return df.groupBy(*keys).agg(*(F.percentile(value, F.lit(float(p))).alias(n) for n, p in ps.items()))
-    counts = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_c"))
-    dealt = counts.withColumn("_part", range_of(counts.filter("_v is not null"), "_v"))
-    low, high = {n: f"_low_{n}" for n in ps}, {n: f"_high_{n}" for n in ps}
-    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_k"))
-    of_key = Window.partitionBy(*keys)
-    parts = parts.withColumns({"_before": F.coalesce(F.sum("_k").over(of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_k").over(of_key)})
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    named = {x: f"_of_{x}" for x in keys}
+    same = reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(named[x])) for x in keys), F.lit(True))
+    large = F.broadcast(rows.groupBy(*keys).agg(F.count("_v").alias("_n")).filter(F.col("_n") > held).withColumnsRenamed(named))
+    small = rows.join(large, same, "left_anti").groupBy(*keys).agg(*(F.percentile("_v", F.lit(float(p))).alias(n) for n, p in ps.items()))
+    near = sorted({min(max(p + side * 2 / ACCURACY, 0.0), 1.0) for p in ps.values() for side in (-1, 1)})
+    bounds = F.percentile_approx("_v", F.expr(f"array({', '.join(f'{x!r}D' for x in near)})"), F.lit(ACCURACY))
+    there = rows.filter("_v is not null")
+    sketched = there.join(large, same).groupBy(*keys, "_n").agg(F.array_sort(F.array_distinct(bounds)).alias("_bounds"))
+
     rank = {n: (F.col("_n") - 1) * F.lit(float(p)) for n, p in ps.items()}
-    parts = parts.withColumns({low[n]: F.floor(rank[n]) for n in ps} | {high[n]: F.ceil(rank[n]) for n in ps})
-    inside = [(F.col(c) >= F.col("_before")) & (F.col(c) < F.col("_before") + F.col("_k")) for n in ps for c in (low[n], high[n])]
-    wanted = parts.filter(reduce(lambda a, b: a | b, inside) | (F.col("_n") == 0)).withColumnsRenamed({k: f"_of_{k}" for k in [*keys, "_part"]})
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_part"]))
+    places = {f"_{side}_{n}": cut(rank[n]) for n in ps for side, cut in (("low", F.floor), ("high", F.ceil))}
+    found = ranked_in_ranges(there, sketched, keys, places)
+
+    def between(n: str) -> Column:
+        low, high = F.col(f"_low_{n}"), F.col(f"_high_{n}")
+        return F.when(low == high, low).otherwise((F.ceil(rank[n]) - rank[n]) * low + (rank[n] - F.floor(rank[n])) * high).alias(n)
+
+    return small.unionByName(found.select(*keys, *(between(n) for n in ps)))
+
+
+def ranked_in_ranges(rows: DataFrame, large: DataFrame, keys: list[str], places: dict[str, Column]) -> DataFrame:
+    """(*keys, _n, place...): the values at places (from 0) of the ordered values of the large keys.
+
+    rows: (*keys, _v), no value null. large: (*keys, _n, _bounds); bounds cut the values into ranges, and need not be right.
+    They depend on the order in which a sketch was merged, so the third pass takes ranges by their ends from the second,
+    never from a second sketch. Should lost tasks bring other bounds into the second pass, its counts do not add up, and
+    it fails rather than err.
+    """
+    named = {x: f"_of_{x}" for x in keys}
+    same = reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(named[x])) for x in keys), F.lit(True))
+    part = F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_part")
+    dealt = rows.join(F.broadcast(large.withColumnsRenamed(named)), same).select(*keys, "_n", "_bounds", part)
+    parts = dealt.groupBy(*keys, "_n", "_bounds", "_part").agg(F.count("*").alias("_k"))
+    of_key = Window.partitionBy(*keys, "_bounds")
+    before = F.coalesce(F.sum("_k").over(of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sound = F.when(F.sum("_k").over(of_key) == F.col("_n"), before).otherwise(F.raise_error(F.lit("bounds of quantiles changed while they were read")).cast("long"))
+    ends = {"_above": F.get("_bounds", F.col("_part") - 1), "_until": F.get("_bounds", F.col("_part"))}
+    parts = parts.withColumn("_before", sound).withColumns(ends)
+    wanted = parts.filter(reduce(lambda a, b: a | b, ((i >= F.col("_before")) & (i < F.col("_before") + F.col("_k")) for i in places.values()))).drop("_k", "_bounds")
+    inside = F.coalesce(F.col("_v") > F.col("_above"), F.lit(True)) & F.coalesce(F.col("_v") <= F.col("_until"), F.lit(True))
+    counts = rows.join(F.broadcast(wanted.withColumnsRenamed(named)), same & inside).groupBy(*keys, "_n", "_part", "_before", "_v").agg(F.count("*").alias("_c"))
     upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    rows = dealt.join(wanted, same).withColumn("_upto", upto)
-    at = lambda c: F.max(F.when((F.col(c) < F.col("_upto")) & (F.col(c) >= F.col("_upto") - F.col("_c")), F.col("_v")))
-    found = rows.groupBy(*keys).agg(F.max("_n").alias("_n"), *(at(c).alias(c) for n in ps for c in (low[n], high[n])))
-    between = lambda n: F.when(F.ceil(rank[n]) == F.floor(rank[n]), F.col(low[n])).otherwise((F.ceil(rank[n]) - rank[n]) * F.col(low[n]) + (rank[n] - F.floor(rank[n])) * F.col(high[n]))
-    return found.select(*keys, *(between(n).alias(n) for n in ps))
+    hit = lambda i: F.max(F.when((i < F.col("_upto")) & (i >= F.col("_upto") - F.col("_c")), F.col("_v")))
+    return counts.withColumn("_upto", upto).groupBy(*keys, "_n").agg(*(hit(i).alias(c) for c, i in places.items()))
 
 
 def accuracy(label: str, predicted: str) -> Column:

@@ -117,7 +117,9 @@ def pairs_many_to_many(spark, d):
 def pair_vote_mode(spark, d):
     p, keys = pairs(spark, d), ["l_suppkey", "l_returnflag"]
     votes = p.groupBy(*keys).agg(A.mode("label").alias("label"), F.count("*").alias("n"))
-    return votes.join(A.quantiles(p, keys, "wt_value", wt=0.5), keys).join(A.quantiles(p, keys, "l_quantity", mut=0.5), keys)
+    both = p.select(*keys, F.explode(F.create_map(F.lit("wt"), F.col("wt_value").cast("double"), F.lit("mut"), F.col("l_quantity").cast("double"))).alias("of", "v"))
+    medians = A.quantiles(both, [*keys, "of"], "v", q=0.5).groupBy(*keys).agg(*(F.max(F.when(F.col("of") == c, F.col("q"))).alias(c) for c in ("wt", "mut")))
+    return votes.join(medians, keys)
 
 
 @query("select l_orderkey, l_linenumber, l_suppkey || '_' || l_returnflag as target_id, split_part(l_suppkey || '_' || l_returnflag, '_', 1) as target from lineitem")

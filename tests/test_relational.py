@@ -108,12 +108,12 @@ def test_moments_of_large_means(spark):
     assert abs(r[None]["var"] - 1) < 1e-9
 
 
-@pytest.mark.parametrize("limit", [-1, 10**6])
-def test_quantiles(spark, limit):
+@pytest.mark.parametrize("held", [0, 64, 4096])
+def test_quantiles(spark, held):
     """At once, and ranked in ranges, with a hot key, ties, missing values and a key of none."""
     r = random.Random(1)
     rows = [(("hot" if i % 3 else f"k{i % 20}"), None if i % 11 == 0 else round(r.lognormvariate(0, 2), 1)) for i in range(3000)] + [("none", None), (None, 4.0), (None, 5.0), ("one", 7.0)]
-    out = A.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(4), ["k"], "v", limit=limit, med=0.5, q9=0.9, top=1.0)
+    out = A.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(4), ["k"], "v", held=held, med=0.5, q9=0.9, top=1.0)
     by = defaultdict(list)
     for k, v in rows:
         by[k] += [v] if v is not None else []
@@ -124,6 +124,26 @@ def test_quantiles(spark, limit):
             assert got[k][name] == (pytest.approx(np.quantile(v, p), rel=1e-12) if v else None)
 
 
+def test_quantiles_of_large_keys(spark):
+    """A hot key of many values in three quantiles, NaN last; nothing runs before the action, and the ranked values are few."""
+    n = 200_000
+    rows = spark.range(n, numPartitions=6).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double").alias("v"))
+    rows = rows.unionByName(spark.range(50).select(F.lit("hot").alias("k"), F.lit(float("nan")).alias("v")))
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("quantiles", "")
+    out = A.quantiles(rows, ["k"], "v", held=20_000, low=0.001, med=0.5, top=1.0)
+    assert not tracker.getJobIdsForGroup("quantiles")
+    got = {x["k"]: x for x in out.collect()}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    frame = rows.toPandas()
+    for key, v in frame.groupby("k")["v"]:
+        v = np.sort(v.to_numpy())
+        assert got[key]["low"] == pytest.approx(np.interp(0.001 * (len(v) - 1), range(len(v)), v), rel=1e-12)
+        assert got[key]["med"] == pytest.approx(np.interp(0.5 * (len(v) - 1), range(len(v)), v), rel=1e-12)
+        assert math.isnan(got[key]["top"]) if key == "hot" else got[key]["top"] == v[-1]
+    assert len(got) == frame["k"].nunique()
+
+
 def test_moments_merge(spark):
     parts = spark.createDataFrame([("a", 2, 1.0, 2.0), ("a", 3, 4.0, 6.0)], "k string, n long, mean double, m2 double")
     r = A.merge_moments(parts, ["k"]).first()
