@@ -50,6 +50,7 @@ def balanced_sample(df: DataFrame, target: str, active: str, ids: list[str], cap
     """Actives up to a cap (int: without replacement; float: that share, with replacement), and at most as many inactives.
 
     With a scaffold column, and an int, one active of each scaffold is preferred. None passes all rows on.
+    Otherwise rows whose active is null are neither and are left out; rows of a null target are a target of their own.
     """
     if cap is None:
         return df
@@ -60,7 +61,8 @@ def balanced_sample(df: DataFrame, target: str, active: str, ids: list[str], cap
         numbered = ranked_by_draw(actives, [target], seed, ids, name="_pos")
         draws = counts.filter("_take > 0").select(target, "_n", F.explode(F.sequence(F.lit(1).cast("long"), "_take")).alias("_k"))
         picked = draws.select(target, (F.pmod(F.xxhash64(F.lit(seed), target, "_k"), F.col("_n")) + 1).alias("_pos"))
-        chosen = numbered.join(picked, [target, "_pos"]).select(*df.columns)
+        picked = picked.withColumnsRenamed({target: "_of_t", "_pos": "_at"})
+        chosen = numbered.join(picked, F.col(target).eqNullSafe(F.col("_of_t")) & (F.col("_pos") == F.col("_at"))).select(*df.columns)
         quota = ranked_by_draw(inactives, [target], seed + 1, ids)
     else:
         counts = counts.withColumn("_take", F.least(F.col("_n"), F.lit(cap)).cast("long"))
@@ -71,7 +73,8 @@ def balanced_sample(df: DataFrame, target: str, active: str, ids: list[str], cap
             order = ["_rest", *order]
         chosen = head_per_group(actives, [target], cap, *order).select(*df.columns)
         quota = ranked(inactives, [target], draw(seed + 1, *ids), *ids).filter(F.col("_r") <= cap)
-    matched = quota.join(counts.select(target, "_take"), target).filter(F.col("_r") <= F.col("_take")).select(*df.columns)
+    takes = counts.select(F.col(target).alias("_of_t"), "_take")
+    matched = quota.join(takes, F.col(target).eqNullSafe(F.col("_of_t"))).filter(F.col("_r") <= F.col("_take")).select(*df.columns)
     return chosen.unionByName(matched)
 
 
@@ -80,7 +83,7 @@ def scaffold_split(df: DataFrame, target: str, scaffold: str, ids: list[str], te
 
     Scaffolds go to test by ascending size (then by first appearance in the order of ids) while test has fewer than
     int(n * test_size) rows, at least 1. Targets of fewer than 3 rows, or with an empty side, are all train. Rows with an
-    empty scaffold go to neither side otherwise. Running sums are over scaffolds, not rows.
+    empty scaffold go to neither side otherwise. Rows of a null target are a target of their own. Running sums are over scaffolds, not rows.
     """
     sizes = df.groupBy(target, scaffold).agg(F.count("*").alias("_k"), F.min(F.struct(*ids)).alias("_first"))
     real = F.coalesce(F.col(scaffold) != "", F.lit(False))
@@ -90,7 +93,7 @@ def scaffold_split(df: DataFrame, target: str, scaffold: str, ids: list[str], te
     placed = sizes.withColumns({"_n": F.sum("_k").over(whole), "_before": before}).withColumn("_test", test)
     sides = F.when((F.col("_n") < 3) | (F.count_if("_test").over(whole) == 0) | (F.count_if(~F.col("_test")).over(whole) == 0), "train")
     placed = placed.select(F.col(target).alias("_of_t"), F.col(scaffold).alias("_of_s"), sides.when(F.col("_test").isNull(), "dropped").when(F.col("_test"), "test").otherwise("train").alias("side"))
-    return df.join(placed, (F.col(target) == F.col("_of_t")) & F.col(scaffold).eqNullSafe(F.col("_of_s"))).select(*df.columns, "side")
+    return df.join(placed, F.col(target).eqNullSafe(F.col("_of_t")) & F.col(scaffold).eqNullSafe(F.col("_of_s"))).select(*df.columns, "side")
 
 
 @dataclass

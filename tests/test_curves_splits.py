@@ -241,3 +241,15 @@ def test_representatives(spark):
     freq = spark.createDataFrame([("c", 0.9), ("a", 0.5)], "target string, freq double")
     got = [tuple(r) for r in curves.representatives(runs, freq).collect()]
     assert got == [("Longest Delay", "a1"), ("Shortest Delay", "b1"), ("Highest Frequency", "c1"), ("Mid Delay (600)", "d1")]
+
+
+def test_null_targets(spark):
+    """A null target is split and sampled like any other; a null label is neither active nor inactive."""
+    rows = [(i, None if i % 2 else "t", f"s{i % 10}", [True, False, False, None][i // 2 % 4]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, target string, scaffold string, active boolean")
+    sides = splits.scaffold_split(df, "target", "scaffold", ["id"]).collect()
+    assert len(sides) == 40 and {(r["target"], r["side"]) for r in sides} == {(t, s) for t in (None, "t") for s in ("train", "test")}
+    for cap in (3, 0.5):
+        got = splits.balanced_sample(df, "target", "active", ["id"], cap).collect()
+        per = {(t, a): sum(r["target"] == t and r["active"] == a for r in got) for t in (None, "t") for a in (True, False)}
+        assert per[None, True] == per["t", True] == per[None, False] == per["t", False] == (3 if cap == 3 else 2) and len(got) == 4 * per["t", True]
