@@ -7,7 +7,8 @@ import json
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def log(job: str) -> logging.Logger:
@@ -32,6 +33,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def observed(seen: Observation, name: str) -> int:
+    """A count observed by a finished write. Where Spark finds that there can be no row, it leaves the observation out of the plan."""
+    try:
+        return seen.get[name] or 0
+    except Py4JJavaError as e:
+        if "toPyRow" not in str(e):
+            raise
+        return 0
+
+
 def streamed(spark: SparkSession, path: str) -> str:
     """The path as a file stream takes it. A stream refuses a path that is one file, but takes the pattern that only this file matches."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import checked, command, log
+from jobs.common import checked, command, log, observed
 from quartzloom.operators import aggregates, clean, filters, splits
 
 DEFAULTS = {"test_size": 0.2, "opening_words": 5, "positive": 0.5, "max_per_target": None, "seed": 42}
@@ -64,7 +64,7 @@ def build(spark: SparkSession, documents: str, labels: str, out: str, config: di
     back = spark.read.schema(sides.schema).parquet(f"{out}/rows")
     counts = aggregates.split_stats(back.withColumn("_split", F.struct("lang", "side")), "_split", "scaffold", "label")
     counts.select("_split.*", "n_rows", "n_groups", "n_positive", "pct_positive").coalesce(1).write.mode("overwrite").json(f"{out}/summary")
-    told = {"read": seen.get["rows"], "blank": seen.get["removed"], "written": written.get["rows"], "documents": written.get["documents"] or 0}
+    told = {"read": observed(seen, "rows"), "blank": observed(seen, "removed"), "written": observed(written, "rows"), "documents": observed(written, "documents")}
     say.info("read %(read)d labelled documents, left out %(blank)d blank; wrote %(written)d texts of %(documents)d documents", told)
     return told
 
