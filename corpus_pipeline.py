@@ -2,20 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. ``run`` applies
 them to the table documents; between stages the rows are written as Parquet to the folder that the
-executors share, and read again.
+executors share, and read again. The ledger of the quality stage is kept where ``run`` is told to.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzloom.llm import decontam, linededup, packing, quality, simhash
+from quartzloom.llm import decontam, linededup, packing, quality, resemblance
 from quartzloom.llm.common import new_path, remove, scratch, store
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy rejects go."""
-    return quality.keep_good(docs)
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """Documents that the production policy rejects go. The ledger stays in a folder of that name, for ``quality.keep_by`` with other policies."""
+    return quality.keep_good(docs, path=ledger)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, as operator 3 links them at 3 bits, the document with the least doc_id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of near-duplicates, by operator 3's links at 3 bits and by five-word Jaccard of 0.8 or more, the document with the least doc_id stays."""
+    return resemblance.keep_first(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,14 @@ STAGES = [("quality", quality_stage), ("lines", line_stage), ("near", near_stage
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """ledger: a folder that the executors share, for the quality ledger; None: it goes with the stage's own tables."""
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, name)
         with scratch(spark):  # what the stage wrote for itself goes once its result is written
-            docs = store(stage(spark, docs, sf_dir), path)
+            kept = stage(spark, docs, sf_dir, ledger) if stage is quality_stage else stage(spark, docs, sf_dir)
+            docs = store(kept, path)
         if last:
             remove(spark, last)
         last = path

@@ -2,14 +2,14 @@
 
 Each rule is evaluated once on the whole text. The ledger keeps the measurements and one bit a
 rule; a policy is a mask over those bits, so that new policies and ablations read the ledger and
-never a text again. ``judged`` writes the documents with their ledger entry beside them, as further
-columns of one Parquet table: a policy filters that table by mask where it lies, without a shuffle,
-and the ledger is read from it without the texts.
+never a text again. ``write_ledger`` keeps the ledger as a Parquet table of ids, text digests and
+entries; ``keep_by`` takes the documents that a policy keeps from it, whatever policy was asked
+before, without judging again.
 
 Defined cases: a null text has no words; an empty text has none either; texts of any length are
 measured whole; repeated rows give repeated ledger rows; an empty table gives an empty ledger; ids
 may be null and of any type; other columns, whatever their names, are ignored by ``evaluate`` and
-passed on by ``judged`` and ``keep_good``.
+kept by ``keep_by`` and ``keep_good``.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quartzloom.llm.common import SPACE, by_rows, free_names, id_ddl, map_arrow, new_path, record, store
+from quartzloom.llm.common import SPACE, by_rows, id_ddl, map_arrow, new_path, store, text_key, without_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 #: Whole words of ASCII characters without a letter.
@@ -64,7 +63,6 @@ BASE = Policy(1, ("few_words", "repeated_windows"))
 PRODUCTION = Policy(3, tuple(RULES))
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_letter_words", "n_bullet_lines", "n_ellipsis_lines", "n_top_pair", "fail_bits")
-ENTRY = T.StructType([T.StructField(k, T.LongType()) for k in MEASURES])
 
 
 def repetition(words: list[str], size: int = WINDOW) -> tuple[int, int]:
@@ -121,22 +119,21 @@ def evaluate(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", F.col("text").cast("string")), run, ", ".join([id_ddl(docs), *(f"{k} long" for k in MEASURES)]))
 
 
-def judged(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
-    """The documents with their ledger entry in one more column, written to a path, and that column's name."""
-    (name,) = free_names(docs, "quality")
-    at, names = docs.columns.index("text"), [*docs.columns, name]
+def write_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """The ledger with tk, which tells texts of one id apart, written to a path and read from it. It stays until it is removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_rows(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns, entries(part.column(at).cast(pa.string()))], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *entries(part.column(2)).flatten()], names=["doc_id", "tk", *MEASURES])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, ENTRY)])
-    return store(map_arrow(docs, run, schema), path or new_path(docs.sparkSession, "judged")), name
+    rows = docs.select("doc_id", text_key().alias("tk"), F.col("text").cast("string").alias("text"))
+    return store(map_arrow(rows, run, ", ".join([id_ddl(docs), "tk long", *(f"{k} long" for k in MEASURES)])), path)
 
 
-def ledger_of(rows: DataFrame, name: str) -> DataFrame:
-    """The ledger of a table that judged() wrote; texts are not read."""
-    return rows.select("doc_id", f"{name}.*")
+def keep_by(docs: DataFrame, ledger: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
+    """The documents that a policy keeps, by a ledger of them that write_ledger() wrote. They are read once and not judged."""
+    failed = F.col("fail_bits").bitwiseAND(F.lit(BASE.mask | policy.mask)) != 0
+    return without_rows(docs, ledger.filter(failed).select("doc_id", "tk").distinct())
 
 
 def apply_policy(ledger: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
@@ -164,9 +161,8 @@ def ablations(ledger: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: Policy = PRODUCTION, path: str | None = None) -> DataFrame:
-    """The documents that pass, with all their columns: a filter by mask over what judged() writes."""
-    rows, name = judged(docs, path)
-    return rows.filter(F.col(f"{name}.fail_bits").bitwiseAND(F.lit(BASE.mask | policy.mask)) == 0).select(*docs.columns)
+    """The documents that pass, with all their columns. The ledger is written to path; without one, to a folder that goes with release()."""
+    return keep_by(docs, write_ledger(docs, path or new_path(docs.sparkSession, "ledger")), policy)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

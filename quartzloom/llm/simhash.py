@@ -170,15 +170,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id; repeated rows are reduced to one.
+def keep_named(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The documents that named (doc_id, tk, copies, first_id, first_tk; one row for each (doc_id, tk)) has as the first of their group.
 
-    The rows to drop are found from ids and fingerprints alone. Texts are not shuffled while those rows can be broadcast;
-    only rows that are repeated whole are numbered, of which a task sends one each.
+    Texts are not shuffled while the rows to drop can be broadcast; only rows that are repeated whole are numbered, of which
+    a task sends one each.
     """
-    rows = cut(fingerprints(docs).groupBy("doc_id", "tk").agg(F.first("fp").alias("fp"), F.count("*").alias("copies")))
-    named = rows.join(cut(classes(rows).select("fp", "least.doc_id", "least.tk").toDF("fp", "first_id", "first_tk")), "fp")
-    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tk") == F.col("first_tk"))
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("tk").eqNullSafe(F.col("first_tk"))
     drops = cut(named.filter(~first | (F.col("copies") > 1)).select("doc_id", "tk", first.alias("first")))
     out = without_rows(docs, drops.select("doc_id", "tk"))
     again = drops.filter("first").select("doc_id", "tk")
@@ -191,5 +189,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     return out.union(found.withColumn(n, nth).filter(F.col(n) == 1).select(*docs.columns))
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one with the least doc_id; repeated rows are reduced to one.
+
+    The rows to drop are found from ids and fingerprints alone.
+    """
+    rows = cut(fingerprints(docs).groupBy("doc_id", "tk").agg(F.first("fp").alias("fp"), F.count("*").alias("copies")))
+    return keep_named(docs, rows.join(cut(classes(rows).select("fp", "least.doc_id", "least.tk").toDF("fp", "first_id", "first_tk")), "fp"))
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

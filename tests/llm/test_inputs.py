@@ -6,10 +6,10 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 
-from quartzloom.llm import chat, common, decontam, licenses, linededup, packing, quality, secrets, sharding, simhash, store, tokencount
+from quartzloom.llm import chat, common, decontam, licenses, linededup, packing, quality, resemblance, secrets, sharding, simhash, store, tokencount
 
 #: Every column name that a module makes for itself, and some more.
-INTERNAL = "_drop_id _drop_text _text_key _again_id _again_text _nth _lost_id _lost_key _lost quality digest id rep todo done listed taken blob spans tk fp component least h draw task arc n size print at window items near n_words fail_bits text_key batch h1 h2 copies first rank length piece role turn".split()
+INTERNAL = "_drop_id _drop_text _text_key _again_id _again_text _nth _lost_id _lost_key _lost quality digest id rep todo done listed taken blob spans tk fp component least h draw task arc n size print at window items near n_words fail_bits text_key _rep_id _rep_text _node node keys found low high batch h1 h2 copies first rank length piece role turn".split()
 LONG = "lorem ipsum dolor sit amet consectetur " * 270_000  # 10 MB
 
 
@@ -34,11 +34,11 @@ def results(spark, df, benchmark):
     return {
         "quality": quality.apply_policy(quality.evaluate(df)), "simhash": simhash.near_duplicates(df), "secrets": secrets.findings(df, known), "decontam": decontam.hits(df, benchmark),
         "lines": linededup.dedup_lines(df), "packing": packing.pack(df), "tokens": tokencount.count_tokens(df)[0], "licenses": licenses.scan(df), "sharding": sharding.assign(df),
-        "keep_good": quality.keep_good(df), "drop_lines": linededup.drop_lines(df), "keep_first": simhash.keep_first(df), "keep_clean": decontam.keep_clean(df, benchmark),
+        "keep_good": quality.keep_good(df), "drop_lines": linededup.drop_lines(df), "keep_first": simhash.keep_first(df), "keep_clean": decontam.keep_clean(df, benchmark), "resemblance": resemblance.keep_first(df),
     }
 
 
-KEPT = ("keep_good", "drop_lines", "keep_first", "keep_clean")
+KEPT = ("keep_good", "drop_lines", "keep_first", "keep_clean", "resemblance")
 
 
 @pytest.mark.parametrize("kind", ["string"])
