@@ -123,6 +123,11 @@ def template(path: str) -> Template:
     return Template(path)
 
 
+def same(a: object, b: object) -> bool:
+    """Whether two ids are one key, as Spark groups them: NaN is equal to NaN."""
+    return a == b or (a != a and b != b)
+
+
 def format_turns(conversations: DataFrame, file: str = FILE) -> DataFrame:
     """A row for each turn, in order inside partitions, each conversation in one: its place, string, ids and loss mask."""
 
@@ -132,7 +137,7 @@ def format_turns(conversations: DataFrame, file: str = FILE) -> DataFrame:
             rows = []
             ids_of, roles, texts = (part.column(i).to_pylist() for i in range(3))
             for conv, (string, ids, mask) in zip(ids_of, make.turns(list(zip(roles, texts, strict=True))), strict=True):
-                if conv != now:
+                if not same(conv, now):
                     now, seq, at, char = conv, 0, 0, 0
                 rows.append((seq, at, char, string, ids, mask))
                 seq, at, char = seq + 1, at + len(ids), char + len(string)
@@ -170,7 +175,7 @@ def digests(turns: DataFrame, file: str = FILE) -> DataFrame:
             kind = part.schema.field(0).type
             held = [(i.values.to_numpy(), m.values.to_numpy()) for i, m in zip(part.column(2), part.column(3), strict=True)]
             for conv, string, (role, text, loss) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), make.read(held), strict=True):
-                if not some or conv != now:
+                if not some or not same(conv, now):
                     close()
                     now, some, n, chars, formatted, turns_hash, loss_hash = conv, True, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
                 n += 1
