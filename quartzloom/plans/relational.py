@@ -268,11 +268,12 @@ def index_scan(spark, d):
 
 @query("select user_id::integer as run, (row_number() over (partition by user_id order by ts, event_id) - 1)::integer as epoch, round(value, 3) as loss from events")
 def run_log_scan(spark, d):
-    """A log for each user, written with settings and header, and read again."""
+    """The users' logs, several to a file, written with settings and header, and read again."""
     from quartzloom.sources import readers, sinks
 
     e = splits.ranked(table(spark, d, "events"), ["user_id"], "ts", "event_id", name="i").select(F.col("user_id").alias("run"), (F.col("i") - 1).cast("int").alias("epoch"), F.round("value", 3).alias("loss"))
-    return round_trip(spark, "logs", lambda p: sinks.write_run_logs(e, p, "lr=0.1"), lambda p: readers.read_run_logs(spark, p, "epoch int, loss double").select("run", "epoch", "loss"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return round_trip(spark, "logs", lambda p: sinks.write_run_logs(e, p, "lr=0.1", parts=parts), lambda p: readers.read_run_logs(spark, p, "run int, epoch int, loss double").select("run", "epoch", "loss"))
 
 
 @query("select n_name as target, n_nationkey as random_seed, 'model' as model_name, 300 as epochs from nation")

@@ -53,14 +53,24 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_run_logs(df: DataFrame, path: str, config: str, run: str = "run", epoch: str = "epoch") -> None:
-    """A folder for each run with one text log: a comment line with the settings, the header once, then rows in epoch order."""
-    cols = [c for c in df.columns if c != run]
-    line = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols))
+def write_run_logs(df: DataFrame, path: str, config: str, run: str = "run", epoch: str = "epoch", parts: int | None = None) -> None:
+    """A folder for each run with one text log: a comment line with the settings, the header once, then rows in epoch order.
+
+    parts: where runs are many, so many folders part=<n> at most instead, whose log has the rows of several runs, each
+    run whole and in epoch order, the run as first column. The number of files does not grow with the runs.
+    In both forms an empty name is read again as null.
+    """
+    folder, cols = run, [c for c in df.columns if c != run]
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    if parts is not None:
+        name = F.col(run).cast("string")
+        quoted = F.when(name.rlike("[\r\n]"), F.raise_error(F.lit("the name of a run has a line break"))).otherwise(F.to_csv(F.struct(name), {"quoteAll": "true"}))
+        folder, cols, fields = "part", [run, *cols], [F.when(name.isNull(), "").otherwise(quoted), *fields]
+        df = df.withColumn(folder, F.pmod(F.xxhash64(run), F.lit(parts)).cast("int"))
     head = F.array(F.struct(F.lit(-2).cast("long").alias("n"), F.lit(f"# Config: {config}").alias("value")), F.struct(F.lit(-1).cast("long").alias("n"), F.lit(",".join(cols)).alias("value")))
-    first = df.select(run).distinct().select(run, F.explode(head).alias("l")).select(run, "l.n", "l.value")
-    rows = df.select(run, F.col(epoch).cast("long").alias("n"), line.alias("value"))
-    first.union(rows).repartition(run).sortWithinPartitions(run, "n").select(run, "value").write.mode("overwrite").partitionBy(run).text(path)
+    first = df.select(folder).distinct().select(folder, F.explode(head).alias("l")).select(folder, F.lit(0).alias("row"), F.lit(None).cast(df.schema[run].dataType).alias("of"), "l.n", "l.value")
+    rows = df.select(folder, F.lit(1).alias("row"), F.col(run).alias("of"), F.col(epoch).cast("long").alias("n"), F.concat_ws(",", *fields).alias("value"))
+    first.union(rows).repartition(folder).sortWithinPartitions(folder, "row", "of", "n").select(folder, "value").write.mode("overwrite").partitionBy(folder).text(path)
 
 
 class RunLog:

@@ -114,6 +114,32 @@ def test_run_logs(spark, tmp_path):
     assert (tmp_path / "own/run.csv").read_text() == "# Config: {'lr': 1}\nepoch,loss\n0,0\n1,1\n2,2\n"
 
 
+def test_run_logs_of_many_runs_share_files(spark, tmp_path):
+    names = [*(f"r{i}" for i in range(300)), 'a,"b', "#c", None, "back\\slash"]
+    df = spark.createDataFrame([(n, e, None if e == 2 else e / 10) for n in names for e in (10, 2, 0)], "run string, epoch int, loss double")
+    sinks.write_run_logs(df, str(tmp_path / "logs"), "lr=1", parts=3)
+    files = list((tmp_path / "logs").rglob("part-*"))
+    assert len(files) == 3
+    for f in files:
+        lines = f.read_text().splitlines()
+        assert lines[:2] == ["# Config: lr=1", "run,epoch,loss"] and not any(x.startswith(("#", "run,")) for x in lines[2:])
+        runs = [x.rsplit(",", 2)[0] for x in lines[2:]]
+        assert [x.rsplit(",", 2)[1] for x in lines[2:]] == ["0", "2", "10"] * (len(runs) // 3) and len(set(runs)) == len(runs) // 3
+    back = readers.read_run_logs(spark, str(tmp_path / "logs"), "run string, epoch int, loss double").select("run", "epoch", "loss")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_run_log_scan_writes_no_file_for_each_run(spark, tmp_path, monkeypatch):
+    from quartzloom.plans.catalog import QUERIES
+
+    spark.range(2000).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "id div 2 as user_id", "id / 3D as value").write.parquet(str(tmp_path / "events.parquet"))
+    seen, read = [], readers.read_run_logs
+    monkeypatch.setattr(readers, "read_run_logs", lambda s, p, *a: seen.append(len(read(s, p, *a).inputFiles())) or read(s, p, *a))
+    rows = QUERIES["run_log_scan"](spark, str(tmp_path)).collect()
+    assert len(rows) == 2000 and {tuple(r) for r in rows} == {(i // 2, i % 2, round(i / 3, 3)) for i in range(2000)}
+    assert seen[0] <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_plots(spark, tmp_path):
     df = spark.createDataFrame([(1.0, 2.0, 5.0, True), (2.0, 1.0, None, True), (3.0, 3.0, None, False), (None, 1.0, 1.0, True)], "volume_mean double, sasa_mean double, average_delay double, detected boolean")
     for detected, points in ((None, 1), ("detected", 3)):
