@@ -139,46 +139,84 @@ def title(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
-def glocal_score(a: str, b: str, match: float = 5, mismatch: float = -4, gap: float = -10, extend: float = -1) -> tuple[float, int]:
-    """Best global alignment with free end gaps and affine inner gaps: (score, start of a in b; negative if b starts within a). A gap costs more to open than to extend."""
+#: Cells that a block of alignments holds in a row.
+BLOCK = 200_000
+
+
+def glocal_scores(a: list[str], b: list[str], match: float = 5, mismatch: float = -4, gap: float = -10, extend: float = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Best global alignments of a[k] with b[k], with free end gaps and affine inner gaps: scores, and starts of a in b (negative if b starts within a). A gap costs more to open than to extend.
+
+    Pairs of like lengths go together, a row of all of them at a time.
+    """
     if gap > extend:
         raise ValueError("opening a gap must not be cheaper than extending one")
-    n, m = len(a), len(b)
-    if not n or not m:
-        return 0.0, 0
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    low = -1e18
-    h, up = np.zeros(m + 1), np.full(m + 1, low)  # row 0: leading letters of b are free
-    places = np.arange(m + 1)
-    h0 = places.copy()  # the diagonal start of each cell's path: place in b minus place in a
+    scores, starts = np.zeros(len(a)), np.zeros(len(a), int)
+    sizes = np.array([(len(y), len(x)) for x, y in zip(a, b, strict=True)], int).reshape(-1, 2)
+    order = np.lexsort((sizes[:, 1], sizes[:, 0]))
+    order = order[(sizes[order] > 0).all(1)]
+    while len(order):
+        # as many pairs as fit, with room for the longest of them
+        fit = np.arange(1, len(order) + 1) * (sizes[order, 0] + 1) <= BLOCK
+        k = max(1, int(fit.argmin()) if not fit.all() else len(order))
+        part, order = order[:k], order[k:]
+        scores[part], starts[part] = _glocal([a[i] for i in part], [b[i] for i in part], match, mismatch, gap, extend)
+    return scores, starts
+
+
+def _letters(texts: list[str], size: int, fill: int) -> np.ndarray:
+    out = np.full((len(texts), size), fill, np.uint32)
+    for row, t in zip(out, texts, strict=True):
+        row[: len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def _glocal(a: list[str], b: list[str], match: float, mismatch: float, gap: float, extend: float) -> tuple[np.ndarray, np.ndarray]:
+    n, m = np.array([len(t) for t in a]), np.array([len(t) for t in b])
+    x, y = _letters(a, n.max(), 2**32 - 1), _letters(b, m.max(), 2**32 - 2)  # no cell depends on the filling to its right or below
+    count, low, pairs, places = len(a), -1e18, np.arange(len(a)), np.arange(m.max() + 1)
+    h, up = np.zeros((count, len(places))), np.full((count, len(places)), low)  # row 0: leading letters of b are free
+    h0 = np.broadcast_to(places, h.shape).copy()  # the diagonal start of each cell's path: place in b minus place in a
     up0 = h0.copy()
-    best = (float(low), 0)
-    for i in range(1, n + 1):
-        score = np.where(x[i - 1] == y, match, mismatch)
+    best, start = np.full(count, low), np.zeros(count, int)
+    zero, edge = np.zeros((count, 1)), np.full((count, 1), low)
+    for i in range(1, n.max() + 1):
+        score = np.where(x[:, i - 1 : i] == y, match, mismatch)
         opened = h + gap
         take = opened >= up + extend
         up, up0 = np.where(take, opened, up + extend), np.where(take, h0, up0)
-        diag, diag0 = np.r_[0.0, h[:-1] + score], np.r_[-i, h0[:-1]]
+        diag, diag0 = np.hstack([zero, h[:, :-1] + score]), np.hstack([np.full((count, 1), -i), h0[:, :-1]])
         top = np.where(diag >= up, diag, up)
         top0 = np.where(diag >= up, diag0, up0)
-        top[0], top0[0] = 0.0, -i  # leading letters of a are free
+        top[:, 0], top0[:, 0] = 0.0, -i  # leading letters of a are free
         # a gap in a is best opened from a cell that is not in one, so the best opening before each place is a running maximum
         lead = top - places * extend
-        last = np.maximum.accumulate(np.where(lead >= np.maximum.accumulate(lead), places, 0))[:-1]
-        side = top[last] + gap + (places[1:] - last - 1) * extend
-        better = np.r_[False, side > top[1:]]
-        new, new0 = np.where(better, np.r_[low, side], top), np.where(better, np.r_[0, top0[last]], top0)
-        h, h0 = new, new0
-        if h[m] > best[0]:  # trailing letters of a are free
-            best = float(h[m]), int(h0[m])
-    j = int(h.argmax())
-    if h[j] > best[0]:  # trailing letters of b are free
-        best = float(h[j]), int(h0[j])
-    return best
+        last = np.maximum.accumulate(np.where(lead >= np.maximum.accumulate(lead, axis=1), places, 0), axis=1)[:, :-1]
+        side = np.take_along_axis(top, last, 1) + gap + (places[1:] - last - 1) * extend
+        better = side > top[:, 1:]
+        h = np.hstack([top[:, :1], np.where(better, side, top[:, 1:])])
+        h0 = np.hstack([top0[:, :1], np.where(better, np.take_along_axis(top0, last, 1), top0[:, 1:])])
+        more = (i <= n) & (h[pairs, m] > best)  # trailing letters of a are free
+        best[more], start[more] = h[pairs, m][more], h0[pairs, m][more]
+        ends = np.flatnonzero(i == n)
+        if len(ends):
+            j = np.where(places <= m[ends, None], h[ends], low).argmax(1)
+            more = h[ends, j] > best[ends]  # trailing letters of b are free
+            best[ends[more]], start[ends[more]] = h[ends, j][more], h0[ends, j][more]
+    return best, start
+
+
+def glocal_score(a: str, b: str, match: float = 5, mismatch: float = -4, gap: float = -10, extend: float = -1) -> tuple[float, int]:
+    """glocal_scores of one pair."""
+    scores, starts = glocal_scores([a], [b], match, mismatch, gap, extend)
+    return float(scores[0]), int(starts[0])
 
 
 @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("offset", T.IntegerType())]))
 def align_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """glocal_score for pairs of texts; zero for missing ones."""
+    """glocal_score for pairs of texts; zero for missing ones. Equal pairs of a batch are aligned once."""
     for a, b in batches:
-        yield pd.DataFrame([glocal_score(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["score", "offset"])
+        pairs = pd.DataFrame({"a": a.to_numpy(object), "b": b.to_numpy(object)}).fillna("")
+        first = ~pairs.duplicated()
+        scores, starts = glocal_scores(pairs["a"][first].tolist(), pairs["b"][first].tolist())
+        of = pairs.groupby(["a", "b"], sort=False).ngroup().to_numpy()
+        yield pd.DataFrame({"score": scores[of], "offset": starts[of].astype("int32")})

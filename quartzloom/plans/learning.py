@@ -341,7 +341,7 @@ def alignment_scores(spark, d):
     """Part names against the name of the next part: score and offset of the best glocal alignment."""
     from quartzloom.functions.sequences import align_udf
 
-    p = table(spark, d, "part").select("p_partkey", "p_name")
+    p = table(spark, d, "part").select("p_partkey", "p_name").repartition("p_partkey")  # a small file is one task's else
     other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
     return p.join(other, "p_partkey").select("p_partkey", align_udf(F.col("p_name"), F.col("other")).alias("a")).select("p_partkey", "a.score", "a.offset")
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quartzloom.functions import sequences as X
@@ -81,6 +83,20 @@ def test_alignment():
     assert X.glocal_score("AACDEFGG", "CDEF") == (20.0, -2)
 
 
+def test_alignments_of_a_batch_are_those_of_each_pair(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    texts = ["".join(r.choice(list("ACD\u00e9"), r.integers(0, 9))) for _ in range(600)] + ["A" * 40, "\U0001f600A"]
+    a, b = texts[::2], texts[1::2]
+    monkeypatch.setattr(X, "BLOCK", 150)
+    scores, starts = X.glocal_scores(a, b)
+    assert [(float(s), int(i)) for s, i in zip(scores, starts, strict=True)] == [X.glocal_score(x, y) for x, y in zip(a, b, strict=True)]
+    assert all(s == (brute_glocal(x, y) if x and y else 0) for s, x, y in zip(scores[:120], a, b, strict=False))
+    calls, plain = [], X.glocal_scores
+    monkeypatch.setattr(X, "glocal_scores", lambda a, b: calls.append(len(a)) or plain(a, b))
+    out = pd.concat(X.align_udf.func(iter([(pd.Series(["AC", None, "AC"] * 50), pd.Series(["A", "C", "A"] * 50))])))
+    assert calls == [2] and out["score"].tolist() == [5.0, 0.0, 5.0] * 50  # equal pairs once, all at once
+
+
 def test_align_udf(spark):
     got = run(spark, [("CDEF", "AACDEFGG"), (None, "A")], "a string, b string", X.align_udf(F.col("a"), F.col("b")))
     assert [tuple(g) for g in got] == [(20.0, 2), (0.0, 0)]
