@@ -287,6 +287,21 @@ def test_pair_models_score_every_pair(spark):
             assert len(out) == 120 and np.mean([(o["score"] > 0) == (o["y"] > 0) for o in out]) > (0.9 if cap == 200 else 0.7)
 
 
+def test_pairs_are_scored_in_blocks_as_by_columns(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    point = lambda n: [float(v) for v in r.normal(size=n)]
+    rows = [((point(3), point(2)), float(a), int(y)) for a, y in zip(r.random(40) - 0.2, r.choice([-1, 1], 40), strict=True)]
+    pairs = [(i, point(3), point(2)) for i in range(50)] + [(50, None, point(2)), (51, [float("nan")] * 3, point(2))]
+    df = spark.createDataFrame(pairs, "id int, l array<double>, r array<double>")
+    support = spark.createDataFrame(rows, "vec struct<l:array<double>,r:array<double>>, alpha double, y int")
+    old = V.kernel_scores(df.withColumn("p", F.struct("l", "r")), support, "p", lambda a, b: V.rbf(a["l"], b["l"], 0.3) * V.rbf(a["r"], b["r"], 0.7), 0.5)
+    want = {x["id"]: x["score"] for x in old.collect()}
+    monkeypatch.setattr(train, "BLOCK", 100)
+    scored = df.select("id", train.product_scorer(rows, [0.3, 0.7], 0.5)(F.col("l"), F.col("r")).alias("score"))
+    assert {x["id"]: x["score"] for x in scored.collect()} == pytest.approx(want, abs=1e-9, nan_ok=True)
+    assert want[50] is None and {x["score"] for x in df.select(train.product_scorer([], [0.3, 0.7], 0.5)(F.col("l"), F.col("r")).alias("score")).collect()} >= {None, 0.5}
+
+
 def test_padding(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0], 1)] * 3, "v array<double>, y int")
     assert df.select(V.pad_multiple(F.col("v"), 4).alias("p")).first()["p"] == [1.0, 2.0, 3.0, 0.0]
