@@ -209,6 +209,28 @@ def test_ward_paths_are_of_all_vectors(spark):
     assert rows.count() == rows.select("vec_id").distinct().count() == spark.read.parquet(f"{d}/embeddings.parquet").count() and {len(r["path"]) for r in rows.collect()} == {9}
 
 
+def test_ward_in_rounds_over_blocks_is_the_same(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 60)
+    x = np.random.default_rng(6).normal(size=(150, 4))
+    x[140:] = x[:10]  # copies
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>").repartition(3)
+    z = (x - x.mean(0)) / x.std(0)
+    got = {r["id"]: r["path"] for r in cluster.hierarchy_paths(df, "id", "v", 9, last=40).collect()}
+    assert [got[i] for i in range(150)] == cluster.cuts(cluster.ward(z), 150, 9).tolist()
+
+
+def test_ward_of_equal_distances_and_copies(spark):
+    cells = [(i, [float(i % 7), float(i // 7 % 7)]) for i in range(98)]  # each point of a lattice twice
+    paths = [r["path"] for r in cluster.hierarchy_paths(spark.createDataFrame(cells, "id long, v array<double>"), "id", "v", 98, last=20).orderBy("id").collect()]
+    assert [len({p[k] for p in paths}) for k in range(97)] == list(range(2, 99))
+    assert all(paths[i][47] == paths[i + 49][47] for i in range(49))  # k = 49: copies together
+    one = spark.range(8).selectExpr("id", "array(1D, 2D) as v")
+    assert [r["path"] for r in cluster.hierarchy_paths(one, "id", "v", 8).orderBy("id").collect()][0] == [1] * 7
+    assert [r["path"] for r in cluster.hierarchy_paths(one.limit(1), "id", "v", 8).collect()] == [[]]
+    with pytest.raises(ValueError):
+        cluster.hierarchy_paths(spark.sql("select 1L as id, array(1D, double('nan')) as v union all select 2L, array(1D, 2D)"), "id", "v", 2)
+
+
 def test_clusters(spark):
     r = np.random.default_rng(3)
     x = np.concatenate([r.normal(c, 0.1, (20, 4)) for c in (0, 5, 10)])
