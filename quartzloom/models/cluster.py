@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quartzloom.functions.vectors import zscore
 from quartzloom.operators.aggregates import vector_moments
 from quartzloom.operators.joins import nearest
-from quartzloom.session import cut
+from quartzloom.session import cut, discard, stored
 
 
 def standard_scale(df: DataFrame, vector: str, out: str) -> DataFrame:
@@ -192,15 +192,17 @@ def merged(clusters: DataFrame, last: int) -> list[DataFrame]:
     brings a cluster nearer to others than its parts were. For the same reason only new clusters and those whose nearest
     is gone search again, against all, in blocks. From ``last`` clusters on one worker does the rest.
     """
-    s, count, out = cut(clusters.select("*", F.lit(None).cast("long").alias("near"), F.lit(None).cast("double").alias("d"))), clusters.count(), []
-    tasks = clusters.sparkSession.sparkContext.defaultParallelism  # unions would have more partitions each round
+    spark = clusters.sparkSession
+    tasks = spark.sparkContext.defaultParallelism  # unions would have more partitions each round
+    s, path = stored(clusters.select("*", F.lit(None).cast("long").alias("near"), F.lit(None).cast("double").alias("d")).coalesce(tasks))
+    count, out = s.count(), []
     while count > last:
         stale = s.filter("near is null")
         asking = stale.count()
         blocks = packed(s, count)
         asked = blocks if asking == count else packed(stale, asking)
         found = nearest_clusters(asked, blocks)
-        s = cut(s.filter("near is not null").unionByName(stale.drop("near", "d").join(found, "k")).coalesce(tasks))
+        s, old = cut(s.filter("near is not null").unionByName(stale.drop("near", "d").join(found, "k")).coalesce(tasks)), path
         other = s.select(*(F.col(c).alias(f"{c}_") for c in s.columns))
         pairs = s.join(other, (F.col("near") == F.col("k_")) & (F.col("k") == F.col("near_"))).filter("n > n_ or n = n_ and k < k_")
         share = F.zip_with("c", "c_", lambda a, b: (a * F.col("n") + b * F.col("n_")) / (F.col("n") + F.col("n_")))
@@ -216,7 +218,8 @@ def merged(clusters: DataFrame, last: int) -> list[DataFrame]:
         gone = new.select("k").union(new.select("lost"))
         kept = s.join(gone, "k", "left_anti").join(gone.select(F.col("k").alias("near"), F.lit(True).alias("_gone")), "near", "left")
         kept = kept.select("k", "c", "n", "h", F.when(F.col("_gone").isNull(), F.col("near")).alias("near"), "d")
-        s = cut(kept.unionByName(new.select("k", "c", "n", "h", F.lit(None).cast("long").alias("near"), F.lit(None).cast("double").alias("d"))).coalesce(tasks))
+        s, path = stored(kept.unionByName(new.select("k", "c", "n", "h", F.lit(None).cast("long").alias("near"), F.lit(None).cast("double").alias("d"))).coalesce(tasks))
+        discard(spark, old)
         count -= fewer
     done = len(out)
 
@@ -232,7 +235,9 @@ def merged(clusters: DataFrame, last: int) -> list[DataFrame]:
             rows.append((keys[a], keys[b], low[-1], done + 1 + step))
         return pd.DataFrame(rows, columns=["k", "lost", "h", "round"]).astype({"k": "int64", "lost": "int64", "h": float, "round": "int64"})
 
-    return [*out, cut(s.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: end(pdf), "k long, lost long, h double, round long"))]
+    out.append(cut(s.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: end(pdf), "k long, lost long, h double, round long")))
+    discard(spark, path)
+    return out
 
 
 def hierarchy_paths(df: DataFrame, ids: str, vector: str, most: int = 5000, last: int = LAST) -> DataFrame:
@@ -250,17 +255,21 @@ def hierarchy_paths(df: DataFrame, ids: str, vector: str, most: int = 5000, last
         return rows.select(F.col("id").alias(ids), F.array().cast("array<int>").alias("path"))
     alike = cut(rows.groupBy("c").agg(F.min("k").alias("k"), F.count("*").cast("double").alias("n")))
     copies = rows.join(alike.select("c", F.col("k").alias("of")), "c").filter("k <> of").select(F.col("of").alias("k"), F.col("k").alias("lost"), F.lit(0.0).alias("h"), F.lit(0).cast("long").alias("round"))
-    merges = cut(reduce(DataFrame.unionByName, merged(alike.select("k", "c", "n", F.lit(0.0).alias("h")), last), copies))
+    merges, merges_at = stored(reduce(DataFrame.unionByName, merged(alike.select("k", "c", "n", F.lit(0.0).alias("h")), last), copies))
     # without the highest merges, which no other merge follows, there are ``most`` clusters
     top = merges.orderBy(F.desc("h"), F.desc("round"), "k", "lost").limit(most - 1).collect()
     cut_off = df.sparkSession.createDataFrame([(r["lost"],) for r in top], "lost long")
     up = merges.join(F.broadcast(cut_off), "lost", "left_anti").select(F.col("lost").alias("k"), F.col("k").alias("root"))
-    roots = cut(rows.select("id", "k").join(up, "k", "left").withColumn("root", F.coalesce("root", "k")))
+    roots, at = stored(rows.select("id", "k").join(up, "k", "left").withColumn("root", F.coalesce("root", "k")))
+    discard(df.sparkSession, merges_at)
     while True:  # a cluster is at most half of what takes it in, so few steps lead to the root
-        further = roots.select(F.col("k").alias("root"), F.col("root").alias("_next"))
-        roots = cut(roots.join(further, "root").select("id", "k", F.col("_next").alias("root"), (F.col("root") != F.col("_next")).alias("_moved")))
+        further, old = roots.select(F.col("k").alias("root"), F.col("root").alias("_next")), at
+        roots, at = stored(roots.join(further, "root").select("id", "k", F.col("_next").alias("root"), (F.col("root") != F.col("_next")).alias("_moved")))
+        discard(df.sparkSession, old)
         if roots.filter("_moved").isEmpty():
             break
+    roots = cut(roots.select("id", "k", "root"))
+    discard(df.sparkSession, at)
     order = [r["root"] for r in roots.groupBy("root").agg(F.min(F.struct("id", "k")).alias("_first")).orderBy("_first").select("root").collect()]
     name, found = {root: i for i, root in enumerate(order)}, []
     for step, r in enumerate(reversed(top)):

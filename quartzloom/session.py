@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -48,3 +49,20 @@ def cut(df):
     """The rows, checkpointed in the shared folder. Spark deletes checkpoints that nothing refers to where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written to the shared folder and read again, and where they are, for discard().
+
+    For the tables of a loop: a checkpoint keeps the size that was estimated for its plan. Joins multiply sizes, so that from
+    round to round the estimate's digits double, until the driver does nothing but multiply. Files have a size of their own.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quartzloom-round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what stored() wrote: nothing may read it any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

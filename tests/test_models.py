@@ -219,6 +219,17 @@ def test_ward_in_rounds_over_blocks_is_the_same(spark, monkeypatch):
     assert [got[i] for i in range(150)] == cluster.cuts(cluster.ward(z), 150, 9).tolist()
 
 
+def test_ward_rounds_do_not_multiply_the_planners_sizes(spark, monkeypatch):
+    sizes, real = [], cluster.packed
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    monkeypatch.setattr(cluster, "packed", lambda df, *a: sizes.append(int(size(df))) or real(df, *a))
+    x = np.array([[2.0**i] for i in range(10)])  # the nearest two merge in each round, no others
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    got = [r["path"] for r in cluster.hierarchy_paths(df, "id", "v", 9, last=3).orderBy("id").collect()]
+    assert got == cluster.cuts(cluster.ward((x - x.mean(0)) / x.std(0)), 10, 9).tolist()
+    assert len(sizes) > 6 and max(sizes) < 1 << 40
+
+
 def test_ward_of_equal_distances_and_copies(spark):
     cells = [(i, [float(i % 7), float(i // 7 % 7)]) for i in range(98)]  # each point of a lattice twice
     paths = [r["path"] for r in cluster.hierarchy_paths(spark.createDataFrame(cells, "id long, v array<double>"), "id", "v", 98, last=20).orderBy("id").collect()]
