@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzloom.functions import vectors as V
-from quartzloom.models import cluster, svgp, svm, train
+from quartzloom.models import cluster, pairs, svgp, svm, train
 from quartzloom.models.train import sweep, sweep_logs
 from quartzloom.operators.joins import grid
 
@@ -320,6 +320,70 @@ def test_pair_models_score_every_pair(spark):
             assert len(out) == 120 and np.mean([(o["score"] > 0) == (o["y"] > 0) for o in out]) > (0.9 if cap == 200 else 0.7)
 
 
+def exact_pair_scores(block, y, gammas):
+    """Scores without b, and the least value, of the model fitted on all pairs."""
+    k = pairs.gram(block, block, gammas)
+    m = pairs.descend(k, y, np.zeros(len(y)), np.minimum(0, y), np.maximum(0, y), 1e-6, 100_000)
+    conditions(svm.Model("", m * y), y, k @ m + np.median((y - k @ m)[(np.abs(m) > 1e-6) & (np.abs(m) < 1 - 1e-6)]), 1.0)
+    return k @ m
+
+
+def test_pair_models_are_fitted_on_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "LEAST", 150)  # four parts
+    r = np.random.default_rng(6)
+    left, right = r.normal(size=(120, 3)), r.normal(size=(6, 2))
+    w = r.normal(size=5)
+    rows = [(i, j, 1 if np.r_[left[i], right[j]] @ w + r.normal() > 0 else -1) for i in range(120) for j in range(6)]
+    li, ri, y = (np.array(c) for c in zip(*rows, strict=True))
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vec array<double>")
+    for kind, gammas in (("kernel", [1 / (3 * left.var()), 1 / (2 * right.var())]), ("linear", None)):
+        want = exact_pair_scores(pairs.Block(left, right, li, ri), y.astype(float), gammas)
+        out = train.pair_scores(frame(left), frame(right), spark.createDataFrame(rows, "left_id int, right_id int, y int"), kind).collect()
+        got = {(o["left_id"], o["right_id"], o["y"]): o["score"] for o in out}
+        off = np.array([got[row] for row in rows]) - want
+        assert len(out) == 720 and off.std() < 0.08 and abs(np.median(off) - off).max() < 0.3
+    few = spark.createDataFrame([(0, 0, 1), (1, 1, -1), (2, 2, 1), (120, 0, 1), (121, 0, 1)], "left_id int, right_id int, y int")
+    lefts = frame(left).union(spark.sql("select 120, cast(null as array<double>) union all select 121, array(1D, double('nan'), 0D)"))
+    got = {o["left_id"]: o["score"] for o in train.pair_scores(lefts, frame(right), few, "kernel").collect()}
+    assert got[0] > got[1] < got[2] and got[120] is None and np.isnan(got[121])
+    assert {o["score"] for o in train.pair_scores(frame(left), frame(right), few.filter("y = 1 and left_id < 120"), "linear").collect()} == {0.0}
+    assert train.pair_scores(frame(left), frame(right), few.limit(0), "kernel").collect() == []
+
+
+def test_pair_queries_fit_all_vectors(spark):
+    from quartzloom.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{d}/embeddings.parquet").toPandas().sort_values("vec_id")
+    x, label = np.array(e["embedding"].tolist(), float), e["label"].to_numpy()
+    mean = np.array([x[label == k].mean(0) for k in range(10)])
+    block = pairs.Block(x, mean, np.r_[: len(x), : len(x)], np.r_[label, (label + 1) % 10])
+    want = exact_pair_scores(block, np.r_[np.ones(len(x)), -np.ones(len(x))], [1 / (64 * x.var()), 1 / (64 * mean.var())])
+    got = {(r["left_id"], r["y"]): r["score"] for r in QUERIES["svm_pairs_kernel"](spark, d).collect()}
+    off = np.array([got[i, s] for s in (1, -1) for i in e["vec_id"]]) - want
+    assert len(got) == len(want) and abs(off - np.median(off)).max() < 0.02
+
+
+def test_effects_of_moves_by_columns_and_by_pairs(monkeypatch):
+    r = np.random.default_rng(7)
+    a, b = (pairs.Block(r.normal(size=(n, 3)), r.normal(size=(m, 2)), np.r_[:n, r.integers(0, n, n)], np.r_[:m, r.integers(0, m, 2 * n - m)]) for n, m in ((20, 4), (15, 6)))
+    (ma, ta), (mb, tb) = (pairs.moves(x.ri % 3, r.normal(size=len(x.ri))) for x in (a, b))
+    monkeypatch.setattr(pairs, "CELLS", 100)
+    for gammas in ([0.3, 0.6], None):
+        k = pairs.gram(a, b, gammas)
+        for columns in (128, 2):
+            monkeypatch.setattr(pairs, "COLUMNS", columns)
+            got = pairs.effects(a, ma, b, mb, gammas)
+            assert np.allclose(got[0], k @ mb.table()) and np.allclose(got[1], k.T @ ma.table())
+    y, k = np.sign(r.normal(size=40)), pairs.gram(a, a, [0.3, 0.6])
+    monkeypatch.setattr(pairs, "CHUNK", 16)  # a chunk knows the moves of those before
+    moved = pairs.local(a, y, np.zeros(40), np.zeros(40), 1.0, [0.3, 0.6], 1e-4)
+    assert y @ moved - moved @ k @ moved / 2 > 0 and abs(moved.sum()) < 1e-9
+    last = slice(32, 40)
+    rest = y[last] - (k[last] @ moved - k[last, last] @ moved[last])
+    assert np.allclose(moved[last], pairs.descend(k[last, last], rest, np.zeros(8), np.minimum(0, y[last]), np.maximum(0, y[last]), 1e-4, 40))
+
+
 def test_pairs_are_scored_in_blocks_as_by_columns(spark, monkeypatch):
     r = np.random.default_rng(9)
     point = lambda n: [float(v) for v in r.normal(size=n)]
