@@ -133,21 +133,12 @@ BLOCK = 8_192
 CELLS = 1_000_000
 
 
-def ward_distances(xa: np.ndarray, na: np.ndarray, xb: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Squared heights at which clusters with centres x and sizes n would merge."""
-    d = xa @ xb.T
-    d *= -2
-    d += (xb * xb).sum(1)
-    d += (xa * xa).sum(1)[:, None]
-    np.maximum(d, 0, out=d)
-    if (na != 1).any() or (nb != 1).any():
-        d *= 2 * na[:, None] * nb
-        d /= na[:, None] + nb
-    return d
-
-
-def packed(clusters: DataFrame, count: int) -> DataFrame:
-    """(k, n, c) of clusters as bytes, in blocks of about BLOCK."""
+#: Clusters in a block of those that search, at least, where there are tasks to spare.
+ASKED = 512
+
+
+def packed(clusters: DataFrame, count: int, least: int = 1) -> DataFrame:
+    """(k, n, c) of clusters as bytes, in blocks of about BLOCK, or in so many blocks at least."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
@@ -158,7 +149,7 @@ def packed(clusters: DataFrame, count: int) -> DataFrame:
             part = pdf.iloc[s : s + BLOCK]
             yield pd.DataFrame({"k": [part["k"].to_numpy(np.int64).tobytes()], "n": [part["n"].to_numpy(float).tobytes()], "c": [np.array(part["c"].tolist(), float).tobytes()]})
 
-    return cut(clusters.select("k", "n", "c").repartition(-(-count // BLOCK), "k").mapInPandas(run, "k binary, n binary, c binary"))
+    return cut(clusters.select("k", "n", "c").repartition(max(least, -(-count // BLOCK)), "k").mapInPandas(run, "k binary, n binary, c binary"))
 
 
 def nearest_clusters(asked: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -170,14 +161,18 @@ def nearest_clusters(asked: DataFrame, blocks: DataFrame) -> DataFrame:
                 qk, k = np.frombuffer(r.qk, np.int64), np.frombuffer(r.k, np.int64)
                 qn, n = np.frombuffer(r.qn), np.frombuffer(r.n)
                 qx, x = np.frombuffer(r.qc).reshape(len(qk), -1), np.frombuffer(r.c).reshape(len(k), -1)
+                # squared heights of merges: 2 |q - x|^2 / (1 / qn + 1 / n), the squares of the centres as two more places
+                left = np.c_[-4 * qx, np.full(len(qk), 2.0), 2 * (qx * qx).sum(1)]
+                right = np.c_[x, (x * x).sum(1), np.ones(len(k))].T
                 step = max(1, CELLS // len(k))
                 for s in range(0, len(qk), step):
-                    d = ward_distances(qx[s : s + step], qn[s : s + step], x, n)
+                    d = left[s : s + step] @ right
+                    d /= 1 / qn[s : s + step, None] + 1 / n
                     at = np.searchsorted(k, qk[s : s + step]).clip(0, len(k) - 1)
                     own = np.flatnonzero(k[at] == qk[s : s + step])
                     d[own, at[own]] = np.inf
                     best = d.argmin(1)
-                    out = pd.DataFrame({"k": qk[s : s + step], "near": k[best], "d": d[np.arange(len(best)), best]})
+                    out = pd.DataFrame({"k": qk[s : s + step], "near": k[best], "d": np.maximum(d[np.arange(len(best)), best], 0)})
                     yield out[np.isfinite(out["d"])]
 
     pairs = asked.select(F.col("k").alias("qk"), F.col("n").alias("qn"), F.col("c").alias("qc")).crossJoin(blocks.hint("shuffle_replicate_nl"))
@@ -200,7 +195,8 @@ def merged(clusters: DataFrame, last: int) -> list[DataFrame]:
         stale = s.filter("near is null")
         asking = stale.count()
         blocks = packed(s, count)
-        asked = blocks if asking == count else packed(stale, asking)
+        spare = -(-2 * tasks // -(-count // BLOCK))  # a pair of blocks is a task
+        asked = packed(stale, asking, min(spare, -(-asking // ASKED)))
         found = nearest_clusters(asked, blocks)
         s, old = cut(s.filter("near is not null").unionByName(stale.drop("near", "d").join(found, "k")).coalesce(tasks)), path
         other = s.select(*(F.col(c).alias(f"{c}_") for c in s.columns))
