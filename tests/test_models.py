@@ -384,6 +384,19 @@ def test_effects_of_moves_by_columns_and_by_pairs(monkeypatch):
     assert np.allclose(moved[last], pairs.descend(k[last, last], rest, np.zeros(8), np.minimum(0, y[last]), np.maximum(0, y[last]), 1e-4, 40))
 
 
+def test_chunks_drawn_anew_reach_the_best_model(monkeypatch):
+    monkeypatch.setattr(pairs, "CHUNK", 16)
+    r = np.random.default_rng(8)
+    b = pairs.Block(r.normal(size=(30, 3)), r.normal(size=(2, 2)), np.arange(60) // 2, np.arange(60) % 2)
+    y, k = np.where(np.arange(60) < r.integers(20, 40), 1.0, -1.0), pairs.gram(b, b, [0.3, 0.6])
+    best = pairs.descend(k, y, np.zeros(60), np.minimum(0, y), np.maximum(0, y), 1e-6, 10_000)
+    m = np.zeros(60)
+    for turn in range(150):
+        m += pairs.local(b, y, m, k @ m, 1.0, [0.3, 0.6], 1e-6, np.random.default_rng(turn))
+    value = lambda v: y @ v - v @ k @ v / 2
+    assert value(m) > 0.999 * value(best) > 0  # chunks of one class can't move at all where they stay the same
+
+
 def test_pairs_are_scored_in_blocks_as_by_columns(spark, monkeypatch):
     r = np.random.default_rng(9)
     point = lambda n: [float(v) for v in r.normal(size=n)]
